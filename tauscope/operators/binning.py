@@ -290,3 +290,11 @@ def interpolate_reference(
         hit["_x1"] - hit["_x0"], F.lit(0.0)
     )
     return work.withColumn(name, line).drop("_refs", "_hit").where(F.col(name).isNotNull())
+
+
+def by_process(curve: DataFrame) -> DataFrame:
+    """Count, median, mean and sample deviation of slopes per process."""
+    base = curve.where(F.col("beta").isNotNull()).groupBy("process").agg(
+        F.count("beta").alias("n"), F.avg("beta").alias("mean"), F.stddev_samp("beta").alias("std")
+    )
+    return base.join(quantiles(curve, ["process"], "beta", {"median": 0.5}), "process")

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tauscope.functions.expressions import SECONDS_PER_DAY
+from tauscope.functions.expressions import SECONDS_PER_DAY, energy_joule
 from tauscope.operators import prep, spectral
+from tauscope.operators.binning import archive_reduction
 
 
 def gauge_anomaly(daily: DataFrame, keys: Sequence[str], day: str = "day", value: str = "q") -> DataFrame:
@@ -68,3 +69,70 @@ def analyze_series(
     slopes = spectral.local_slope(psd, keys)
     beta_de = spectral.de_coordinate(slopes, F.lit(tau_days * SECONDS_PER_DAY))
     return {"processed": work, "psd": psd, "beta": slopes, "beta_de": beta_de}
+
+
+def tau_sweep(slopes: DataFrame, keys: Sequence[str], tau_days: Sequence[float]) -> DataFrame:
+    """One spectrum placed on several assumed memory times, summarised per memory time."""
+    taus = F.explode(F.array(*[F.lit(float(t)) for t in tau_days]))
+    swept = spectral.de_coordinate(
+        slopes.withColumn("tau_days", taus), F.col("tau_days") * F.lit(SECONDS_PER_DAY)
+    )
+    return spectral.beta_window(swept, [*keys, "tau_days"])
+
+
+def gauge_summary(tau: DataFrame, window: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
+    """One audit row per gauge with the first gate it fails."""
+    reason = (
+        F.when(F.col("tau") <= 0, "invalid_tau_acf")
+        .when(F.col("n_beta_rows").isNull(), "empty_beta_curve")
+        .when(F.col("n_beta_rows") < min_rows, "few_beta_rows")
+        .otherwise("included")
+    )
+    return tau.join(window, list(keys), "left").select(
+        *keys, "tau", F.coalesce("n_beta_rows", F.lit(0)).alias("n_curve_rows"), "mean_beta_de_window", reason.alias("reason")
+    )
+
+
+def estimator_grid(
+    anomaly: DataFrame, tau: DataFrame, keys: Sequence[str], value: str, npersegs: Sequence[int],
+    windows: Sequence[float], min_units: int,
+) -> DataFrame:
+    """Reduction for every segment length and slope window; memory times computed once."""
+    parts = []
+    for nperseg in npersegs:
+        psd = spectral.welch_psd(anomaly, keys, "i", value, 1.0, nperseg)
+        for window in windows:
+            slopes = spectral.local_slope(psd, keys, window).join(tau, list(keys))
+            points = spectral.de_coordinate(slopes, F.col("tau")).withColumnRenamed("f_center", "frequency")
+            parts.append(
+                points.select(F.lit(nperseg).alias("nperseg"), F.lit(window).alias("window"), "gauge_id", "frequency", "de", "beta")
+            )
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    return archive_reduction(stacked, ["nperseg", "window"], "gauge_id", min_units)
+
+
+def event_sensitivity(
+    events: DataFrame, keys: Sequence[str], floors: Sequence[float], rules: Sequence[str], tau_days: Sequence[float]
+) -> DataFrame:
+    """Slopes near the memory scale for magnitude floors x bin rules x (count, energy) x tau."""
+    floor = F.explode(F.array(*[F.lit(float(f)) for f in floors]))
+    work = events.withColumn("min_magnitude", floor).where(F.col("magnitude") >= F.col("min_magnitude"))
+    group = [*keys, "min_magnitude"]
+    parts = []
+    for rule in rules:
+        count = prep.resample(work, group, "time", F.lit(1.0), rule, "count").withColumn("variable", F.lit("count"))
+        energy = prep.resample(work, group, "time", energy_joule(F.col("magnitude")), rule, "sum")
+        parts.append(
+            count.unionByName(energy.withColumn("variable", F.lit("energy"))).withColumn("rule", F.lit(rule))
+        )
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionByName(part)
+    every = [*group, "rule", "variable"]
+    scaled = prep.robust_z(stacked, every, "value")
+    rate = spectral.median_step(scaled, every, "time")
+    psd = spectral.welch_psd(spectral.series_index(scaled, every, "time", "value"), every, "i", "value")
+    psd = psd.join(rate, every).withColumn("frequency", F.col("frequency") * F.col("fs"))
+    return tau_sweep(spectral.local_slope(psd, every), every, tau_days)
