@@ -1 +1,280 @@
-from catalog.base import query  # noqa: F401
+"""Bins, dispersion, reductions, residuals and strata of the curve table."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import KEYS, MIN_UNITS, bin_sql, curve, points, query, r, rounded, rs, step, unit_bins
+from catalog.spectra import family_curves
+from tauscope.functions.ranks import quantiles
+from tauscope.functions.tables import config_table
+from tauscope.operators import binning, spectral, strata
+from tauscope.sources import adapters
+
+REDUCTION = "raw_variance, de_variance, raw_bins, de_bins, reduction"
+
+
+def reduction_sql(source: str, groups: str = "") -> str:
+    g = f"{groups}, " if groups else ""
+    by = f"GROUP BY {groups}" if groups else ""
+    pick = lambda a, c: f"max(CASE WHEN axis = '{a}' THEN {c} END)"
+    v = f"{pick('frequency', 'weighted_variance')}"
+    w = f"{pick('de', 'weighted_variance')}"
+    return f"""SELECT {g}{r(v, 'raw_variance')}, {r(w, 'de_variance')}, {pick('frequency', 'n_bins')} AS raw_bins, {pick('de', 'n_bins')} AS de_bins,
+{r(f'CASE WHEN {v} > 1e-12 THEN 1e0 - {w} / {v} END', 'reduction')}, CASE WHEN {v} > 1e-12 THEN 'defined' ELSE 'undefined_raw_axis_variance' END AS reduction_note FROM {source} {by}"""
+
+
+def chain(name: str, source: str, groups: str = "", low="25e-3", high="975e-3", n_bins=24, min_units=MIN_UNITS, beta="beta") -> str:
+    """Define bins, medians, variances and dispersion of ``source`` under a name; return the last step."""
+    g = f"{groups}, " if groups else ""
+    same = " AND ".join(f"p.{k.strip()} = e.{k.strip()}" for k in f"{g}axis".split(","))
+    step(f"{name}_points", f"""SELECT {g}gauge_id, {beta} AS beta, 'frequency' AS axis, log10(frequency) AS x FROM {source} WHERE {beta} IS NOT NULL
+UNION ALL SELECT {g}gauge_id, {beta}, 'de', log10(de) FROM {source} WHERE {beta} IS NOT NULL""")
+    step(f"{name}_edges", f"""SELECT {g}axis, quantile_cont(x, {low}) AS lo, (quantile_cont(x, {high}) - quantile_cont(x, {low})) / {n_bins}e0 AS width, {n_bins} AS n_bins
+FROM {name}_points GROUP BY {g}axis""")
+    step(f"{name}_placed", f"SELECT * FROM (SELECT p.*, {bin_sql()} AS bin_id FROM {name}_points p JOIN {name}_edges e ON {same}) WHERE bin_id IS NOT NULL")
+    step(f"{name}_medians", f"SELECT {g}axis, gauge_id, bin_id, median(beta) AS beta_median, count(*) AS n_points FROM {name}_placed GROUP BY ALL")
+    step(f"{name}_bins", f"SELECT {g}axis, bin_id, count(*) AS n_units, var_samp(beta_median) AS beta_var FROM {name}_medians GROUP BY ALL")
+    step(f"{name}_disp", f"""SELECT {g}axis, sum(beta_var * n_units) / sum(n_units) AS weighted_variance, count(*) AS n_bins
+FROM {name}_bins WHERE n_units >= {min_units} AND beta_var IS NOT NULL GROUP BY {g}axis""")
+    return f"{name}_disp"
+
+
+@query("unit_bin_median", f"SELECT axis, gauge_id, bin_id, n_points, {rs('beta_median', 'bin_center_log10')} FROM unit_bins")
+def _(spark, d):
+    return rounded(unit_bins(spark, d).select("axis", "gauge_id", "bin_id", "n_points", "beta_median", "bin_center_log10"))
+
+
+step("count_edges", "SELECT axis, list_distinct(list(e)) AS e0 FROM (SELECT axis, unnest(quantile_cont(x, [0, 1e-1, 2e-1, 3e-1, 4e-1, 5e-1, 6e-1, 7e-1, 8e-1, 9e-1, 1])) AS e FROM points GROUP BY axis) GROUP BY axis")
+step("count_placed", """
+SELECT *, greatest(len(list_filter(e0, lambda e: e < x)) - 1, 0) AS bin_id FROM points JOIN count_edges USING (axis)""")
+
+
+@query("unit_bin_equal_count", f"SELECT axis, gauge_id, cast(bin_id AS int) AS bin_id, count(*) AS n_points, {r('median(beta)', 'beta_median')} FROM count_placed GROUP BY ALL")
+def _(spark, d):
+    out = binning.medians(binning.equal_count_bins(points(spark, d), ["axis"], 10), ["axis"], "gauge_id")
+    return rounded(out.select("axis", "gauge_id", "bin_id", "n_points", "beta_median"))
+
+
+@query("bin_dispersion", f"""SELECT axis, bin_id, count(*) AS n_units, {r('avg(beta_median)', 'beta_mean')}, {r('median(beta_median)', 'beta_median')}, {r('var_samp(beta_median)', 'beta_var')},
+{r('quantile_cont(beta_median, 75e-2) - quantile_cont(beta_median, 25e-2)', 'beta_iqr')} FROM unit_bins GROUP BY axis, bin_id""")
+def _(spark, d):
+    return rounded(binning.bin_stats(unit_bins(spark, d), ["axis"], "gauge_id").drop("axis_center"))
+
+
+@query("axis_dispersion", f"SELECT axis, {rs('weighted_variance', 'mean_variance', 'median_variance')}, n_bins, n_unit_bin_values FROM axis_dispersion")
+def _(spark, d):
+    return rounded(binning.dispersion(binning.bin_variances(unit_bins(spark, d), ["axis"]), ["axis"], MIN_UNITS))
+
+
+@query("reduction", reduction_sql("axis_dispersion"))
+def _(spark, d):
+    return rounded(binning.archive_reduction(curve(spark, d), [], "gauge_id", MIN_UNITS))
+
+
+@query("reduction_by_archive", reduction_sql(chain("arch", "curve", "archive", "2e-2", "98e-2", 12, 3), "archive"))
+def _(spark, d):
+    return rounded(binning.archive_reduction(curve(spark, d), ["archive"], "gauge_id", 3, low=0.02, high=0.98, n_bins=12))
+
+
+CONFIGS = [12, 16, 20, 24, 28, 32, 36]
+GATES = [3, 5, 10]
+step("sens_edges", "SELECT axis, quantile_cont(x, 25e-3) AS lo, quantile_cont(x, 975e-3) AS hi, unnest([12, 16, 20, 24, 28, 32, 36]) AS n_bins FROM points GROUP BY axis")
+step("sens_placed", f"""SELECT * FROM (SELECT axis, gauge_id, beta, n_bins, {bin_sql(width='((hi - lo) / cast(n_bins AS double))')} AS bin_id FROM points JOIN sens_edges USING (axis)) WHERE bin_id IS NOT NULL""")
+step("sens_bins", """SELECT axis, n_bins, bin_id, count(*) AS n_units, var_samp(b) AS v, quantile_cont(b, 75e-2) - quantile_cont(b, 25e-2) AS q
+FROM (SELECT axis, n_bins, gauge_id, bin_id, median(beta) AS b FROM sens_placed GROUP BY ALL) GROUP BY ALL""")
+step("sens_disp", """SELECT axis, n_bins, min_units, sum(v * n_units) / sum(n_units) AS v, sum(q * n_units) / sum(n_units) AS q, count(*) AS n
+FROM sens_bins JOIN (VALUES (3), (5), (10)) t(min_units) ON n_units >= min_units WHERE v IS NOT NULL GROUP BY ALL""")
+
+
+@query("reduction_sensitivity", f"""SELECT d.n_bins AS bin_config, d.min_units, d.n AS de_bins, {r('1e0 - d.v / f.v', 'variance_reduction')}, {r('1e0 - d.q / f.q', 'iqr_reduction')}
+FROM sens_disp d JOIN sens_disp f ON d.axis = 'de' AND f.axis = 'frequency' AND d.n_bins = f.n_bins AND d.min_units = f.min_units""")
+def _(spark, d):
+    return rounded(binning.reduction_sensitivity(curve(spark, d), [], "gauge_id", CONFIGS, GATES))
+
+
+step("bin_width", f"""SELECT axis, bin_id, count(*) AS n_units, median(beta_median) AS mid, quantile_cont(beta_median, 75e-2) - quantile_cont(beta_median, 25e-2) AS iqr,
+quantile_cont(beta_median, 9e-1) - quantile_cont(beta_median, 1e-1) AS tail FROM unit_bins GROUP BY axis, bin_id HAVING count(*) >= {MIN_UNITS}""")
+
+
+@query("axis_distance", f"""SELECT axis, {r('avg(abs(beta_median - mid))', 'mean_abs')}, {r('sqrt(avg((beta_median - mid) ** 2))', 'rmse')}, count(*) AS n_values, {r('median(abs(beta_median - mid))', 'median_abs')},
+{r('any_value(wi)', 'weighted_iqr')}, {r('any_value(wt)', 'weighted_p90_p10')}, any_value(nb) AS n_bins FROM unit_bins JOIN bin_width USING (axis, bin_id)
+JOIN (SELECT axis, sum(iqr * n_units) / sum(n_units) AS wi, sum(tail * n_units) / sum(n_units) AS wt, count(*) AS nb FROM bin_width GROUP BY axis) USING (axis) GROUP BY axis""")
+def _(spark, d):
+    return rounded(binning.axis_distance(unit_bins(spark, d), ["axis"], "gauge_id", F.lit(MIN_UNITS)))
+
+
+step("gauge_scores", """
+SELECT gauge_id, avg((beta_median - mid) ** 2) FILTER (axis = 'frequency') AS raw_msr, avg((beta_median - mid) ** 2) FILTER (axis = 'de') AS de_msr,
+       count(*) FILTER (axis = 'frequency') AS raw_bins, count(*) FILTER (axis = 'de') AS de_bins
+FROM unit_bins JOIN bin_width USING (axis, bin_id) GROUP BY gauge_id HAVING raw_bins >= 8 AND de_bins >= 6 AND raw_msr > 0""")
+
+
+def scores(spark, d):
+    return binning.gauge_scores(unit_bins(spark, d), [], "gauge_id", MIN_UNITS, 8, 6)
+
+
+@query("gauge_scores", f"SELECT gauge_id, {rs('raw_msr', 'de_msr')}, raw_bins, de_bins, {r('1e0 - de_msr / raw_msr', 'gauge_reduction')} FROM gauge_scores")
+def _(spark, d):
+    return rounded(scores(spark, d))
+
+
+step("ref_points", "SELECT gauge_id, k, log10_de AS x, beta, ar1 FROM ar1_curve")
+step("ref_edges", "SELECT quantile_cont(x, 5e-3) AS lo, (quantile_cont(x, 995e-3) - quantile_cont(x, 5e-3)) / 30e0 AS width, 30 AS n_bins FROM ref_points")
+step("ref_curve", f"""SELECT bin_id, count(*) AS n_points, median(ar1) AS mid, quantile_cont(ar1, 25e-2) AS q25, quantile_cont(ar1, 75e-2) AS q75, any_value(lo + (bin_id + 5e-1) * width) AS center
+FROM (SELECT *, {bin_sql()} AS bin_id FROM ref_points, ref_edges) WHERE bin_id IS NOT NULL GROUP BY bin_id""")
+step("ref_brackets", "SELECT center AS x0, mid AS y0, lead(center) OVER (ORDER BY center) AS x1, lead(mid) OVER (ORDER BY center) AS y1 FROM ref_curve")
+
+
+def with_ar1(spark, d):
+    c = curve(spark, d)
+    return c.withColumn("ar1", spectral.ar1_beta(F.col("frequency"), F.col("tau"))).withColumn("x", F.col("log10_de"))
+
+
+def reference(spark, d):
+    return binning.pooled_curve(with_ar1(spark, d), [], 30, 0.005, 0.995, "ar1")
+
+
+@query("reference_residual", f"""SELECT gauge_id, k, {r('min_by(y0 + (y1 - y0) * (x - x0) / (x1 - x0), x0)', 'reference')}, {r('any_value(beta) - min_by(y0 + (y1 - y0) * (x - x0) / (x1 - x0), x0)', 'residual')}
+FROM ref_points JOIN ref_brackets ON x BETWEEN x0 AND x1 GROUP BY gauge_id, k""")
+def _(spark, d):
+    out = binning.interpolate_reference(with_ar1(spark, d), reference(spark, d), [])
+    return rounded(out.select("gauge_id", "k", "reference", (F.col("beta") - F.col("reference")).alias("residual")))
+
+
+@query("interp_join", f"SELECT count(*) AS n, {r('avg(y)', 'mean_reference')}, {r('min(y)', 'low')}, {r('max(y)', 'high')} FROM (SELECT min_by(y0 + (y1 - y0) * (x - x0) / (x1 - x0), x0) AS y FROM ref_points JOIN ref_brackets ON x BETWEEN x0 AND x1 GROUP BY gauge_id, k)")
+def _(spark, d):
+    out = binning.interpolate_reference(with_ar1(spark, d), reference(spark, d), [])
+    return rounded(out.agg(F.count(F.lit(1)).alias("n"), F.avg("reference").alias("mean_reference"), F.min("reference").alias("low"), F.max("reference").alias("high")))
+
+
+@query("median_curve", f"SELECT cast(bin_id AS int) AS bin_id, n_points, {r('center', 'bin_center')}, {r('mid', 'beta_mid')}, {r('q25', 'beta_q25')}, {r('q75', 'beta_q75')} FROM ref_curve")
+def _(spark, d):
+    return rounded(reference(spark, d))
+
+
+for family, expr in (("obs", "beta"), ("ref", "ar1"), ("res", "(beta - ar1)")):
+    chain(f"ar1_{family}", "ar1_curve", beta=expr)
+
+
+@query("ar1_residual_metrics", " UNION ALL ".join(f"SELECT '{n}' AS family, * FROM ({reduction_sql(f'ar1_{f}_disp')})" for n, f in (("observed", "obs"), ("reference", "ref"), ("residual", "res"))))
+def _(spark, d):
+    long = strata.beta_families(with_ar1(spark, d))
+    return rounded(binning.archive_reduction(long, ["family"], "gauge_id", MIN_UNITS))
+
+
+step("constant_de", "SELECT archive, gauge_id, k, frequency, frequency * 3e0 AS de, beta FROM curve")
+
+
+@query("alt_normalization", reduction_sql(chain("const", "constant_de")))
+def _(spark, d):
+    return rounded(binning.archive_reduction(strata.alternative_axis(curve(spark, d), F.lit(3.0)), [], "gauge_id", MIN_UNITS))
+
+
+step("gauge_tau", "SELECT DISTINCT gauge_id, tau FROM curve")
+step("proxy_order", """
+SELECT gauge_id, tau, row_number() OVER (ORDER BY tau, gauge_id) AS a, row_number() OVER (ORDER BY baseflow_index, gauge_id) AS b FROM gauge_tau JOIN attributes USING (gauge_id)""")
+
+
+def gauge_tau(spark, d):
+    return curve(spark, d).groupBy("gauge_id").agg(F.first("tau").alias("tau"))
+
+
+def tau_with_attributes(spark, d):
+    return gauge_tau(spark, d).join(adapters.attributes(spark, d), "gauge_id")
+
+
+@query("rank_proxy_tau", f"SELECT y.gauge_id, {r('x.tau', 'proxy_tau')} FROM proxy_order x JOIN proxy_order y ON x.a = y.b")
+def _(spark, d):
+    return rounded(strata.rank_matched(tau_with_attributes(spark, d), "gauge_id", "tau", "baseflow_index"))
+
+
+step("tercile_edges", "SELECT quantile_cont(aridity, 1e0 / 3e0) AS a, quantile_cont(aridity, 2e0 / 3e0) AS b FROM attributes WHERE gauge_id IN (SELECT gauge_id FROM gauge_tau)")
+step("tercile_curve", "SELECT c.*, CASE WHEN aridity <= a THEN 'low' WHEN aridity <= b THEN 'middle' ELSE 'high' END AS stratum FROM curve c JOIN attributes USING (gauge_id), tercile_edges")
+
+
+@query("strata_terciles", reduction_sql(chain("terc", "tercile_curve", "stratum", n_bins=12, min_units=3), "stratum"))
+def _(spark, d):
+    cut = strata.tercile(tau_with_attributes(spark, d), "aridity")
+    return rounded(binning.archive_reduction(curve(spark, d).join(cut.select("gauge_id", "stratum"), "gauge_id"), ["stratum"], "gauge_id", 3, n_bins=12))
+
+
+step("quartile_rows", """SELECT gauge_id, 1e0 - de_msr / raw_msr AS red, tau, q1, q2, q3 FROM gauge_scores JOIN gauge_tau USING (gauge_id),
+(SELECT quantile_cont(tau, 25e-2) AS q1, quantile_cont(tau, 5e-1) AS q2, quantile_cont(tau, 75e-2) AS q3 FROM gauge_scores JOIN gauge_tau USING (gauge_id))""")
+
+
+@query("strata_quartiles", f"""SELECT CASE WHEN tau <= q1 THEN 1 WHEN tau <= q2 THEN 2 WHEN tau <= q3 THEN 3 ELSE 4 END AS quartile, count(*) AS n, {r('median(red)', 'median_reduction')},
+{r('avg(CASE WHEN red > 0 THEN 1e0 ELSE 0e0 END)', 'positive_share')}, {r('quantile_cont(red, 25e-2)', 'q25')}, {r('quantile_cont(red, 75e-2)', 'q75')} FROM quartile_rows GROUP BY 1""")
+def _(spark, d):
+    work = scores(spark, d).join(gauge_tau(spark, d), "gauge_id")
+    return rounded(strata.quartile_summary(work, "tau", "gauge_reduction"))
+
+
+step("slow_rows", "SELECT c.*, cast(t AS int) AS tau_limit FROM curve c JOIN (VALUES (1), (2), (4)) v(t) ON tau <= t")
+
+
+@query("slow_memory_audit", reduction_sql(chain("slow", "slow_rows", "tau_limit", n_bins=12, min_units=3), "tau_limit"))
+def _(spark, d):
+    return rounded(strata.slow_memory(curve(spark, d), "gauge_id", [1, 2, 4], 3, 12))
+
+
+@query("support_central", f"""SELECT archive, gauge_id, k, {rs('de', 'beta')} FROM curve, (SELECT min(CASE axis WHEN 'frequency' THEN lo END) AS f0, min(CASE axis WHEN 'frequency' THEN hi END) AS f1,
+min(CASE axis WHEN 'de' THEN lo END) AS d0, min(CASE axis WHEN 'de' THEN hi END) AS d1 FROM (SELECT axis, quantile_cont(x, 25e-3) AS lo, quantile_cont(x, 975e-3) AS hi FROM points GROUP BY axis))
+WHERE log10(frequency) BETWEEN f0 AND f1 AND log10(de) BETWEEN d0 AND d1""")
+def _(spark, d):
+    return rounded(binning.support_central(curve(spark, d), []).select(*KEYS, "k", "de", "beta"))
+
+
+@query("support_contracts")
+def _(spark, d):
+    return rounded(binning.support_contracts(curve(spark, d), [], "gauge_id", MIN_UNITS, 12))
+
+
+def price_curves(spark, d):
+    """Second variable of the same gauges: shipped quantity, as the forcing side."""
+    from tauscope.functions.expressions import norm_gauge
+    from tauscope.operators import prep
+    from tauscope.plans import archive
+
+    rows = adapters.table(spark, d, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum("l_quantity"), 2).alias("q"))
+    rows = rows.join(adapters.archives(spark, d), F.col("l_suppkey") == F.col("s_suppkey")).select("archive", norm_gauge(F.col("l_suppkey"), 8).alias("gauge_id"), "day", "q")
+    return archive.gauge_curves(archive.gauge_anomaly(prep.zero_filled(rows, KEYS, "day", "q"), KEYS), KEYS)
+
+
+@query("forcing_contrast")
+def _(spark, d):
+    return rounded(strata.forcing_contrast(curve(spark, d), price_curves(spark, d), KEYS, MIN_UNITS, 12))
+
+
+@query("construct_rank", f"""SELECT count(*) AS n, {r('corr(rf, rb)', 'rho_frequency_beta')}, {r('corr(rt, rb)', 'rho_tau_beta')}, {r('corr(rd, rb)', 'rho_de_beta')}, {r('corr(rf, rd)', 'rho_frequency_de')} FROM (SELECT
+rank() OVER (ORDER BY frequency) + (count(*) OVER (PARTITION BY frequency) - 1) / 2e0 AS rf, rank() OVER (ORDER BY tau) + (count(*) OVER (PARTITION BY tau) - 1) / 2e0 AS rt,
+rank() OVER (ORDER BY de) + (count(*) OVER (PARTITION BY de) - 1) / 2e0 AS rd, rank() OVER (ORDER BY beta) + (count(*) OVER (PARTITION BY beta) - 1) / 2e0 AS rb FROM curve)""")
+def _(spark, d):
+    return rounded(strata.construct_rank(curve(spark, d)))
+
+
+@query("archive_portfolio", f"""SELECT archive AS name, 'archive' AS class, count(DISTINCT gauge_id) AS n_gauges, {r('median(tau)', 'level')} FROM curve GROUP BY archive
+UNION ALL SELECT 'baseflow_index', 'proxy', count(*), {r('median(baseflow_index)', 'level')} FROM gauge_tau JOIN attributes USING (gauge_id)""")
+def _(spark, d):
+    c, proxy = curve(spark, d), tau_with_attributes(spark, d)
+    own = c.groupBy("archive").agg(F.count_distinct("gauge_id").alias("n_gauges")).join(quantiles(c, ["archive"], "tau", {"level": 0.5}), "archive")
+    own = own.select(F.col("archive").alias("name"), F.lit("archive").alias("class"), "n_gauges", "level")
+    level = quantiles(proxy, [], "baseflow_index", {"level": 0.5})
+    side = proxy.agg(F.count(F.lit(1)).alias("n_gauges")).crossJoin(level).select(F.lit("baseflow_index").alias("name"), F.lit("proxy").alias("class"), "n_gauges", "level")
+    return rounded(own.unionByName(side))
+
+
+@query("scenario_compare", f"""SELECT a.archive AS scenario, b.archive AS comparison, {r('a.red - b.red', 'difference')} FROM (SELECT archive, 1e0 - max(CASE axis WHEN 'de' THEN weighted_variance END) / max(CASE axis WHEN 'frequency' THEN weighted_variance END) AS red FROM arch_disp GROUP BY archive) a
+JOIN (SELECT archive, 1e0 - max(CASE axis WHEN 'de' THEN weighted_variance END) / max(CASE axis WHEN 'frequency' THEN weighted_variance END) AS red FROM arch_disp GROUP BY archive) b ON b.archive = 'ASIA' AND a.archive <> 'ASIA'""")
+def _(spark, d):
+    red = binning.archive_reduction(curve(spark, d), ["archive"], "gauge_id", 3, low=0.02, high=0.98, n_bins=12)
+    pairs = config_table(spark, ["scenario", "comparison"], [(a, "ASIA") for a in ("AFRICA", "AMERICA", "EUROPE", "MIDDLE EAST")])
+    return rounded(strata.compare(red, pairs, "archive", "reduction"))
+
+
+step("family_curve", "SELECT archive, gauge_id, family, k, frequency, frequency * tau AS de, beta FROM family_slopes")
+
+
+@query("analytic_null_summary", reduction_sql(chain("fam", "family_curve", "family"), "family"))
+def _(spark, d):
+    return rounded(binning.archive_reduction(family_curves(spark, d), ["family"], "gauge_id", MIN_UNITS))
