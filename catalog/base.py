@@ -14,7 +14,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauscope.operators import binning, prep, spectral
+from tauscope.functions import ranks
+from tauscope.operators import binning
 from tauscope.plans import archive
 from tauscope.sources import adapters
 
@@ -117,6 +118,7 @@ def forget() -> None:
     for df in _SHARED.values():
         df.unpersist()
     _SHARED.clear()
+    ranks.release()
 
 
 @shared("daily")

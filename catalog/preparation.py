@@ -201,10 +201,10 @@ SELECT archive, gauge_id, day, q, cast(least(floor((day - lo) / ((hi - lo) / 4e0
 FROM (SELECT *, min(day) OVER w AS lo, max(day) OVER w AS hi FROM recorded WINDOW w AS (PARTITION BY gauge_id))""")
 
 
-@query("split_blocks", f"SELECT archive, gauge_id, block, count(*) AS n, {r('avg(q)', 'mean_q', 9)} FROM block_rows GROUP BY ALL")
+@query("split_blocks", f"SELECT archive, gauge_id, block, count(*) AS n, {r('avg(q)', 'mean_q', 5)} FROM block_rows GROUP BY ALL")
 def _(spark, d):
     blocks = prep.split_blocks(adapters.recorded_flow(spark, d), KEYS, "day", 4)
-    return rounded(blocks.groupBy(*KEYS, "block").agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("mean_q")), 9)
+    return rounded(blocks.groupBy(*KEYS, "block").agg(F.count(F.lit(1)).alias("n"), F.avg("q").alias("mean_q")), 5)
 
 
 step("split_rows", """

@@ -4,18 +4,39 @@ A plain ``row_number() over (order by x)`` or ``percentile(x)`` sends the whole
 one task. Here every group is first cut into ordered buckets; window functions run
 inside a bucket and a small table of bucket sizes supplies the offsets. Bucket edges
 come from a bounded sketch and only steer the work: results are exact. Equal values
-are merged into counted rows before the shuffle, so a hot value is one row.
+are merged into counted rows before the shuffle, so a hot value is one row. The counted table is
+also measured: when its largest group has at most ``SMALL`` distinct values, one window
+or aggregate per group is used instead, which needs fewer shuffles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BUCKETS = 32
+SMALL = 200_000
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Reuse a reduced table inside one plan: kept in memory or on disk, rebuilt if lost.
+
+    Without it every reference would repeat the whole upstream plan.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _KEPT.append(df)
+    return df
+
+
+def release() -> None:
+    """Free the tables kept by earlier plans of this application."""
+    while _KEPT:
+        _KEPT.pop().unpersist()
 
 
 def _key(by: Sequence[str]) -> list:
@@ -58,16 +79,30 @@ def hash_order(
     return bucketed_row_number(with_u, by, ["_u", *tie], bucket, name).drop("_u")
 
 
-def cumulative_counts(
-    df: DataFrame, by: Sequence[str], value: str, weight: str | None = None, buckets: int = BUCKETS
-) -> DataFrame:
-    """One row per distinct value: ``_n`` copies, ``_cum`` rows at or below, ``_total``."""
-    amount = F.sum(weight) if weight else F.count(F.lit(1))
-    counts = (
+def value_counts(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, bool]:
+    """Distinct values with ``_n`` copies, and whether every group is small."""
+    counts = keep(
         df.where(F.col(value).isNotNull())
         .groupBy(*by, value)
-        .agg(amount.cast("long").alias("_n"))
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).head()[0]
+    return counts, (largest or 0) <= SMALL
+
+
+def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """One row per distinct value: ``_n`` copies, ``_cum`` rows at or below, ``_total``."""
+    counts, small = value_counts(df, by, value)
+    if small:
+        group = W.partitionBy(*_key(by))
+        upto = group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+        return counts.select(
+            *by, value, "_n", F.sum("_n").over(upto).alias("_cum"), F.sum("_n").over(group).alias("_total")
+        )
+    return _bucketed_counts(counts, by, value, buckets)
+
+
+def _bucketed_counts(counts: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
     marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     groups = counts.groupBy(*by).agg(
         F.percentile_approx(value, marks, 1000).alias("_edges"), F.sum("_n").alias("_total")
@@ -88,7 +123,12 @@ def quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = BUCKETS
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``by``, one column per prob."""
-    cum = cumulative_counts(df, by, value, buckets=buckets)
+    counts, small = value_counts(df, by, value)
+    if small:
+        every = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("_n"))
+        rows = counts.groupBy(*by).agg(every.alias("_q"))
+        return rows.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+    cum = _bucketed_counts(counts, by, value, buckets)
     picks = []
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)
@@ -116,7 +156,7 @@ def average_ranks(
     df: DataFrame, by: Sequence[str], value: str, name: str, buckets: int = BUCKETS
 ) -> DataFrame:
     """Attach the average rank of ``value`` inside ``by`` (ties share their mean rank)."""
-    cum = cumulative_counts(df, by, value, buckets=buckets)
+    cum = cumulative_counts(df, by, value, buckets)
     ranks = cum.select(
         *by, value, (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(name)
     )
