@@ -11,9 +11,6 @@ from tauscope.functions.tables import config_table
 from tauscope.operators import binning, spectral, strata
 from tauscope.sources import adapters
 
-REDUCTION = "raw_variance, de_variance, raw_bins, de_bins, reduction"
-
-
 def reduction_sql(source: str, groups: str = "") -> str:
     g = f"{groups}, " if groups else ""
     by = f"GROUP BY {groups}" if groups else ""

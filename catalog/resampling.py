@@ -1 +1,255 @@
-from catalog.base import query  # noqa: F401
+"""Bootstraps, permutations, cross-fits and null series."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import KEYS, MIN_UNITS, anomaly, curve, daily, normal_sql, query, r, rounded, rs, step, uniform_sql, unit_bins
+from catalog.dispersion import chain, gauge_tau, reduction_sql, scores
+from tauscope.operators import binning, nulls, prep, resampling, spectral
+from tauscope.plans import archive, ensemble
+from tauscope.sources import adapters
+
+SEED = 20260531
+DRAWS = 20
+
+step("boot_order", f"SELECT gauge_id, row_number() OVER (ORDER BY {uniform_sql(str(SEED), chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS slot FROM (SELECT DISTINCT gauge_id FROM unit_bins)")
+step("boot_weights", f"""
+SELECT p.draw, o.gauge_id, p.weight FROM (SELECT draw, cast(floor({uniform_sql(str(SEED), 'draw', 'slot')} * n) AS bigint) + 1 AS pick, count(*) AS weight
+FROM boot_order, range(0, {DRAWS}) t(draw), (SELECT count(*) AS n FROM boot_order) GROUP BY ALL) p JOIN boot_order o ON o.slot = p.pick""")
+step("boot_bins", """
+SELECT draw, axis, bin_id, sum(weight) AS w, sum(weight * beta_median) AS wb, sum(weight * beta_median * beta_median) AS wbb, count(*) AS units
+FROM unit_bins JOIN boot_weights USING (gauge_id) GROUP BY ALL""")
+
+
+def boot_sql(gate, variance):
+    return f"""SELECT draw, {r('f', 'raw_variance')}, {r('d', 'de_variance')}, {r('1e0 - d / f', 'reduction')} FROM (SELECT draw, max(CASE axis WHEN 'frequency' THEN v END) AS f, max(CASE axis WHEN 'de' THEN v END) AS d
+FROM (SELECT draw, axis, sum({variance} * w) / sum(w) AS v FROM boot_bins WHERE {gate} GROUP BY ALL) GROUP BY draw)"""
+
+
+step("boot_draws", boot_sql(f"units >= {MIN_UNITS}", "((wbb - wb * wb / w) / w)").replace("round(", "(").replace(", 6) + 0e0", ")"))
+
+
+def boot(spark, d, sample=False):
+    return resampling.boot_gauge_reduction(unit_bins(spark, d), [], "gauge_id", DRAWS, SEED, MIN_UNITS, sample)
+
+
+@query("bootstrap_indices", "SELECT draw, gauge_id, weight FROM boot_weights")
+def _(spark, d):
+    return resampling.bootstrap_weights(unit_bins(spark, d), [], "gauge_id", DRAWS, SEED).select("draw", "gauge_id", "weight")
+
+
+@query("boot_gauge_reduction", boot_sql(f"units >= {MIN_UNITS}", "((wbb - wb * wb / w) / w)"))
+def _(spark, d):
+    return rounded(boot(spark, d))
+
+
+@query("boot_freq_weighted", boot_sql("w >= 2", "((wbb - wb * wb / w) / greatest(w - 1, 1))"))
+def _(spark, d):
+    return rounded(boot(spark, d, True))
+
+
+@query("draw_summary", f"SELECT count(*) AS n_draws, {r('stddev_samp(reduction)', 'sd')}, {r('avg(CASE WHEN reduction > 0 THEN 1e0 ELSE 0e0 END)', 'probability_positive')}, {r('quantile_cont(reduction, 25e-3)', 'ci_low')}, {r('median(reduction)', 'median')}, {r('quantile_cont(reduction, 975e-3)', 'ci_high')} FROM boot_draws")
+def _(spark, d):
+    return rounded(resampling.draw_summary(boot(spark, d), []))
+
+
+step("cluster_order", f"SELECT cluster, row_number() OVER (ORDER BY {uniform_sql(str(SEED), chr(39) + 'order' + chr(39), 'cluster')}, cluster) AS slot FROM (SELECT DISTINCT cluster FROM gauge_archive)")
+step("cluster_picks", f"""SELECT draw, a.slot AS rep, b.cluster FROM (SELECT draw, slot, cast(floor({uniform_sql(str(SEED), 'draw', 'slot')} * n) AS bigint) + 1 AS pick
+FROM cluster_order, range(0, 5) t(draw), (SELECT count(*) AS n FROM cluster_order)) a JOIN cluster_order b ON b.slot = a.pick""")
+step("cluster_curve", "SELECT draw, c.gauge_id || '__clusterrep' || rep AS gauge_id, frequency, de, beta FROM curve c JOIN gauge_archive g ON c.gauge_id = lpad(cast(s_suppkey AS varchar), 8, '0') JOIN cluster_picks p ON p.cluster = g.cluster")
+
+
+def clusters(spark, d):
+    return adapters.archives(spark, d).select(F.lpad(F.col("s_suppkey").cast("string"), 8, "0").alias("gauge_id"), "cluster")
+
+
+@query("boot_cluster", reduction_sql(chain("clus", "cluster_curve", "draw", n_bins=12), "draw"))
+def _(spark, d):
+    return rounded(resampling.boot_cluster(curve(spark, d), clusters(spark, d), "gauge_id", "cluster", 5, SEED, MIN_UNITS, 12))
+
+
+step("geo_order", """SELECT gauge_id, row_number() OVER (ORDER BY slope, gauge_id) AS a, row_number() OVER (ORDER BY aridity, gauge_id) AS b, count(*) OVER () AS n FROM attributes WHERE slope IS NOT NULL AND aridity IS NOT NULL""")
+geo_bins = "least({k}, greatest(1, floor(n / 20e0)))"
+
+
+@query("cluster_labels", f"SELECT t.gauge_id, coalesce(cast(cast(greatest(ceil(round((a - 1) * {geo_bins.format(k=3)} / (n - 1), 9)) - 1, 0) AS int) AS varchar) || '_' || cast(cast(greatest(ceil(round((b - 1) * {geo_bins.format(k=4)} / (n - 1), 9)) - 1, 0) AS int) AS varchar), 'missing_geo') AS cluster_id FROM attributes t LEFT JOIN geo_order g USING (gauge_id)")
+def _(spark, d):
+    return resampling.geo_grid_labels(adapters.attributes(spark, d), "gauge_id", "slope", "aridity")
+
+
+step("sub_curve", f"SELECT draw, c.* FROM curve c JOIN (SELECT * FROM (SELECT draw, gauge_id, row_number() OVER (PARTITION BY draw ORDER BY {uniform_sql(str(SEED), 'draw', 'gauge_id')}, gauge_id) AS n FROM gauge_tau, range(0, 5) t(draw)) WHERE n <= 30) USING (gauge_id)")
+
+
+@query("subsample_stability", reduction_sql(chain("subs", "sub_curve", "draw", n_bins=12), "draw"))
+def _(spark, d):
+    return rounded(resampling.subsample(curve(spark, d), "gauge_id", 30, 5, SEED, MIN_UNITS, 12))
+
+
+step("tau_slots", f"SELECT gauge_id, tau, row_number() OVER (ORDER BY {uniform_sql(str(SEED), chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS n FROM gauge_tau")
+step("tau_shuffle", f"SELECT draw, p.gauge_id, s.tau AS new_tau FROM (SELECT draw, gauge_id, row_number() OVER (PARTITION BY draw ORDER BY {uniform_sql(str(SEED), 'draw', 'gauge_id')}, gauge_id) AS n FROM gauge_tau, range(0, 5) t(draw)) p JOIN tau_slots s USING (n)")
+step("shuffle_curve", "SELECT draw, gauge_id, frequency, frequency * new_tau AS de, beta FROM curve JOIN tau_shuffle USING (gauge_id)")
+chain("shuf", "shuffle_curve", "draw", n_bins=12)
+chain("raw12", "curve", n_bins=12)
+
+
+@query("random_tau_null", f"SELECT draw, {r('d.weighted_variance', 'de_variance')}, {r('f.weighted_variance', 'raw_variance')}, {r('1e0 - d.weighted_variance / f.weighted_variance', 'reduction')} FROM shuf_disp d JOIN raw12_disp f ON d.axis = 'de' AND f.axis = 'frequency'")
+def _(spark, d):
+    return rounded(resampling.random_tau_null(curve(spark, d), "gauge_id", 5, SEED, MIN_UNITS, 12))
+
+
+@query("perm_variance_reduction")
+def _(spark, d):
+    return rounded(resampling.random_tau_null(curve(spark, d), "gauge_id", 10, SEED + 1, 3, 12, ["archive"]))
+
+
+@query("boot_statistic")
+def _(spark, d):
+    return rounded(resampling.boot_statistic(scores(spark, d), [], "gauge_id", "gauge_reduction", 200, SEED))
+
+
+step("perm_rows", "SELECT gauge_id, ln(tau) AS x, b AS y FROM gauge_tau JOIN (SELECT gauge_id, avg(beta) AS b FROM curve GROUP BY 1) USING (gauge_id)")
+step("perm_slots", f"SELECT gauge_id, x, row_number() OVER (ORDER BY {uniform_sql(str(SEED), chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS n FROM perm_rows")
+step("perm_draws", f"SELECT draw, corr(s.x, p.y) AS c FROM (SELECT draw, gauge_id, y, row_number() OVER (PARTITION BY draw ORDER BY {uniform_sql(str(SEED), 'draw', 'gauge_id')}, gauge_id) AS n FROM perm_rows, range(0, 200) t(draw)) p JOIN perm_slots s USING (n) GROUP BY draw")
+
+
+@query("perm_r2", f"""SELECT {r('o', 'observed')}, {r('(count(*) FILTER (abs(c) >= abs(o)) + 1) / (count(*) + 1e0)', 'p_value')}, {r('avg(c * c)', 'null_r2')}, {r('stddev_samp(c * c)', 'null_r2_sd')}, count(*) AS n_draws,
+{r('(o * o - avg(c * c)) / stddev_samp(c * c)', 'z')} FROM perm_draws, (SELECT corr(x, y) AS o FROM perm_rows) GROUP BY o""")
+def _(spark, d):
+    rows = curve(spark, d).groupBy("gauge_id").agg(F.log(F.first("tau")).alias("x"), F.avg("beta").alias("y"))
+    return rounded(resampling.perm_correlation(rows, "gauge_id", "x", "y", 200, SEED))
+
+
+def segment_curves(spark, d, segments, segment):
+    """Anomaly, memory time and spectrum of every segment, then memory from the others."""
+    keys = [*KEYS, segment]
+    a = archive.gauge_anomaly(segments, keys)
+    tau = spectral.tau_integral(spectral.acf(a, keys, "i", "q", 365), keys)
+    return ensemble.crossfit(a, tau, KEYS, segment, MIN_UNITS, 12)
+
+
+@query("crossfit_half")
+def _(spark, d):
+    return rounded(segment_curves(spark, d, prep.split_half(daily(spark, d), KEYS, "day"), "segment"))
+
+
+@query("crossfit_blocks")
+def _(spark, d):
+    return rounded(segment_curves(spark, d, prep.split_blocks(daily(spark, d), KEYS, "day", 4), "block"))
+
+
+step("fold_rows", f"SELECT *, cast(floor({uniform_sql(str(SEED), 'gauge_id')} * 5e0) AS int) AS fold FROM unit_bins")
+step("fold_ref", "SELECT axis, t AS fold, bin_id, median(beta_median) AS mid FROM fold_rows JOIN range(0, 5) v(t) ON fold <> t GROUP BY ALL HAVING count(*) >= 8")
+
+
+@query("kfold_reference", f"SELECT axis, fold, {r('avg(abs(beta_median - mid))', 'mean_abs_distance')}, {r('sqrt(avg((beta_median - mid) ** 2))', 'rmse')}, count(*) AS n_values FROM fold_rows JOIN fold_ref USING (axis, fold, bin_id) GROUP BY axis, fold")
+def _(spark, d):
+    return rounded(resampling.kfold_distance(unit_bins(spark, d), ["axis"], "gauge_id", 5, SEED, 8))
+
+
+def indexed(spark, d):
+    return spectral.grid_index(daily(spark, d), KEYS, "day")
+
+
+step("daily_index", "SELECT archive, gauge_id, day, q, date_diff('day', min(day) OVER w, day) AS i, avg(q) OVER w AS m, stddev_pop(q) OVER w AS s, count(*) OVER w AS n FROM daily WINDOW w AS (PARTITION BY gauge_id)")
+
+
+@query("null_white", f"SELECT archive, gauge_id, 0 AS draw, i, {r('m + s * ' + normal_sql(str(SEED), '0', 'archive', 'gauge_id', 'i'), 'x', 3)} FROM daily_index")
+def _(spark, d):
+    return rounded(nulls.white(indexed(spark, d), KEYS, "i", "q", 1, SEED), 3)
+
+
+@query("null_ar1_fit", f"SELECT archive, gauge_id, {r('p', 'phi')}, {r('stddev_pop(y - p * x)', 'sigma', 3)} FROM (SELECT *, greatest(-99e-2, least(99e-2, sum(x * y) OVER w / sum(x * x) OVER w)) AS p FROM (SELECT archive, gauge_id, q - m AS x, lead(q - m) OVER (PARTITION BY gauge_id ORDER BY i) AS y FROM daily_index) WHERE y IS NOT NULL WINDOW w AS (PARTITION BY gauge_id)) GROUP BY archive, gauge_id, p")
+def _(spark, d):
+    return rounded(nulls.ar1_fit(indexed(spark, d), KEYS, "i", "q"), 6, sigma=3)
+
+
+step("season_pool", "SELECT archive, gauge_id, i, n, median(q) OVER (PARTITION BY gauge_id, dayofyear(day)) AS level, q - median(q) OVER (PARTITION BY gauge_id, dayofyear(day)) AS res FROM daily_index")
+
+
+@query("null_seasonal", f"SELECT a.archive, a.gauge_id, 0 AS draw, a.i, {r('a.level + b.res', 'x', 3)} FROM (SELECT *, cast(floor({uniform_sql(str(SEED), '0', 'archive', 'gauge_id', 'i')} * n) AS bigint) AS pick FROM season_pool) a JOIN season_pool b ON a.gauge_id = b.gauge_id AND b.i = a.pick")
+def _(spark, d):
+    return rounded(nulls.seasonal(indexed(spark, d), KEYS, "i", "day", "q", 1, SEED), 3)
+
+
+step("block_drawn", f"SELECT a.archive, a.gauge_id, a.i, a.m, a.s, b.q AS x FROM (SELECT *, cast(floor({uniform_sql(str(SEED), '0', 'archive', 'gauge_id', 'i // 90')} * (n - 89)) AS bigint) + i % 90 AS pick FROM daily_index) a JOIN daily_index b ON a.gauge_id = b.gauge_id AND b.i = a.pick")
+
+
+@query("null_block", f"SELECT archive, gauge_id, 0 AS draw, i, {r('(x - avg(x) OVER w) / stddev_pop(x) OVER w * s + m', 'x', 3)} FROM block_drawn WINDOW w AS (PARTITION BY gauge_id)")
+def _(spark, d):
+    return rounded(nulls.block(indexed(spark, d), KEYS, "i", "q", 90, 1, SEED), 3)
+
+
+step("wy_rows", "SELECT *, year(day) - CASE WHEN month(day) < 10 THEN 1 ELSE 0 END AS wy FROM daily_index")
+step("wy_years", f"SELECT archive, gauge_id, wy, count(*) AS len, min(i) AS f, {uniform_sql(str(SEED), '0', 'archive', 'gauge_id', 'wy')} AS u FROM wy_rows GROUP BY ALL HAVING count(*) > 100")
+step("wy_moved", "SELECT y.gauge_id, y.t + r.i - y.f AS i, r.q AS x FROM (SELECT *, coalesce(sum(len) OVER (PARTITION BY gauge_id ORDER BY u, wy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM wy_years) y JOIN wy_rows r ON r.gauge_id = y.gauge_id AND r.wy = y.wy")
+
+
+@query("null_water_year", f"SELECT d.archive, d.gauge_id, 0 AS draw, d.i, {r('coalesce(x, q)', 'x', 3)} FROM daily_index d LEFT JOIN wy_moved w ON w.gauge_id = d.gauge_id AND w.i = d.i")
+def _(spark, d):
+    return rounded(nulls.water_years(indexed(spark, d), KEYS, "i", "day", "q", 1, SEED), 3)
+
+
+def register_array(family):
+    @query(f"null_{family}")
+    def _(spark, d):
+        out = nulls.array_nulls(indexed(spark, d), KEYS, "i", "q", family, 2, SEED)
+        return rounded(out.groupBy(*KEYS, "draw").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")), 3)
+
+
+for family in ("ar1", "phase", "iaaft", "two_timescale", "arfima"):
+    register_array(family)
+
+
+def null_draws(spark, d):
+    return ensemble.null_ensemble(anomaly(spark, d), curve(spark, d), KEYS, "q", ["ar1", "phase"], 4, SEED, MIN_UNITS, 12)
+
+
+@query("null_ensemble")
+def _(spark, d):
+    return rounded(null_draws(spark, d))
+
+
+@query("null_summary")
+def _(spark, d):
+    return rounded(ensemble.null_summary(null_draws(spark, d)))
+
+
+@query("null_calibrated")
+def _(spark, d):
+    return rounded(ensemble.null_calibrated(ensemble.null_summary(null_draws(spark, d)), scores(spark, d)))
+
+
+step("gauge_null", """SELECT c.gauge_id, f.family, count(*) AS n, median(f.beta) AS median_null, avg(CASE WHEN f.beta >= c.beta THEN 1e0 ELSE 0e0 END) AS p
+FROM family_slopes f JOIN curve c USING (gauge_id, k) GROUP BY ALL""")
+
+
+def gauge_null(spark, d):
+    from catalog.spectra import family_curves
+
+    rows = family_curves(spark, d).select("gauge_id", "family", "k", F.col("beta").alias("null_value"))
+    return ensemble.null_gauge_p(rows.join(curve(spark, d).select("gauge_id", "k", F.col("beta").alias("observed")), ["gauge_id", "k"]), ["gauge_id", "family"])
+
+
+@query("null_gauge_p", f"SELECT gauge_id, family, n, {rs('median_null', 'p')} FROM gauge_null")
+def _(spark, d):
+    return rounded(gauge_null(spark, d))
+
+
+@query("null_rejections", f"SELECT family, count(*) AS n_gauges, count(*) FILTER (p = 0) AS n_zero, count(*) FILTER (p <= 1e0 / n) AS n_smallest, {r('avg(CASE WHEN p < 67e-3 THEN 1e0 ELSE 0e0 END)', 'share_low')} FROM gauge_null GROUP BY family")
+def _(spark, d):
+    return rounded(ensemble.null_rejections(gauge_null(spark, d), ["family"]))
+
+
+@query("null_tau_match")
+def _(spark, d):
+    return rounded(ensemble.null_tau_match(anomaly(spark, d), gauge_tau(spark, d), KEYS, "q", ["ar1", "phase"], 2, SEED))
+
+
+@query("empirical_p", f"""SELECT family, {r('avg(CASE WHEN f.beta >= c.beta THEN 1e0 ELSE 0e0 END)', 'p_share')}, {r('(count(*) FILTER (f.beta >= c.beta) + 1) / (count(*) + 1e0)', 'p_plus_one')},
+{r('1e2 * avg(CASE WHEN f.beta <= c.beta THEN 1e0 ELSE 0e0 END)', 'percentile')} FROM family_slopes f JOIN curve c USING (gauge_id, k) GROUP BY family""")
+def _(spark, d):
+    from catalog.spectra import family_curves
+
+    rows = family_curves(spark, d).select("gauge_id", "family", "k", F.col("beta").alias("null_value"))
+    return rounded(ensemble.empirical_p(rows.join(curve(spark, d).select("gauge_id", "k", F.col("beta").alias("observed")), ["gauge_id", "k"]), ["family"]))
