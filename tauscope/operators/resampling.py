@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tauscope.functions.ranks import hash_order, quantiles, same
+from tauscope.functions.ranks import hash_order, keep, quantiles, same
 from tauscope.functions.rng import index_draw, uniform
 from tauscope.operators.binning import archive_reduction, bin_variances, dispersion, unit_bin_median, unpivot_axes
 
@@ -23,7 +23,8 @@ def each_draw(df: DataFrame, n_draws: int) -> DataFrame:
 
 def bootstrap_weights(units: DataFrame, groups: Sequence[str], unit: str, n_boot: int, seed: int) -> DataFrame:
     """How often each unit is drawn: (groups, draw, unit, weight), zero weights absent."""
-    numbered = hash_order(units.select(*groups, unit).distinct(), groups, uniform(seed, "order", F.col(unit)), [unit], "_slot")
+    names = keep(units.select(*groups, unit).distinct())
+    numbered = keep(hash_order(names, groups, uniform(seed, "order", F.col(unit)), [unit], "_slot"))
     sizes = numbered.groupBy(*groups).agg(F.count(F.lit(1)).alias("_size"))
     picks = each_draw(same(numbered, sizes, groups), n_boot).select(
         *groups, "draw", index_draw(F.col("_size"), seed, F.col("draw"), F.col("_slot")).alias("_slot")
@@ -40,6 +41,7 @@ def boot_gauge_reduction(
     ``sample`` False: population weighted variance, bins need ``min_units`` distinct units.
     ``sample`` True: frequency-weighted sample variance, bins need a total weight of 2.
     """
+    binned = keep(binned)
     weights = bootstrap_weights(binned, groups, unit, n_boot, seed)
     w, b = F.col("weight"), F.col("beta_median")
     bins = binned.join(weights, [*groups, unit]).groupBy(*groups, "draw", "axis", "bin_id").agg(
@@ -98,6 +100,7 @@ def permuted(
     units: DataFrame, within: Sequence[str], unit: str, value: str, n_draws: int, seed: int, name: str
 ) -> DataFrame:
     """Permute ``value`` over units (inside ``within``) once per draw."""
+    units = keep(units)
     base = hash_order(units, within, uniform(seed, "order", F.col(unit)), [unit], "_n")
     source = base.select(*within, "_n", F.col(value).alias(name))
     target = hash_order(
