@@ -1 +1,219 @@
-from catalog.base import query  # noqa: F401
+"""Baseline predictions, skill, curve distances and the decision test."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.base import KEYS, curve, daily, query, r, rounded, rs, shared, step
+from catalog.dispersion import gauge_tau
+from tauscope.functions.ranks import quantiles
+from tauscope.operators import evaluation as ev
+from tauscope.operators import prep, stats
+from tauscope.plans import archive
+from tauscope.sources import adapters
+
+
+def splits(spark, d):
+    return prep.train_eval_split(daily(spark, d), KEYS, "day", "q", min_values=365)
+
+
+COLUMNS = [*KEYS, "day", "split", "q", "q_pred", "model_type"]
+
+
+@shared("predictions")
+def predictions(spark, d):
+    """Three baselines over every gauge and day."""
+    rows = splits(spark, d)
+    clim = ev.climatology(rows, KEYS, "day", "q").withColumn("model_type", F.lit("climatology"))
+    mean = ev.climatology(rows, KEYS, "day", "q", "mean", "M").withColumn("model_type", F.lit("monthly_mean"))
+    last = ev.persistence(rows, KEYS, "day", "q").withColumn("model_type", F.lit("persistence"))
+    return clim.select(COLUMNS).unionByName(mean.select(COLUMNS)).unionByName(last.select(COLUMNS))
+
+
+def model(spark, d, name):
+    return predictions(spark, d).where(F.col("model_type") == name)
+
+
+step("season_level", "SELECT gauge_id, dayofyear(day) AS s, median(q) AS level FROM split_rows WHERE split = 'train' GROUP BY ALL")
+step("train_level", "SELECT gauge_id, median(q) AS med, avg(q) AS mean FROM split_rows WHERE split = 'train' GROUP BY ALL")
+step("month_level", "SELECT gauge_id, month(day) AS s, avg(q) AS level FROM split_rows WHERE split = 'train' GROUP BY ALL")
+step("pred_clim", "SELECT archive, r.gauge_id, day, split, q, coalesce(level, med) AS q_pred, 'climatology' AS model_type FROM split_rows r LEFT JOIN season_level l ON l.gauge_id = r.gauge_id AND s = dayofyear(day) JOIN train_level t ON t.gauge_id = r.gauge_id")
+step("pred_month", "SELECT archive, r.gauge_id, day, split, q, coalesce(level, mean) AS q_pred, 'monthly_mean' AS model_type FROM split_rows r LEFT JOIN month_level l ON l.gauge_id = r.gauge_id AND s = month(day) JOIN train_level t ON t.gauge_id = r.gauge_id")
+step("pred_last", "SELECT archive, r.gauge_id, day, split, q, coalesce(lag(q) OVER (PARTITION BY r.gauge_id ORDER BY day), mean) AS q_pred, 'persistence' AS model_type FROM split_rows r JOIN train_level t ON t.gauge_id = r.gauge_id")
+step("preds", "SELECT * FROM pred_clim UNION ALL SELECT * FROM pred_month UNION ALL SELECT * FROM pred_last")
+
+
+@query("pred_climatology", f"SELECT archive, gauge_id, day, split, {r('q_pred', digits=3)} FROM pred_clim")
+def _(spark, d):
+    return rounded(model(spark, d, "climatology").select(*KEYS, "day", "split", "q_pred"), 3)
+
+
+@query("pred_persistence", f"SELECT archive, gauge_id, day, split, {r('q_pred', digits=3)} FROM pred_last")
+def _(spark, d):
+    return rounded(model(spark, d, "persistence").select(*KEYS, "day", "split", "q_pred"), 3)
+
+
+@query("monthly_train_mean", f"SELECT archive, gauge_id, month(day) AS month, {r('any_value(q_pred)', 'q_pred', 3)} FROM pred_month GROUP BY ALL")
+def _(spark, d):
+    rows = model(spark, d, "monthly_mean").groupBy(*KEYS, F.month("day").alias("month")).agg(F.first("q_pred").alias("q_pred"))
+    return rounded(rows, 3)
+
+
+step("skill_rows", """
+SELECT archive, gauge_id, model_type, count(*) AS n_pairs, CASE WHEN var_pop(q) > 0 THEN 1e0 - avg((q - q_pred) ** 2) / var_pop(q) END AS nse,
+CASE WHEN stddev_pop(q) * stddev_pop(q_pred) > 0 AND avg(q) <> 0 THEN 1e0 - sqrt((covar_pop(q, q_pred) / (stddev_pop(q) * stddev_pop(q_pred)) - 1) ** 2 + (stddev_pop(q_pred) / stddev_pop(q) - 1) ** 2 + (avg(q_pred) / avg(q) - 1) ** 2) END AS kge
+FROM preds WHERE split = 'eval' GROUP BY ALL HAVING count(*) >= 10""")
+
+
+def skill(spark, d):
+    return ev.skill(predictions(spark, d).where(F.col("split") == "eval"), [*KEYS, "model_type"], "q", "q_pred")
+
+
+@query("nse_kge", f"SELECT archive, gauge_id, model_type, n_pairs, {rs('nse', 'kge')} FROM skill_rows")
+def _(spark, d):
+    return rounded(skill(spark, d))
+
+
+@query("pred_seasonal_ar1_fit", f"""SELECT archive, gauge_id, {r('p', 'phi')}, {r('stddev_pop(y - p * x)', 'sigma')} FROM (SELECT *, greatest(-98e-2, least(98e-2, sum(x * y) OVER w / sum(x * x) OVER w)) AS p FROM
+(SELECT archive, gauge_id, x, lead(x) OVER (PARTITION BY gauge_id ORDER BY day) AS y FROM (SELECT archive, gauge_id, day, ln(1 + q) - avg(ln(1 + q)) OVER (PARTITION BY gauge_id, dayofyear(day)) AS x FROM split_rows WHERE split = 'train')) WHERE y IS NOT NULL WINDOW w AS (PARTITION BY gauge_id)) GROUP BY archive, gauge_id, p""")
+def _(spark, d):
+    train = splits(spark, d).where(F.col("split") == "train")
+    return rounded(ev.seasonal_ar1_fit(train, KEYS, "day", "q"))
+
+
+step("scale_rows", """
+SELECT *, greatest(m - slope * mr, 0e0) AS intercept FROM (SELECT archive, gauge_id, model_type, greatest(coalesce(CASE WHEN var_pop(q_pred) > 0 THEN regr_slope(q, q_pred) END, 0e0), 0e0) AS slope, avg(q) AS m, avg(q_pred) AS mr, var_pop(q) AS vo, var_pop(q_pred) AS vr, covar_pop(q, q_pred) AS c
+FROM preds WHERE split = 'train' GROUP BY ALL)""")
+step("scale_scores", "SELECT *, 1e0 - (vo - 2 * slope * c + slope * slope * vr + (m - intercept - slope * mr) ** 2) / vo AS nse FROM scale_rows WHERE vo > 0")
+
+
+@query("scale_fit", f"SELECT archive, gauge_id, arg_max(model_type, nse) AS model_type, {r('arg_max(slope, nse)', 'slope')}, {r('arg_max(intercept, nse)', 'intercept', 2)}, {r('max(nse)', 'train_nse')} FROM scale_scores GROUP BY archive, gauge_id")
+def _(spark, d):
+    return rounded(ev.scale_fit(predictions(spark, d), KEYS, "model_type", "q", "q_pred"), 6, intercept=2)
+
+
+@query("ensemble_mean", f"SELECT archive, gauge_id, day, {r('avg(q_pred)', 'q_pred', 3)}, count(*) AS n_members FROM preds GROUP BY archive, gauge_id, day")
+def _(spark, d):
+    rows = predictions(spark, d).withColumnRenamed("q", "q_obs")
+    return rounded(ev.ensemble_mean(rows, [*KEYS, "day"], "mean").select(*KEYS, "day", "q_pred", "n_members"), 3)
+
+
+@shared("model_curves")
+def model_curves(spark, d):
+    """Curves of every model on its own memory time."""
+    keys = [*KEYS, "model_type"]
+    rows = predictions(spark, d).select(*keys, "day", F.col("q_pred").alias("q"))
+    return archive.gauge_curves(archive.gauge_anomaly(rows, keys), keys)
+
+
+def distances(spark, d, axis="de"):
+    return ev.curve_distance(curve(spark, d), model_curves(spark, d), KEYS, "model_type", axis)
+
+
+@query("curve_distance")
+def _(spark, d):
+    return rounded(distances(spark, d))
+
+
+def metrics(spark, d):
+    tau_sim = model_curves(spark, d).groupBy(*KEYS, "model_type").agg(F.first("tau").alias("tau"))
+    tau_obs = curve(spark, d).groupBy(*KEYS).agg(F.first("tau").alias("tau"))
+    rows = ev.metric_rows(skill(spark, d), distances(spark, d), tau_obs, tau_sim, KEYS, "model_type")
+    raw = distances(spark, d, "frequency").select(*KEYS, "model_type", F.col("distance").alias("distance_raw"))
+    return rows.join(raw, [*KEYS, "model_type"], "left")
+
+
+@query("metric_row")
+def _(spark, d):
+    return rounded(metrics(spark, d))
+
+
+@query("model_summary", f"SELECT model_type, count(*) AS n, {r('median(nse)', 'median_nse')}, {r('median(kge)', 'median_kge')} FROM skill_rows GROUP BY model_type")
+def _(spark, d):
+    s = skill(spark, d)
+    q = quantiles(s, ["model_type"], "nse", {"median_nse": 0.5}).join(quantiles(s, ["model_type"], "kge", {"median_kge": 0.5}), "model_type", "left")
+    return rounded(s.groupBy("model_type").agg(F.count(F.lit(1)).alias("n")).join(q, "model_type"))
+
+
+step("pair_rows", "SELECT a.gauge_id, a.model_type AS model, b.model_type AS baseline, a.nse - b.nse AS delta FROM skill_rows a JOIN skill_rows b ON a.gauge_id = b.gauge_id AND a.model_type <> b.model_type WHERE a.nse - b.nse IS NOT NULL")
+
+
+@query("pairwise_models", f"SELECT model, baseline, count(*) AS n, {r('median(delta)', 'median_delta')}, {r('avg(delta)', 'mean_delta')}, {r('avg(CASE WHEN delta < 0 THEN 1e0 ELSE 0e0 END)', 'share_lower')} FROM pair_rows GROUP BY model, baseline")
+def _(spark, d):
+    pairs = ev.pairwise_delta(skill(spark, d), KEYS, "model_type", "nse")
+    base = pairs.groupBy("model", "baseline").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean_delta"), F.avg(F.when(F.col("delta") < 0, 1.0).otherwise(0.0)).alias("share_lower"))
+    return rounded(base.join(quantiles(pairs, ["model", "baseline"], "delta", {"median_delta": 0.5}), ["model", "baseline"]))
+
+
+@query("pairwise_tests")
+def _(spark, d):
+    tests = stats.wilcoxon(ev.pairwise_delta(skill(spark, d), KEYS, "model_type", "nse"), ["model", "baseline"], "delta")
+    return rounded(stats.bh_fdr(tests, ["baseline"], "p_value", "model"))
+
+
+@query("model_consequence")
+def _(spark, d):
+    m = metrics(spark, d).withColumn("skill_loss", F.lit(1.0) - F.col("nse")).withColumn("tau_ratio", F.log10(F.col("tau_model") / F.nullif(F.col("tau_obs"), F.lit(0.0))))
+    return rounded(stats.spearman(m, ["model_type"], "skill_loss", "tau_ratio"))
+
+
+def decisions(spark, d):
+    return ev.decision_variants(metrics(spark, d), "gauge_id", "model_type", ["distance", "distance_raw"], 2)
+
+
+@query("decision_variants")
+def _(spark, d):
+    return rounded(decisions(spark, d))
+
+
+@query("decision_summary")
+def _(spark, d):
+    return rounded(ev.decision_summary(decisions(spark, d)))
+
+
+@query("threshold_grid")
+def _(spark, d):
+    return rounded(ev.threshold_grid(ev.decision_summary(decisions(spark, d)), [0.5, 0.55, 0.6]))
+
+
+@query("best_crosstab")
+def _(spark, d):
+    return decisions(spark, d).groupBy("variant", "best_by_nse", "best_by_distance").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ensemble_uncertainty", f"SELECT model_type, 'nse' AS metric, {r('quantile_cont(nse, 5e-2)', 'p05')}, {r('median(nse)', 'mid')}, {r('quantile_cont(nse, 95e-2)', 'p95')} FROM skill_rows WHERE nse IS NOT NULL GROUP BY 1 UNION ALL SELECT model_type, 'kge', {r('quantile_cont(kge, 5e-2)', 'p05')}, {r('median(kge)', 'mid')}, {r('quantile_cont(kge, 95e-2)', 'p95')} FROM skill_rows WHERE kge IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    from tauscope.functions.tables import long_form
+
+    rows = long_form(skill(spark, d), ["model_type"], ["nse", "kge"], "metric", "value")
+    return rounded(quantiles(rows, ["model_type", "metric"], "value", {"p05": 0.05, "mid": 0.5, "p95": 0.95}))
+
+
+step("feature_stats", "SELECT avg(q) AS m, stddev_pop(q) AS s, avg(q_pred) AS mp, stddev_pop(q_pred) AS sp FROM pred_clim WHERE split = 'train'")
+
+
+@query("feature_standardize", f"SELECT archive, gauge_id, day, {r('(q - m) / s', 'q')}, {r('(q_pred - mp) / sp', 'q_pred')} FROM pred_clim, feature_stats")
+def _(spark, d):
+    rows = ev.standardize_features(model(spark, d, "climatology"), ["q", "q_pred"])
+    return rounded(rows.select(*KEYS, "day", "q", "q_pred"))
+
+
+@query("attach_attributes", f"SELECT gauge_id, {rs('tau', 'aridity')}, {r('area', digits=2)} FROM gauge_tau LEFT JOIN attributes USING (gauge_id)")
+def _(spark, d):
+    a = adapters.attributes(spark, d).select("gauge_id", "aridity", "area")
+    return rounded(gauge_tau(spark, d).join(a, "gauge_id", "left"), 6, area=2)
+
+
+@query("map_lookup_semi", "SELECT gauge_id, count(*) AS n FROM recorded WHERE gauge_id IN (SELECT gauge_id FROM gauge_tau) GROUP BY gauge_id")
+def _(spark, d):
+    flow = adapters.recorded_flow(spark, d).join(gauge_tau(spark, d), "gauge_id", "left_semi")
+    return flow.groupBy("gauge_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_event_rate")
+def _(spark, d):
+    """The stream job run as one bounded batch: windowed counts of the whole event table."""
+    from tauscope.streaming.rates import stream_event_rate
+
+    rates = stream_event_rate(adapters.table(spark, d, "events"), ["event_type"], "ts")
+    return rates.withColumn("time", F.col("time").cast("timestamp_ntz"))
