@@ -111,7 +111,10 @@ def _(spark, d):
     return rounded(stats.kendall_ranks(rows, "unit", "model", "score", "distance"))
 
 
-@query("archive_compare", f"SELECT {r('median(tau) FILTER (archive = 'ASIA')', 'asia_tau')}, {r('median(tau) FILTER (archive = 'EUROPE')', 'europe_tau')}, count(DISTINCT gauge_id) FILTER (archive = 'ASIA') AS asia_gauges, count(DISTINCT gauge_id) FILTER (archive = 'EUROPE') AS europe_gauges FROM curve")
+step("pair_taus", "SELECT median(tau) FILTER (archive = 'ASIA') AS asia_tau, median(tau) FILTER (archive = 'EUROPE') AS europe_tau, count(*) FILTER (archive = 'ASIA') AS asia_gauges, count(*) FILTER (archive = 'EUROPE') AS europe_gauges FROM (SELECT DISTINCT archive, gauge_id, tau FROM curve)")
+
+
+@query("archive_compare", f"SELECT {rs('asia_tau', 'europe_tau')}, asia_gauges, europe_gauges FROM pair_taus")
 def _(spark, d):
     rows = curve(spark, d).groupBy("archive", "gauge_id").agg(F.first("tau").alias("tau"))
     on = lambda a: F.when(F.col("archive") == a, F.col("tau"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tauscope.functions.expressions import guarded_corr
 from tauscope.functions.pvalues import correlation_p, normal_p
@@ -42,49 +45,54 @@ def bh_fdr(df: DataFrame, groups: Sequence[str], p: str, tie: str, null_as_one:
     return work.withColumn("q_value", q).drop("_p", "_m", "_rank")
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def residual_weights(cov: pd.Series) -> pd.Series:
+    """Least-squares weights of x and y on the controls from one flat covariance matrix."""
+    out = []
+    for flat in cov:
+        size = int(round(len(flat) ** 0.5))
+        matrix = np.asarray(flat, dtype=float).reshape(size, size)
+        if size == 2:
+            out.append([])
+        else:
+            out.append(np.linalg.lstsq(matrix[2:, 2:], matrix[2:, :2], rcond=None)[0].T.ravel())
+    return pd.Series(out)
+
+
 def partial_spearman(df: DataFrame, x: str, y: str, controls: Sequence[str], by_rank: bool = False) -> DataFrame:
     """Rank correlation of x and y after removing ranked controls by least squares.
 
-    Only the sums of products of the ranked columns leave the data; the small normal
-    equations are solved by elimination in column expressions. ``by_rank`` correlates
-    the ranks of the residuals instead of the residuals.
+    Only one row, the covariance matrix of the ranked columns, is solved outside Spark
+    SQL. ``by_rank`` correlates the ranks of the residuals instead of the residuals.
     """
     columns = [x, y, *controls]
-    rows = df.where(F.coalesce(*[F.when(F.col(c).isNull(), 1) for c in columns]).isNull()).select(
-        F.monotonically_increasing_id().alias("_row"), *[F.col(c).cast("double").alias(c) for c in columns]
-    )
-    ranked = keep(rows)
+    present = F.lit(True)
+    for c in columns:
+        present = present & F.col(c).isNotNull()
+    ranked = df.where(present).select(*columns)
     for c in columns:
         ranked = average_ranks(ranked, [], c, f"_r_{c}")
-    ranked = keep(ranked.select("_row", *[F.col(f"_r_{c}").alias(f"_r_{c}") for c in columns]))
     names = [f"_r_{c}" for c in columns]
-    # remove each control from everything that follows it (Gram-Schmidt on the ranks)
-    work = _minus(ranked, names, None)
-    for i, control in enumerate(f"_r_{c}" for c in controls):
-        rest = [f"_r_{x}", f"_r_{y}", *[f"_r_{c}" for c in controls[i + 1 :]]]
-        work = _minus(work, rest, control)
-    a, b = f"_r_{x}", f"_r_{y}"
+    ranked = keep(ranked.select(*names))
+    moments = ranked.agg(
+        F.array(*[F.avg(c) for c in names]).alias("_mean"),
+        F.array(*[F.covar_pop(a, b) for a in names for b in names]).alias("_cov"),
+    ).select("_mean", residual_weights("_cov").alias("_w"))
+    k = len(controls)
+    centred = lambda i: F.col(names[i]) - F.col("_mean")[i]
+
+    def residual(side: int) -> Column:
+        out = centred(side)
+        for j in range(k):
+            out = out - F.col("_w")[side * k + j] * centred(2 + j)
+        return F.round(out, 9)
+
+    work = same(ranked, moments, []).select(residual(0).alias("_a"), residual(1).alias("_b"))
     if by_rank:
-        work = keep(work.select("_row", F.round(a, 9).alias(a), F.round(b, 9).alias(b)))
-        work = average_ranks(average_ranks(work, [], a, "_x"), [], b, "_y")
-        a, b = "_x", "_y"
-    return work.agg(F.count(F.lit(1)).alias("n"), guarded_corr(a, b).alias("partial_rho"))
-
-
-def _minus(df: DataFrame, columns: Sequence[str], control: str | None) -> DataFrame:
-    """Centre the columns, or subtract their least-squares fit on a centred control."""
-    if control is None:
-        means = df.agg(*[F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)])
-        done = same(df, means, []).select("_row", *[(F.col(c) - F.col(f"_m{i}")).alias(c) for i, c in enumerate(columns)])
-        return keep(done)
-    slopes = df.agg(
-        *[
-            (F.sum(F.col(c) * F.col(control)) / F.nullif(F.sum(F.col(control) * F.col(control)), F.lit(0.0))).alias(f"_m{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
-    fit = lambda i: F.coalesce(F.col(f"_m{i}"), F.lit(0.0)) * F.col(control)
-    return keep(same(df, slopes, []).select("_row", *[(F.col(c) - fit(i)).alias(c) for i, c in enumerate(columns)]))
+        work = keep(work)
+        work = average_ranks(average_ranks(work, [], "_a", "_ra"), [], "_b", "_rb")
+        work = work.select(F.col("_ra").alias("_a"), F.col("_rb").alias("_b"))
+    return work.agg(F.count(F.lit(1)).alias("n"), guarded_corr("_a", "_b").alias("partial_rho"))
 
 
 def control_ladder(df: DataFrame, x: str, y: str, ladders: Mapping[str, Sequence[str]]) -> DataFrame:
