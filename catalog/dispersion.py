@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, MIN_UNITS, bin_sql, curve, points, query, r, rounded, rs, step, unit_bins
+from catalog.base import KEYS, MIN_UNITS, bin_sql, curve, points, query, r, rounded, rs, shared, step, unit_bins
 from catalog.spectra import family_curves
 from tauscope.functions.ranks import quantiles
 from tauscope.functions.tables import config_table
@@ -177,6 +177,7 @@ def gauge_tau(spark, d):
     return curve(spark, d).groupBy("gauge_id").agg(F.first("tau").alias("tau"))
 
 
+@shared("tau_attributes")
 def tau_with_attributes(spark, d):
     return gauge_tau(spark, d).join(adapters.attributes(spark, d), "gauge_id")
 

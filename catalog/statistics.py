@@ -80,7 +80,7 @@ def _(spark, d):
 
 @query("logit_per_sd")
 def _(spark, d):
-    t = tau_with_attributes(spark, d).withColumn("slow", F.when(F.col("tau") > 0.65, 1.0).otherwise(0.0))
+    t = tau_with_attributes(spark, d).withColumn("slow", F.when(F.col("tau") > 0.51, 1.0).otherwise(0.0))
     return rounded(stats.logit_per_sd(t, ["aridity", "baseflow_index", "snow_fraction"], "slow"), 4)
 
 

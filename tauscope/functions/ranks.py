@@ -161,3 +161,13 @@ def average_ranks(
         *by, value, (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(name)
     )
     return df.join(ranks, [*by, value])
+
+
+def rank_columns(df: DataFrame, by: Sequence[str], columns: Sequence[str], prefix: str = "_r_") -> DataFrame:
+    """Average ranks of several columns, each taken from ``df`` itself so plans stay flat."""
+    out = df
+    for column in columns:
+        cum = cumulative_counts(df, by, column)
+        rank = (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(f"{prefix}{column}")
+        out = out.join(cum.select(*by, column, rank), [*by, column])
+    return out

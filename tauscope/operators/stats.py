@@ -13,15 +13,16 @@ from pyspark.sql import types as T
 
 from tauscope.functions.expressions import guarded_corr
 from tauscope.functions.pvalues import correlation_p, normal_p
-from tauscope.functions.ranks import average_ranks, keep, quantiles, same
+from tauscope.functions.ranks import average_ranks, keep, quantiles, rank_columns, same
 from tauscope.functions.tables import long_form
 
 
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """Rank correlation of complete pairs per group, null when a side is constant."""
-    pairs = keep(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, x, y))
-    ranked = average_ranks(average_ranks(pairs, groups, x, "_rx"), groups, y, "_ry")
-    out = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), guarded_corr("_rx", "_ry").alias("rho"))
+    present = F.col(x).isNotNull() & F.col(y).isNotNull()
+    pairs = keep(df.where(present).select(*groups, F.col(x).alias("_x"), F.col(y).alias("_y")))
+    ranked = rank_columns(pairs, groups, ["_x", "_y"])
+    out = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), guarded_corr("_r__x", "_r__y").alias("rho"))
     return out.where(F.col("n") >= min_n)
 
 
@@ -69,9 +70,8 @@ def partial_spearman(df: DataFrame, x: str, y: str, controls: Sequence[str], by_
     present = F.lit(True)
     for c in columns:
         present = present & F.col(c).isNotNull()
-    ranked = df.where(present).select(*columns)
-    for c in columns:
-        ranked = average_ranks(ranked, [], c, f"_r_{c}")
+    ranked = keep(df.where(present).select(*columns))
+    ranked = rank_columns(ranked, [], columns)
     names = [f"_r_{c}" for c in columns]
     ranked = keep(ranked.select(*names))
     moments = ranked.agg(
@@ -90,13 +90,14 @@ def partial_spearman(df: DataFrame, x: str, y: str, controls: Sequence[str], by_
     work = same(ranked, moments, []).select(residual(0).alias("_a"), residual(1).alias("_b"))
     if by_rank:
         work = keep(work)
-        work = average_ranks(average_ranks(work, [], "_a", "_ra"), [], "_b", "_rb")
-        work = work.select(F.col("_ra").alias("_a"), F.col("_rb").alias("_b"))
+        work = rank_columns(work, [], ["_a", "_b"])
+        work = work.select(F.col("_r__a").alias("_a"), F.col("_r__b").alias("_b"))
     return work.agg(F.count(F.lit(1)).alias("n"), guarded_corr("_a", "_b").alias("partial_rho"))
 
 
 def control_ladder(df: DataFrame, x: str, y: str, ladders: Mapping[str, Sequence[str]]) -> DataFrame:
     """The same pair under several control sets, one row each."""
+    df = keep(df.select(*dict.fromkeys([x, y, *[c for cs in ladders.values() for c in cs]])))
     out = None
     for name, controls in ladders.items():
         row = partial_spearman(df, x, y, controls).withColumn("controls", F.lit(name))

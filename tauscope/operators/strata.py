@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tauscope.functions.expressions import guarded_corr
-from tauscope.functions.ranks import average_ranks, quantiles, same
+from tauscope.functions.ranks import average_ranks, quantiles, rank_columns, same
 from tauscope.operators.binning import archive_reduction
 
 
@@ -91,9 +91,8 @@ def forcing_contrast(flow: DataFrame, forcing: DataFrame, keys: Sequence[str], m
 
 def construct_rank(curve: DataFrame) -> DataFrame:
     """Rank correlations among frequency, memory time, de and slope over all points."""
-    work = curve.select("frequency", "tau", "de", "beta")
-    for column in ("frequency", "tau", "de", "beta"):
-        work = average_ranks(work, [], column, f"_r_{column}")
+    columns = ["frequency", "tau", "de", "beta"]
+    work = rank_columns(curve.select(columns), [], columns)
     rho = lambda a, b: guarded_corr(f"_r_{a}", f"_r_{b}")
     return work.agg(
         F.count(F.lit(1)).alias("n"), rho("frequency", "beta").alias("rho_frequency_beta"),
