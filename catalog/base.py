@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tauscope.functions import ranks
 from tauscope.operators import binning
 from tauscope.plans import archive
+from tauscope.session import materialise
 from tauscope.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,14 +98,18 @@ def bin_sql(x: str = "x", lo: str = "lo", width: str = "width", n: str = "n_bins
 _SHARED: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def shared(name: str):
-    """Keep a job step that many queries start from: spilled to disk, rebuilt if lost."""
+def shared(name: str, cut: bool = False):
+    """Keep a job step that many queries start from: spilled to disk, rebuilt if lost.
+
+    ``cut`` writes it to the checkpoint folder instead, so later plans start from its rows.
+    """
 
     def wrap(fn):
         def cached(spark: SparkSession, d: str) -> DataFrame:
             key = (spark.sparkContext.applicationId, name, d)
             if key not in _SHARED:
-                _SHARED[key] = fn(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
+                made = fn(spark, d)
+                _SHARED[key] = materialise(made) if cut else made.persist(StorageLevel.MEMORY_AND_DISK)
             return _SHARED[key]
 
         cached.fresh = fn
@@ -130,7 +135,7 @@ def anomaly(spark, d):
     return archive.gauge_anomaly(daily(spark, d), KEYS)
 
 
-@shared("curve")
+@shared("curve", cut=True)
 def curve(spark, d):
     return archive.gauge_curves(anomaly(spark, d), KEYS)
 

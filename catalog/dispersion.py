@@ -177,7 +177,7 @@ def gauge_tau(spark, d):
     return curve(spark, d).groupBy("gauge_id").agg(F.first("tau").alias("tau"))
 
 
-@shared("tau_attributes")
+@shared("tau_attributes", cut=True)
 def tau_with_attributes(spark, d):
     return gauge_tau(spark, d).join(adapters.attributes(spark, d), "gauge_id")
 

@@ -98,7 +98,7 @@ def _(spark, d):
     return rounded(ev.ensemble_mean(rows, [*KEYS, "day"], "mean").select(*KEYS, "day", "q_pred", "n_members"), 3)
 
 
-@shared("model_curves")
+@shared("model_curves", cut=True)
 def model_curves(spark, d):
     """Curves of every model on its own memory time."""
     keys = [*KEYS, "model_type"]

@@ -124,8 +124,8 @@ def _(spark, d):
     ))
 
 
-step("cq_rows", "SELECT gauge_id, constituent, sample_date, ln(q_use) AS lq, ln(concentration) AS lc FROM chemistry WHERE q_use > 0 AND concentration > 0")
-step("cq_ranks", f"SELECT *, {rank_sql('lq', 'gauge_id, constituent')} AS rq, {rank_sql('lc', 'gauge_id, constituent')} AS rc FROM cq_rows")
+step("cq_rows", "SELECT gauge_id, constituent, sample_date, q_use, concentration, ln(q_use) AS lq, ln(concentration) AS lc FROM chemistry WHERE q_use > 0 AND concentration > 0")
+step("cq_ranks", f"SELECT *, {rank_sql('q_use', 'gauge_id, constituent')} AS rq, {rank_sql('concentration', 'gauge_id, constituent')} AS rc FROM cq_rows")
 step("cq_pairs", """SELECT gauge_id, constituent, count(*) AS n_samples, date_diff('day', cast(min(sample_date) AS date), cast(max(sample_date) AS date)) / 36525e-2 AS span_years, stddev_samp(lq) AS sd_log_discharge,
 stddev_samp(lc) AS sd_log_concentration, regr_slope(lc, lq) AS cq_slope, regr_r2(lc, lq) AS cq_r2, stddev_samp(lc) / stddev_samp(lq) AS chem_variability_ratio, corr(rq, rc) AS cq_spearman
 FROM cq_ranks GROUP BY ALL HAVING count(*) >= 30 AND span_years >= 5""")

@@ -15,6 +15,7 @@ from tauscope.functions.expressions import guarded_corr
 from tauscope.functions.pvalues import correlation_p, normal_p
 from tauscope.functions.ranks import average_ranks, keep, quantiles, rank_columns, same
 from tauscope.functions.tables import long_form
+from tauscope.session import materialise
 
 
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, min_n: int = 3) -> DataFrame:
@@ -73,7 +74,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, controls: Sequence[str], by_
     ranked = keep(df.where(present).select(*columns))
     ranked = rank_columns(ranked, [], columns)
     names = [f"_r_{c}" for c in columns]
-    ranked = keep(ranked.select(*names))
+    ranked = materialise(ranked.select(*names))
     moments = ranked.agg(
         F.array(*[F.avg(c) for c in names]).alias("_mean"),
         F.array(*[F.covar_pop(a, b) for a in names for b in names]).alias("_cov"),
@@ -89,7 +90,7 @@ def partial_spearman(df: DataFrame, x: str, y: str, controls: Sequence[str], by_
 
     work = same(ranked, moments, []).select(residual(0).alias("_a"), residual(1).alias("_b"))
     if by_rank:
-        work = keep(work)
+        work = materialise(work)
         work = rank_columns(work, [], ["_a", "_b"])
         work = work.select(F.col("_r__a").alias("_a"), F.col("_r__b").alias("_b"))
     return work.agg(F.count(F.lit(1)).alias("n"), guarded_corr("_a", "_b").alias("partial_rho"))
@@ -200,7 +201,7 @@ def cq_relation(samples: DataFrame, min_samples: int = 30, min_years: float = 5.
     """Log-log slope, r2, rank correlation and spread ratio per gauge and constituent."""
     keys = ["gauge_id", "constituent"]
     rows = samples.where((F.col("q_use") > 0) & (F.col("concentration") > 0)).select(
-        *keys, "sample_date", F.log("q_use").alias("_q"), F.log("concentration").alias("_c")
+        *keys, "sample_date", "q_use", "concentration", F.log("q_use").alias("_q"), F.log("concentration").alias("_c")
     )
     days = F.datediff(F.max("sample_date"), F.min("sample_date"))
     base = rows.groupBy(*keys).agg(
@@ -216,7 +217,8 @@ def cq_relation(samples: DataFrame, min_samples: int = 30, min_years: float = 5.
     out = out.withColumn("cq_r2", r * r).withColumn(
         "chem_variability_ratio", F.col("sd_log_concentration") / F.col("sd_log_discharge")
     ).drop("_cov")
-    rho = spearman(rows, keys, "_q", "_c").select(*keys, F.col("rho").alias("cq_spearman"))
+    # the logarithm keeps order, so ranks are taken from the values themselves
+    rho = spearman(rows, keys, "q_use", "concentration").select(*keys, F.col("rho").alias("cq_spearman"))
     return out.join(rho, keys, "left")
 
 
