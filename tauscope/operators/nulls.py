@@ -95,9 +95,9 @@ def block(df: DataFrame, keys: Sequence[str], index: str, value: str, length: in
     single = index_draw(F.col("_n"), seed, F.col("draw"), *names, F.col(index)) - 1
     pick = F.when(short, single).otherwise(start + F.col(index) - number * length)
     pool = df.select(*keys, F.col(index).alias("_pick"), F.col(value).alias("x"))
-    drawn = work.withColumn("_pick", pick).join(pool, [*keys, "_pick"])
+    drawn = work.withColumn("_pick", pick).join(pool, [*keys, "_pick"]).withColumn("_raw", F.col("x"))
     out = rescale(drawn, [*keys, "draw"], "x", F.col("_mean"), F.col("_std"))
-    return out.select(*keys, "draw", index, F.when(short, drawn["x"]).otherwise(F.col("x")).alias("x"))
+    return out.select(*keys, "draw", index, F.when(short, F.col("_raw")).otherwise(F.col("x")).alias("x"))
 
 
 def water_years(
