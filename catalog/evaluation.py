@@ -92,10 +92,10 @@ def _(spark, d):
     return rounded(ev.scale_fit(predictions(spark, d), KEYS, "model_type", "q", "q_pred"), 6, intercept=2)
 
 
-@query("ensemble_mean", f"SELECT archive, gauge_id, day, {r('avg(q_pred)', 'q_pred', 3)}, count(*) AS n_members FROM preds GROUP BY archive, gauge_id, day")
+@query("ensemble_mean", f"SELECT archive, gauge_id, day, {r('avg(q_pred)', 'q_pred', 7)}, count(*) AS n_members FROM preds GROUP BY archive, gauge_id, day")
 def _(spark, d):
     rows = predictions(spark, d).withColumnRenamed("q", "q_obs")
-    return rounded(ev.ensemble_mean(rows, [*KEYS, "day"], "mean").select(*KEYS, "day", "q_pred", "n_members"), 3)
+    return rounded(ev.ensemble_mean(rows, [*KEYS, "day"], "mean").select(*KEYS, "day", "q_pred", "n_members"), 7)
 
 
 @shared("model_curves", cut=True)
@@ -210,7 +210,7 @@ def _(spark, d):
     return flow.groupBy("gauge_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("stream_event_rate")
+@query("stream_event_rate", "SELECT event_type, date_trunc('hour', ts) AS time, cast(count(*) AS double) AS value FROM events GROUP BY ALL")
 def _(spark, d):
     """The stream job run as one bounded batch: windowed counts of the whole event table."""
     from tauscope.streaming.rates import stream_event_rate
