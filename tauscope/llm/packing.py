@@ -28,33 +28,33 @@ REMEMBERED = 1_000_000
 
 
 class _Known(dict):
-    """Ids of strings as little-endian unsigned 32-bit bytes, looked up once."""
+    """Ids of strings that follow a space, as little-endian unsigned 32-bit bytes; looked up once."""
 
-    def __init__(self, path: str):
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
-        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.special = array("I", [len(ranks)]).tobytes()
+    def __init__(self, encode):
+        self.encode = encode
 
     def __missing__(self, text: str) -> bytes:
-        ids = self[text] = array("I", self.encode(text)).tobytes()
+        ids = self[text] = array("I", self.encode(" " + text)).tobytes()
         return ids
 
 
 class Encoder:
-    """Token ids of texts; a text is cut where the vocabulary's pattern cuts for sure, and every part is encoded once."""
+    """Token ids of a text as bytes: it is cut where the vocabulary's pattern cuts for sure, and every part is encoded once."""
 
     def __init__(self, path: str):
-        self.known = _Known(path)
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
+        self.encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.special = array("I", [len(ranks)]).tobytes()
+        self.known = _Known(self.encode)
 
     def plain(self, text: str) -> bytes:
-        parts = SURE.split(text) if DOUBTFUL.search(text) else text.split(" ")
-        head, *rest = parts
-        return self.known[head] + b"".join(map(self.known.__getitem__, [f" {p}" for p in rest]))
+        head, *rest = SURE.split(text) if DOUBTFUL.search(text) else text.split(" ")
+        return array("I", self.encode(head)).tobytes() + b"".join(map(self.known.__getitem__, rest))
 
     def __call__(self, text: str) -> bytes:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        return self.known.special.join(map(self.plain, text.split(SPECIAL)))
+        return self.special.join(map(self.plain, text.split(SPECIAL)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -86,7 +86,7 @@ def cuts(tokens: int, capacity: int, tail: int = 16) -> list[int]:
     return out
 
 
-def pieces(docs: DataFrame, ranks: str, capacity: int, end: int = 1, with_ids: bool = False, rows: int = 128) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str, capacity: int, end: int = 1, with_ids: bool = False, rows: int = 256) -> DataFrame:
     """One row per piece of every document: ``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``).
 
     A null or empty text has the end id alone. Whole texts are encoded, ``rows`` at a time.
