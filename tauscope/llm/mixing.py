@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tauscope.llm.common import digest, word_count
+from tauscope.llm.common import WORD, digest, let, word_count
 
 #: Multipliers that step through the blocks of a shard; the first that does not divide the number of blocks is used.
 PRIMES = (7919, 104729, 1299709)
@@ -66,30 +66,16 @@ def apportion(claims: DataFrame, by: list[str], key: str, claim: str, seats: Col
     return out.select(*claims.columns, "quota")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
-        block: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
-    """How many words of every document a mix of the sources takes.
-
-    Returns ``doc_id, size, source, source_size, target, taken``, one row per document. A source's words are dealt
-    by a hash of the document into shards of about ``shard_words`` words, so that a shard is bounded
-    however large its source is. A shard lays its documents end to end in a seeded order and cuts
-    the line into blocks of ``block`` words (the last may be shorter). The source's target gives its
-    number of blocks; Sainte-Lague gives each shard its quota; a quota takes every block of its shard
-    as often as it can and then, in a seeded stride through the shard, as many more as are left. So
-    no block is taken more often than ``most`` rounded up, reruns agree, and a source's words miss its
-    target by the shorter last blocks and one block of rounding.
-
-    Null or empty texts have size 0 and are never taken; a null source is a source of its own;
-    repeated rows are documents of their own; an empty table gives no rows.
-    """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+def _layout(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int, shard_words: int, seed: int) -> DataFrame:
+    """Where every document lies on its shard's line, and by what rule blocks of the shard are taken."""
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_hash"))
     sized = sized.withColumn("_h", digest(F.lit(seed), "doc_id"))
     by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
     by_source = by_source.withColumn("_blocks", F.round(F.col("target") / block).cast("long"))
     by_source = by_source.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
     # a hot source is spread over salts: its row of the small table is repeated, its documents are not
     by_source = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = sized.select("doc_id", "size", "_h", F.col("source").alias("_source"), F.pmod("_h", F.lit(SALTS)).cast("int").alias("_part"))
+    placed = sized.select("doc_id", "size", "_h", "_hash", F.col("source").alias("_source"), F.pmod("_h", F.lit(SALTS)).cast("int").alias("_part"))
     placed = placed.join(by_source, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_part") == F.col("_salt")))
     placed = placed.withColumn("_shard", F.floor(F.col("_h") / SALTS) % F.col("_shards")).drop("_source", "_part", "_salt")
     shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
@@ -102,15 +88,56 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     every, more = F.floor(F.col("_quota") / F.col("_n")), F.col("_quota") % F.col("_n")
     a, b, c = PRIMES
     stride = F.when(F.col("_n") % a != 0, a).when(F.col("_n") % b != 0, b).otherwise(c).cast("long")
+    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block)))
+    return placed.select("doc_id", "size", "source", "source_size", "target", "_hash", "_start", "_end", "_n", every.cast("long").alias("_every"), more.alias("_more"),
+                         stride.alias("_stride"), (digest(F.lit(seed), "source", "_shard") % F.col("_n")).alias("_turn"), blocks.alias("_blocks"))
+
+
+def _times(k: Column) -> Column:
+    """How often block k is taken."""
+    turn = (k * F.col("_stride") + F.col("_turn")) % F.col("_n")
+    return F.col("_every") + F.when(turn < F.col("_more"), 1).otherwise(0)
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
+        block: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
+    """How many words of every document a mix of the sources takes.
+
+    Returns ``doc_id, size, source, source_size, target, taken``, one row per document. A source's words are dealt
+    by a hash of the document into shards of about ``shard_words`` words, so that a shard is bounded
+    however large its source is. A shard lays its documents end to end in a seeded order and cuts
+    the line into blocks of ``block`` words (the last may be shorter). The source's target gives its
+    number of blocks; Sainte-Lague gives each shard its quota; a quota takes every block of its shard
+    as often as it can and then, in a seeded stride through the shard, as many more as are left. So
+    no block is taken more often than ``most`` rounded up, reruns agree, and a source's words miss its
+    target by the shorter last blocks and one block of rounding.
+
+    Null or empty texts have size 0 and are never taken; a null source is a source of its own;
+    repeated rows are documents of their own; an empty table gives no rows.
+    """
+    placed = _layout(docs, weights, share, most, block, shard_words, seed)
 
     def words(acc: Column, k: Column) -> Column:
-        """Words of block k that lie in the document, as often as the block is taken."""
-        inside = F.least(F.col("_end"), (k + 1) * block) - F.greatest(F.col("_start"), k * block)
-        turn = (k * F.col("_stride") + F.col("_turn")) % F.col("_n")
-        return acc + inside * (F.col("_every") + F.when(turn < F.col("_more"), 1).otherwise(0))
-
-    placed = placed.select("doc_id", "size", "source", "source_size", "target", "_start", "_end", "_n", every.cast("long").alias("_every"),
-                           more.alias("_more"), stride.alias("_stride"), (digest(F.lit(seed), "source", "_shard") % F.col("_n")).alias("_turn"))
-    blocks = F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block))
-    taken = F.when(F.col("size") > 0, F.aggregate(blocks, F.lit(0).cast("long"), words)).otherwise(F.lit(0).cast("long"))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"))
+        return acc + (F.least(F.col("_end"), (k + 1) * block) - F.greatest(F.col("_start"), k * block)) * _times(k)
+
+    taken = F.coalesce(F.aggregate("_blocks", F.lit(0).cast("long"), words), F.lit(0))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
+          block: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row for each time that some of a document is taken.
+
+    Its text is the blocks taken at least that often, with the white space that follows their words; a document that is
+    taken whole keeps its text as it is. What :func:`mix` does not take is not in it. Equal rows are treated alike.
+    """
+    placed = _layout(docs, weights, share, most, block, shard_words, seed).where("size > 0").dropDuplicates(["doc_id", "_hash"])
+    placed = placed.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_every") + 1)))
+    ranges = F.transform(F.filter("_blocks", lambda k: _times(k) >= F.col("_time")), lambda k: F.struct(
+        (F.greatest(F.col("_start"), k * block) - F.col("_start")).cast("int").alias("from"), (F.least(F.col("_end"), (k + 1) * block) - F.greatest(F.col("_start"), k * block)).cast("int").alias("n")))
+    placed = placed.select(F.col("doc_id").alias("_id"), "_hash", (F.size(ranges) == F.size("_blocks")).alias("_whole"), ranges.alias("_ranges")).where(F.size("_ranges") > 0)
+    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
+    rows = rows.join(placed, rows["doc_id"].eqNullSafe(placed["_id"]) & (rows["_text_hash"] == placed["_hash"]))
+    parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    some = let(parts, lambda w: F.array_join(F.transform("_ranges", lambda r: F.array_join(F.slice(w, r["from"] + 1, r["n"]), "")), ""))
+    return rows.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(some)).select(*docs.columns)

@@ -246,3 +246,9 @@ def near_duplicates(docs: DataFrame, width: int = 4, k: int = 64, similarity: in
     out = table.select("doc_id", "n_shingles", "sig").join(classes, "sig", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stand for their group, with the columns of ``docs``."""
+    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
