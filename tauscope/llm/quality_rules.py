@@ -33,10 +33,11 @@ def grams(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.select(*keep, "word", *[F.when(F.col("word").isNotNull(), F.pmod(h, F.lit(buckets))).cast("int").alias(n) for h, n in ((one, "one"), (two, "two"))])
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16) -> DataFrame:
-    """``bucket, ratio`` for every bucket: log P(bucket | trusted) - log P(bucket | corpus), add-one multinomials over all documents.
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16, prior: float = 1.0) -> DataFrame:
+    """``bucket, ratio, own`` for every bucket: log P(bucket | trusted) - log P(bucket | corpus), smoothed multinomials over all documents.
 
-    Trusted is what ``labels.quality`` marks 1. Counts are combined in every task before they are
+    An n-gram that is scored is left out of the counts it is scored with, or a text would look like
+    the corpus that holds it: ``ratio`` is for other texts, ``own`` for trusted ones. Trusted is what ``labels.quality`` marks 1. Counts are combined in every task before they are
     shuffled, so that shuffle and the table are bounded by ``buckets``. The labels are hashed on the
     smaller side of the join, which needs no sort of texts.
     """
@@ -47,11 +48,13 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 16) -> Da
     counts = rows.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("c"))
     sums = counts.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("st"), F.coalesce(F.sum("c"), F.lit(0)).alias("sc"))
     whole = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").fillna(0).crossJoin(sums)
-    ratio = F.log((F.col("t") + 1) / (F.col("st") + buckets)) - F.log((F.col("c") + 1) / (F.col("sc") + buckets))
-    return stash(whole.select("bucket", ratio.alias("ratio")))
+    less = lambda n: F.greatest(F.col(n) - 1, F.lit(0))
+    corpus = F.log((less("c") + prior) / (F.col("sc") + prior * buckets))
+    target = lambda n: F.log((n + prior) / (F.col("st") + prior * buckets))
+    return stash(whole.select("bucket", (target(F.col("t")) - corpus).alias("ratio"), (target(less("t")) - corpus).alias("own")))
 
 
-def quality(docs: DataFrame, labels: DataFrame, least: float = -0.1, buckets: int = 1 << 16) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, least: float = -0.1, buckets: int = 1 << 16, prior: float = 1.0) -> DataFrame:
     """Counts and verdict of every document.
 
     Returns ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -64,9 +67,9 @@ def quality(docs: DataFrame, labels: DataFrame, least: float = -0.1, buckets: in
     A null or empty text has no words and fails. Without labels the trusted model is flat, the
     ratios measure nothing and only base rules decide. An empty table gives no rows.
     """
-    ratios = log_ratios(docs, labels, buckets)
+    ratios = log_ratios(docs, labels, buckets, prior)
     if labels.where("quality = 1").isEmpty():
-        ratios = ratios.withColumn("ratio", F.lit(0.0))
+        ratios = ratios.withColumns({"ratio": F.lit(0.0), "own": F.lit(0.0)})
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("_row"))
     rows = rows.withColumn("_lines", F.split("text", "\n")).withColumn("words", split_words(F.col("text")))
     filled = F.filter("_lines", lambda x: x.rlike(WORD))
@@ -75,9 +78,11 @@ def quality(docs: DataFrame, labels: DataFrame, least: float = -0.1, buckets: in
     rows = rows.select("_row", "doc_id", "text_hash", symbols.cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines"),
                        repeated_words(F.col("words")).alias("n_repeat_words"), "words")
     own = [c for c in rows.columns if c != "words"]
-    first, second = (F.broadcast(ratios.select(F.col("bucket").alias(n), F.col("ratio").alias(f"_{n}"))) for n in ("one", "two"))
+    first, second = (F.broadcast(ratios.select(F.col("bucket").alias(n), F.col("ratio").alias(f"_{n}"), F.col("own").alias(f"_own_{n}"))) for n in ("one", "two"))
     scored = grams(rows, buckets).join(first, "one", "left").join(second, "two", "left")
-    scored = scored.groupBy(*own).agg(F.sum(F.col("_one") + F.col("_two")).alias("_sum"), F.count("word").alias("n_words"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("word_chars"))
+    scored = scored.groupBy(*own).agg(F.sum(F.col("_one") + F.col("_two")).alias("_other"), F.sum(F.col("_own_one") + F.col("_own_two")).alias("_own"), F.count("word").alias("n_words"), F.coalesce(F.sum(F.length("word")), F.lit(0)).alias("word_chars"))
+    trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
+    scored = scored.join(trusted, F.col("doc_id") == F.col("_id"), "left").withColumn("_sum", F.when(F.col("_id").isNull(), F.col("_other")).otherwise(F.col("_own")))
     out = scored.withColumn("llr", F.coalesce(F.col("_sum") / F.when(F.col("n_words") > 0, 2 * F.col("n_words")), F.lit(0.0)))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= least))
