@@ -148,13 +148,14 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 2048, end: int = 1, with_i
     spark = docs.sparkSession
     cut = pieces(docs, ranks, capacity, end, with_ids)
     cut = cut.withColumn("_class", F.floor(capacity / F.col("length")).cast("int")).withColumn("_h", digest("doc_id", "start"))
-    cut = stash(cut)
+    whole = stash(cut.withColumn("_piece", F.monotonically_increasing_id()))
+    cut = whole.drop("ids")  # the ids stay where they are until every piece has its place
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = cut.withColumn("_range", F.floor(F.col("_h") / (2**60 // ranges + 1)).cast("int"))
     counts = cut.groupBy("_class", "_range").agg(F.count("*").alias("_n"), F.sum("length").alias("_l"))
     before = Window.partitionBy("_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    order = ["_h", "doc_id", "start", "ids_crc32"]
+    order = ["_h", "doc_id", "start", "ids_crc32", "_piece"]
     place = Window.partitionBy("_class", "_range").orderBy(*order)
     cut = cut.withColumn("_row", F.row_number().over(place) - 1).join(counts.select("_class", "_range", "_before"), ["_class", "_range"])
     cut = stash(cut.withColumn("_rank", F.col("_before") + F.col("_row")).drop("_row", "_before", "_range"))
@@ -173,4 +174,6 @@ def pack(docs: DataFrame, ranks: str, capacity: int = 2048, end: int = 1, with_i
     out = out.withColumn("sequence_id", F.when(bins < F.col("_full"), F.col("_base") + bins).otherwise(F.col("_all") + F.col("bin")))
     inside = Window.partitionBy("sequence_id").orderBy("_class", "_rank").rowsBetween(Window.unboundedPreceding, -1)
     out = out.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
+    if with_ids:
+        out = out.join(whole.select("_piece", "ids"), "_piece")
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))
