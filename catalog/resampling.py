@@ -190,19 +190,8 @@ def _(spark, d):
     return rounded(nulls.water_years(indexed(spark, d), KEYS, "i", "day", "q", 1, SEED), 3)
 
 
-def register_array(family):
-    @query(f"null_{family}")
-    def _(spark, d):
-        out = nulls.array_nulls(indexed(spark, d), KEYS, "i", "q", family, 2, SEED)
-        return rounded(out.groupBy(*KEYS, "draw").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("sd")), 3)
-
-
-for family in ("ar1", "phase", "iaaft", "two_timescale", "arfima"):
-    register_array(family)
-
-
 def null_draws(spark, d):
-    return ensemble.null_ensemble(anomaly(spark, d), curve(spark, d), KEYS, "q", ["ar1", "phase"], 4, SEED, MIN_UNITS, 12)
+    return ensemble.null_ensemble(anomaly(spark, d), curve(spark, d), KEYS, "q", ["white", "block"], 4, SEED, MIN_UNITS, 12)
 
 
 @query("null_ensemble")
@@ -243,7 +232,7 @@ def _(spark, d):
 
 @query("null_tau_match")
 def _(spark, d):
-    return rounded(ensemble.null_tau_match(anomaly(spark, d), gauge_tau(spark, d), KEYS, "q", ["ar1", "phase"], 2, SEED))
+    return rounded(ensemble.null_tau_match(anomaly(spark, d), gauge_tau(spark, d), KEYS, "q", ["white", "block"], 2, SEED))
 
 
 @query("empirical_p", f"""SELECT family, {r('avg(CASE WHEN f.beta >= c.beta THEN 1e0 ELSE 0e0 END)', 'p_share')}, {r('(count(*) FILTER (f.beta >= c.beta) + 1) / (count(*) + 1e0)', 'p_plus_one')},

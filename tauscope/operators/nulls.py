@@ -1,22 +1,12 @@
-"""Null series: row-wise draws in SQL where the family allows it, arrays elsewhere.
-
-Row families (white, seasonal, block, water year) are joins on hashed row numbers.
-Array families (AR(1), phase, IAAFT, two time scales, fractional) need recursion or an
-FFT over one series; each (series, draw) is one row whose array is bounded by the
-calendar, so draws spread over tasks.
-"""
+"""Null series as joins on hashed row numbers: white, seasonal, block and water-year draws; draws are rows."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tauscope.functions.rng import index_draw, normal, uniform
 from tauscope.operators.prep import season_key, water_year
@@ -124,92 +114,16 @@ def water_years(
     )
 
 
-def _matched(out: np.ndarray, target: np.ndarray) -> np.ndarray:
-    mean, std = target.mean(), target.std()
-    own = out.std()
-    if std == 0 or own == 0:
-        return np.full(out.shape, mean)
-    return (out - out.mean()) / own * std + mean
-
-
-def _recursion(phi: float, noise: np.ndarray) -> np.ndarray:
-    out = np.empty_like(noise)
-    last = 0.0
-    for i, e in enumerate(noise):
-        last = phi * last + e
-        out[i] = last
-    return out
-
-
-def _unit_ar1(n: int, tau: float, rng) -> np.ndarray:
-    phi = float(np.exp(-1.0 / max(tau, 0.2)))
-    noise = rng.normal(0.0, np.sqrt(1.0 - phi * phi), n)
-    noise[0] = rng.normal()
-    out = _recursion(phi, noise)
-    return (out - out.mean()) / (out.std() or 1.0)
-
-
-def _one_null(x: np.ndarray, family: str, rng, tau: float, phi: float, sigma: float, d: float, iterations: int) -> np.ndarray:
-    n = x.size
-    if family == "ar1":
-        return _matched(_recursion(phi, rng.normal(0.0, sigma or x.std(), n)), x)
-    if family == "phase":
-        amplitude = np.abs(np.fft.rfft(x - x.mean()))
-        turn = rng.uniform(0.0, 2.0 * np.pi, amplitude.size)
-        turn[0] = 0.0
-        if n % 2 == 0:
-            turn[-1] = 0.0
-        return _matched(np.fft.irfft(amplitude * np.exp(1j * turn), n=n), x)
-    if family == "iaaft":
-        ordered, amplitude = np.sort(x), np.abs(np.fft.rfft(x - x.mean()))
-        now = rng.permutation(x)
-        for _ in range(iterations):
-            turn = np.angle(np.fft.rfft(now - now.mean()))
-            shaped = np.fft.irfft(amplitude * np.exp(1j * turn), n=n)
-            now = ordered[np.argsort(np.argsort(shaped))]
-        return now
-    if family == "two_timescale":
-        fast = max(1.0, tau / 6.0)
-        slow = min(730.0, max(tau * 6.0, fast + 1.0))
-        share = float(np.clip((tau - slow) / (fast - slow), 0.25, 0.90))
-        mixed = np.sqrt(share) * _unit_ar1(n, fast, rng) + np.sqrt(1.0 - share) * _unit_ar1(n, slow, rng)
-        return _matched(mixed, x)
-    if family == "arfima":
-        size = int(min(max(256, n // 3), 4096))
-        k = np.arange(1, size)
-        weights = np.concatenate([[1.0], np.cumprod((k - 1 + d) / k)])
-        noise = rng.normal(0.0, 1.0, n + size - 1)
-        return _matched(np.convolve(noise, weights, mode="valid")[:n], x)
-    raise ValueError(f"unknown family: {family}")
-
-
-def array_nulls(
-    df: DataFrame, keys: Sequence[str], index: str, value: str, family: str, n_draws: int, seed: int,
-    tau: DataFrame | None = None, d: float = 0.28, iterations: int = 20,
+def null_series(
+    df: DataFrame, keys: Sequence[str], index: str, day: str, value: str, family: str, n_draws: int, seed: int
 ) -> DataFrame:
-    """Null series of an array family: (keys, draw, index, x), seeded by crc32 of the key."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def make(xs: pd.Series, label: pd.Series, taus: pd.Series, phis: pd.Series, sigmas: pd.Series) -> pd.Series:
-        out = []
-        for x, text, t, phi, sigma in zip(xs, label, taus, phis, sigmas):
-            rng = np.random.default_rng(zlib.crc32(text.encode()))
-            t = 1.0 if t is None or not t > 0 else float(t)
-            out.append(_one_null(np.asarray(x, dtype=float), family, rng, t, phi, sigma, d, iterations))
-        return pd.Series(out)
-
-    rows = F.sort_array(F.collect_list(F.struct(F.col(index), F.col(value).alias("_x"))))
-    lists = df.groupBy(*keys).agg(rows.alias("_rows"))
-    if family == "ar1":
-        lists = lists.join(ar1_fit(df, keys, index, value), list(keys))
-    else:
-        lists = lists.withColumn("phi", F.lit(0.0)).withColumn("sigma", F.lit(0.0))
-    if tau is not None:
-        lists = lists.join(tau.select(*keys, "tau"), list(keys), "left")
-    else:
-        lists = lists.withColumn("tau", F.lit(None).cast("double"))
-    label = F.concat_ws(":", F.lit(str(seed)), *keys, F.lit(family), F.col("draw").cast("string"))
-    made = each_draw(lists, n_draws).repartition(*keys, "draw").select(
-        *keys, "draw", F.posexplode(make(F.col("_rows._x"), label, "tau", "phi", "sigma")).alias(index, "x")
-    )
-    return made.withColumn(index, F.col(index).cast("long"))
+    """Null series of a row family by name: (keys, draw, index, x). Draws are rows; the same seed gives the same series."""
+    if family == "white":
+        return white(df, keys, index, value, n_draws, seed)
+    if family == "seasonal":
+        return seasonal(df, keys, index, day, value, n_draws, seed)
+    if family == "block":
+        return block(df, keys, index, value, 90, n_draws, seed)
+    if family == "water_year":
+        return water_years(df, keys, index, day, value, n_draws, seed)
+    raise ValueError(f"unknown family: {family}")

@@ -63,13 +63,13 @@ def acf(df: DataFrame, keys: Sequence[str], index: str, value: str, max_lag: int
     home = F.floor(F.col(index) / F.lit(float(width)))
     known = (
         df.where(F.col(value).isNotNull())
-        .withColumn("n", F.count(F.lit(1)).over(series))
+        .withColumn("_n", F.count(F.lit(1)).over(series))
         .withColumn("_x", F.col(value) - F.avg(value).over(series))
-        .withColumn("_energy", F.var_pop(value).over(series) * F.col("n"))
-        .where(F.col("n") >= 3)
+        .withColumn("_energy", F.var_pop(value).over(series) * F.col("_n"))
+        .where(F.col("_n") >= 3)
     )
     placed = known.select(
-        *keys, "n", "_energy", F.col(index).alias("_i"), "_x",
+        *keys, "_n", "_energy", F.col(index).alias("_i"), "_x",
         F.explode(F.array(home, home - 1)).alias("_chunk"),
     ).where(F.col("_chunk") >= 0)
     rows = F.sort_array(F.collect_list(F.struct("_i", "_x")))
@@ -78,19 +78,19 @@ def acf(df: DataFrame, keys: Sequence[str], index: str, value: str, max_lag: int
         placed.groupBy(*keys, "_chunk")
         .agg(
             rows.alias("_rows"), F.count(F.when(mine, 1)).cast("int").alias("_own"),
-            F.first("n").alias("n"), F.first("_energy").alias("_energy"),
+            F.first("_n").alias("_n"), F.first("_energy").alias("_energy"),
         )
         .where(F.col("_own") > 0)
     )
     sums = chunks.select(
-        *keys, "n", "_energy",
+        *keys, "_n", "_energy",
         F.posexplode(lag_products(max_lag)(F.col("_rows._x"), F.col("_own"))).alias("lag", "_p"),
     )
     share = F.coalesce(F.sum("_p") / F.nullif(F.first("_energy"), F.lit(0.0)), F.lit(1.0))
     return (
-        sums.where(F.col("lag") < F.col("n"))
+        sums.where(F.col("lag") < F.col("_n"))
         .groupBy(*keys, "lag")
-        .agg(share.alias("acf"), F.first("n").alias("n"))
+        .agg(share.alias("acf"), F.first("_n").alias("n"))
     )
 
 
@@ -209,22 +209,22 @@ def periodogram(segments: pd.Series) -> pd.Series:
 
 
 def welch_segments(df: DataFrame, keys: Sequence[str], index: str, value: str, nperseg: int) -> DataFrame:
-    """Half-overlapping segments: (keys, segment, n, size, samples)."""
+    """Half-overlapping segments: (keys, _segment, _n, _size, samples); private names, so keys may be called anything."""
     placed = (
         df.where(F.col(value).isNotNull())
-        .withColumn("n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
-        .where(F.col("n") >= 4)
-        .select(*keys, "n", F.col(index).alias("_i"), F.col(value).alias("_x"))
-        .withColumn("size", F.least(F.lit(nperseg), F.col("n")).cast("long"))
-        .withColumn("_step", F.expr("size - size div 2"))
-        .withColumn("_count", F.expr("(n - size) div _step + 1"))
-        .withColumn("_from", F.greatest(F.lit(0), F.expr("(_i - size + _step) div _step")))
+        .withColumn("_n", F.count(F.lit(1)).over(W.partitionBy(*keys)))
+        .where(F.col("_n") >= 4)
+        .select(*keys, "_n", F.col(index).alias("_i"), F.col(value).alias("_x"))
+        .withColumn("_size", F.least(F.lit(nperseg), F.col("_n")).cast("long"))
+        .withColumn("_step", F.expr("_size - _size div 2"))
+        .withColumn("_count", F.expr("(_n - _size) div _step + 1"))
+        .withColumn("_from", F.greatest(F.lit(0), F.expr("(_i - _size + _step) div _step")))
         .withColumn("_to", F.least(F.expr("_i div _step"), F.col("_count") - 1))
         .where(F.col("_from") <= F.col("_to"))
-        .withColumn("segment", F.explode(F.sequence("_from", "_to")))
+        .withColumn("_segment", F.explode(F.sequence("_from", "_to")))
     )
     samples = F.sort_array(F.collect_list(F.struct("_i", "_x")))
-    return placed.groupBy(*keys, "segment", "n", "size").agg(samples.getField("_x").alias("samples"))
+    return placed.groupBy(*keys, "_segment", "_n", "_size").agg(samples.getField("_x").alias("samples"))
 
 
 def welch_psd(
@@ -233,14 +233,14 @@ def welch_psd(
     """Welch density (Hann, half overlap, mean removed): (keys, k, frequency, psd, n_segments)."""
     fs = fs if isinstance(fs, Column) else F.lit(float(fs))
     bins = welch_segments(df, keys, index, value, nperseg).select(
-        *keys, "size", F.posexplode(periodogram("samples")).alias("k", "_p")
+        *keys, "_size", F.posexplode(periodogram("samples")).alias("_k", "_p")
     )
     return (
-        bins.where(F.col("k") > 0)
-        .groupBy(*keys, "size", "k")
+        bins.where(F.col("_k") > 0)
+        .groupBy(*keys, "_size", "_k")
         .agg(F.avg("_p").alias("_p"), F.count(F.lit(1)).alias("n_segments"))
         .where(F.col("_p") > 0)
-        .select(*keys, "k", (F.col("k") * fs / F.col("size")).alias("frequency"), (F.col("_p") / fs).alias("psd"), "n_segments")
+        .select(*keys, F.col("_k").alias("k"), (F.col("_k") * fs / F.col("_size")).alias("frequency"), (F.col("_p") / fs).alias("psd"), "n_segments")
     )
 
 

@@ -19,7 +19,7 @@ def null_curves(
 ) -> DataFrame:
     """Curve points of every null series, on its own memory time."""
     parts = [
-        nulls.array_nulls(anomaly, keys, "i", value, f, n_draws, seed).withColumn("family", F.lit(f)) for f in families
+        nulls.null_series(anomaly, keys, "i", "day", value, f, n_draws, seed).withColumn("family", F.lit(f)) for f in families
     ]
     stacked = parts[0]
     for part in parts[1:]:
@@ -106,7 +106,7 @@ def null_tau_match(
     """How well null series keep the memory time: median and IQR of the log10 error."""
     group = [*keys, "family", "draw"]
     parts = [
-        nulls.array_nulls(anomaly, keys, "i", value, f, n_draws, seed).withColumn("family", F.lit(f)) for f in families
+        nulls.null_series(anomaly, keys, "i", "day", value, f, n_draws, seed).withColumn("family", F.lit(f)) for f in families
     ]
     stacked = parts[0]
     for part in parts[1:]:

@@ -126,19 +126,25 @@ def test_lomb_scargle_finds_the_period(spark):
     assert abs(1 / out["frequency"].iloc[out["psd"].idxmax()] - 12) < 1 and out["psd"].max() <= 1 + 1e-9
 
 
-@pytest.mark.parametrize("family", ["ar1", "phase", "iaaft", "two_timescale", "arfima"])
-def test_array_nulls_keep_moments_and_repeat(spark, family):
-    x = np.sin(np.arange(128) / 5.0) + np.cos(np.arange(128) ** 1.2)
+@pytest.mark.parametrize("family", ["white", "seasonal", "block", "water_year"])
+def test_null_series_repeat_with_their_seed(spark, family):
+    x = np.sin(np.arange(800) / 58.0) + np.cos(np.arange(800) ** 1.2)
     df = series_df(spark, x).withColumn("i", F.datediff("day", F.lit(dt.date(2000, 1, 1))).cast("long"))
-    make = lambda: nulls.array_nulls(df, ["k"], "i", "q", family, 2, 5).orderBy("draw", "i").toPandas()
-    a, b = make(), make()
-    assert np.array_equal(a["x"], b["x"]) and len(a) == 256
-    one = a[a["draw"] == 0]["x"].to_numpy()
-    assert np.isclose(one.mean(), x.mean()) and np.isclose(one.std(), x.std())
-    if family == "phase":
-        assert np.allclose(np.abs(np.fft.rfft(one))[1:-1], np.abs(np.fft.rfft(x))[1:-1])
-    if family == "iaaft":
-        assert np.allclose(np.sort(one), np.sort(x))
+    make = lambda seed: nulls.null_series(df, ["k"], "i", "day", "q", family, 2, seed).orderBy("draw", "i").toPandas()["x"].to_numpy()
+    a, b, other = make(5), make(5), make(6)
+    assert np.array_equal(a, b) and len(a) == 1600 and np.isfinite(a).all() and not np.array_equal(a, other)
+    if family in ("block", "water_year"):
+        assert np.isclose(a[:800].mean(), x.mean(), atol=0.1)
+
+
+def test_spectra_do_not_clash_with_key_names(spark):
+    df = series_df(spark, np.sin(np.arange(64) / 3.0)).withColumn("i", F.datediff("day", F.lit(dt.date(2000, 1, 1))).cast("long"))
+    plain = spectral.welch_psd(df, ["k"], "i", "q", nperseg=16).orderBy("frequency").toPandas()
+    named = df.select(F.lit(7).alias("segment"), F.lit(8).alias("size"), "i", "q")
+    other = spectral.welch_psd(named, ["segment", "size"], "i", "q", nperseg=16).orderBy("frequency").toPandas()
+    assert set(other["segment"]) == {7} and set(other["size"]) == {8} and np.allclose(plain["psd"], other["psd"])
+    lags = spectral.acf(named, ["segment", "size"], "i", "q", 5).orderBy("lag").toPandas()
+    assert len(lags) == 6 and np.isclose(lags["acf"][0], 1.0)
 
 
 def test_bh_and_wilcoxon(spark):
