@@ -132,7 +132,8 @@ def test_null_series_repeat_with_their_seed(spark, family):
     df = series_df(spark, x).withColumn("i", F.datediff("day", F.lit(dt.date(2000, 1, 1))).cast("long"))
     make = lambda seed: nulls.null_series(df, ["k"], "i", "day", "q", family, 2, seed).orderBy("draw", "i").toPandas()["x"].to_numpy()
     a, b, other = make(5), make(5), make(6)
-    assert np.array_equal(a, b) and len(a) == 1600 and np.isfinite(a).all() and not np.array_equal(a, other)
+    # draws are the same; sums of a rescaled series may differ in the last bits with the order of its rows
+    assert np.allclose(a, b, rtol=0, atol=1e-9) and len(a) == 1600 and np.isfinite(a).all() and not np.allclose(a, other)
     if family in ("block", "water_year"):
         assert np.isclose(a[:800].mean(), x.mean(), atol=0.1)
 
