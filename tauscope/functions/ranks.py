@@ -4,9 +4,8 @@ A plain ``row_number() over (order by x)`` or ``percentile(x)`` sends the whole
 one task. Here every group is first cut into ordered buckets; window functions run
 inside a bucket and a small table of bucket sizes supplies the offsets. Bucket edges
 come from a bounded sketch and only steer the work: results are exact. Equal values
-are merged into counted rows before the shuffle, so a hot value is one row. The counted table is
-also measured: when its largest group has at most ``SMALL`` distinct values, one window
-or aggregate per group is used instead, which needs fewer shuffles.
+are merged into counted rows before the shuffle, so a hot value is one row. There is one
+plan at every size and no job while it is built; the shuffle width gives the number of buckets.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 32
-SMALL = 200_000
 _KEPT: list[DataFrame] = []
 
 
@@ -39,6 +36,11 @@ def release() -> None:
         _KEPT.pop().unpersist()
 
 
+def shuffle_width(df: DataFrame) -> int:
+    """Number of shuffle partitions of the session: as many buckets keep every task busy."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _key(by: Sequence[str]) -> list:
     return list(by) if by else [F.lit(0)]
 
@@ -71,45 +73,34 @@ def bucketed_row_number(
 
 
 def hash_order(
-    df: DataFrame, by: Sequence[str], u: Column, tie: Sequence[str], name: str, buckets: int = BUCKETS
+    df: DataFrame, by: Sequence[str], u: Column, tie: Sequence[str], name: str, buckets: int | None = None
 ) -> DataFrame:
     """Random permutation 1..n inside ``by``, ordered by the uniform column ``u``."""
     with_u = df.withColumn("_u", u)
-    bucket = F.floor(F.col("_u") * F.lit(float(buckets)))
+    bucket = F.floor(F.col("_u") * F.lit(float(buckets or shuffle_width(df))))
     return bucketed_row_number(with_u, by, ["_u", *tie], bucket, name).drop("_u")
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, bool]:
-    """Distinct values with ``_n`` copies, and whether every group is small."""
-    counts = keep(
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    largest = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).head()[0]
-    return counts, (largest or 0) <= SMALL
+def value_counts(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct values with ``_n`` copies; ``weight`` names the copies of rows that are counted already."""
+    copies = F.sum(weight) if weight else F.count(F.lit(1))
+    return keep(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(copies.alias("_n")))
 
 
-def cumulative_counts(df: DataFrame, by: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+def cumulative_counts(
+    df: DataFrame, by: Sequence[str], value: str, buckets: int | None = None, weight: str | None = None
+) -> DataFrame:
     """One row per distinct value: ``_n`` copies, ``_cum`` rows at or below, ``_total``."""
-    counts, small = value_counts(df, by, value)
-    if small:
-        group = W.partitionBy(*_key(by))
-        upto = group.orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-        return counts.select(
-            *by, value, "_n", F.sum("_n").over(upto).alias("_cum"), F.sum("_n").over(group).alias("_total")
-        )
-    return _bucketed_counts(counts, by, value, buckets)
-
-
-def _bucketed_counts(counts: DataFrame, by: Sequence[str], value: str, buckets: int) -> DataFrame:
-    marks = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    counts = value_counts(df, by, value, weight)
+    buckets = buckets or shuffle_width(df)
+    marks = F.array(*[F.lit(i / buckets) for i in range(1, max(buckets, 2))])
+    # a group with few distinct values has few distinct edges
     groups = counts.groupBy(*by).agg(
-        F.percentile_approx(value, marks, 1000).alias("_edges"), F.sum("_n").alias("_total")
+        F.array_distinct(F.percentile_approx(value, marks, 1000)).alias("_edges"), F.sum("_n").alias("_total")
     )
     placed = same(counts, groups, by).withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(value)))
-    )
+    ).drop("_edges")
     sizes = placed.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_size"))
     upto = W.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     return (
@@ -120,15 +111,10 @@ def _bucketed_counts(counts: DataFrame, by: Sequence[str], value: str, buckets:
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = BUCKETS
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], buckets: int | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of ``value`` per ``by``, one column per prob."""
-    counts, small = value_counts(df, by, value)
-    if small:
-        every = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]), F.col("_n"))
-        rows = counts.groupBy(*by).agg(every.alias("_q"))
-        return rows.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-    cum = _bucketed_counts(counts, by, value, buckets)
+    cum = cumulative_counts(df, by, value, buckets)
     picks = []
     for name, p in probs.items():
         position = F.lit(float(p)) * (F.col("_total") - 1)
@@ -152,22 +138,26 @@ def quantiles(
     return rows.select(*by, *lerp)
 
 
+def _mean_rank(centred: bool = False) -> Column:
+    """Mean rank of the copies of a value; ``centred`` takes off the mean of all ranks of its group."""
+    rank = F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)
+    return rank - (F.col("_total") + 1) / F.lit(2.0) if centred else rank
+
+
 def average_ranks(
-    df: DataFrame, by: Sequence[str], value: str, name: str, buckets: int = BUCKETS
+    df: DataFrame, by: Sequence[str], value: str, name: str, buckets: int | None = None
 ) -> DataFrame:
     """Attach the average rank of ``value`` inside ``by`` (ties share their mean rank)."""
     cum = cumulative_counts(df, by, value, buckets)
-    ranks = cum.select(
-        *by, value, (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(name)
-    )
-    return df.join(ranks, [*by, value])
+    return df.join(cum.select(*by, value, _mean_rank().alias(name)), [*by, value])
 
 
-def rank_columns(df: DataFrame, by: Sequence[str], columns: Sequence[str], prefix: str = "_r_") -> DataFrame:
+def rank_columns(
+    df: DataFrame, by: Sequence[str], columns: Sequence[str], prefix: str = "_r_", weight: str | None = None, centred: bool = False
+) -> DataFrame:
     """Average ranks of several columns, each taken from ``df`` itself so plans stay flat."""
     out = df
     for column in columns:
-        cum = cumulative_counts(df, by, column)
-        rank = (F.col("_cum") - (F.col("_n") - 1) / F.lit(2.0)).alias(f"{prefix}{column}")
-        out = out.join(cum.select(*by, column, rank), [*by, column])
+        cum = cumulative_counts(df, by, column, weight=weight)
+        out = out.join(cum.select(*by, column, _mean_rank(centred).alias(f"{prefix}{column}")), [*by, column])
     return out

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tauscope.functions.expressions import guarded_corr
 from tauscope.functions.pvalues import correlation_p, normal_p
-from tauscope.functions.ranks import average_ranks, keep, quantiles, rank_columns, same
+from tauscope.functions.ranks import keep, quantiles, rank_columns, same
 from tauscope.functions.tables import long_form
 from tauscope.session import materialise
 
@@ -21,9 +21,12 @@ from tauscope.session import materialise
 def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """Rank correlation of complete pairs per group, null when a side is constant."""
     present = F.col(x).isNotNull() & F.col(y).isNotNull()
-    pairs = keep(df.where(present).select(*groups, F.col(x).alias("_x"), F.col(y).alias("_y")))
-    ranked = rank_columns(pairs, groups, ["_x", "_y"])
-    out = ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), guarded_corr("_r__x", "_r__y").alias("rho"))
+    pairs = df.where(present).groupBy(*groups, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_copies"))
+    ranked = rank_columns(keep(pairs), groups, ["_x", "_y"], weight="_copies", centred=True)
+    # ranks are centred on their exact mean, so a constant side sums to exactly 0
+    moment = lambda a, b: F.sum(F.col("_copies") * F.col(f"_r__{a}") * F.col(f"_r__{b}"))
+    rho = moment("x", "y") / F.nullif(F.sqrt(moment("x", "x")) * F.sqrt(moment("y", "y")), F.lit(0.0))
+    out = ranked.groupBy(*groups).agg(F.sum("_copies").alias("n"), rho.alias("rho"))
     return out.where(F.col("n") >= min_n)
 
 
@@ -108,21 +111,21 @@ def control_ladder(df: DataFrame, x: str, y: str, ladders: Mapping[str, Sequence
 
 def wilcoxon(df: DataFrame, groups: Sequence[str], delta: str) -> DataFrame:
     """Signed-rank statistic min(W+, W-), zeros dropped; normal p with tie correction."""
-    rows = keep(df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).select(*groups, delta, F.round(F.abs(delta), 12).alias("_a")))
-    ranked = average_ranks(rows, groups, "_a", "_rank")
-    ties = rows.groupBy(*groups, "_a").agg(F.count(F.lit(1)).alias("_t"))
-    correction = ties.groupBy(*groups).agg(F.sum(F.pow("_t", F.lit(3.0)) - F.col("_t")).alias("_ties"))
+    side = lambda sign: F.count(F.when(sign, 1))
+    counted = df.where(F.col(delta).isNotNull() & (F.col(delta) != 0)).groupBy(*groups, F.round(F.abs(delta), 12).alias("_a"))
+    counted = counted.agg(F.count(F.lit(1)).alias("_t"), side(F.col(delta) > 0).alias("_plus"), side(F.col(delta) < 0).alias("_minus"))
+    ranked = rank_columns(keep(counted), groups, ["_a"], weight="_t")
     sums = ranked.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(F.col(delta) > 0, F.col("_rank")).otherwise(0.0)).alias("w_plus"),
-        F.sum(F.when(F.col(delta) < 0, F.col("_rank")).otherwise(0.0)).alias("w_minus"),
+        F.sum("_t").alias("n"),
+        F.sum(F.col("_plus") * F.col("_r__a")).alias("w_plus"),
+        F.sum(F.col("_minus") * F.col("_r__a")).alias("w_minus"),
+        F.sum(F.pow("_t", F.lit(3.0)) - F.col("_t")).alias("_ties"),
     )
     n = F.col("n")
     variance = n * (n + 1) * (2 * n + 1) / F.lit(24.0) - F.col("_ties") / F.lit(48.0)
     z = (F.col("w_plus") - n * (n + 1) / F.lit(4.0)) / F.nullif(F.sqrt(variance), F.lit(0.0))
     return (
-        same(sums, correction, groups)
-        .withColumn("z", z)
+        sums.withColumn("z", z)
         .withColumn("statistic", F.least("w_plus", "w_minus"))
         .drop("_ties")
         .withColumn("p_value", normal_p("z"))

@@ -23,14 +23,13 @@ def series_df(spark, values, key="A"):
     return spark.createDataFrame([(key, d, float(v)) for d, v in zip(days(len(values)), values)], "k string, day date, q double")
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_quantiles_and_ranks_on_both_paths(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranks, "SMALL", limit)
+@pytest.mark.parametrize("groups, buckets", [(3, None), (3, 1), (3, 50), (200, None)])
+def test_quantiles_and_ranks(spark, groups, buckets):
     rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"g": rng.integers(0, 3, 900), "v": np.round(rng.normal(size=900), 2)})
+    pdf = pd.DataFrame({"g": rng.integers(0, groups, 900), "v": np.round(rng.normal(size=900), 2)})
     pdf.loc[:300, "v"] = 0.5  # a hot value
     df = spark.createDataFrame(pdf)
-    got = {r["g"]: r for r in ranks.quantiles(df, ["g"], "v", {"a": 0.025, "b": 0.5, "c": 0.9}).collect()}
+    got = {r["g"]: r for r in ranks.quantiles(df, ["g"], "v", {"a": 0.025, "b": 0.5, "c": 0.9}, buckets).collect()}
     for g, part in pdf.groupby("g"):
         assert np.allclose([got[g]["a"], got[g]["b"], got[g]["c"]], np.percentile(part["v"], [2.5, 50, 90]))
     ranked = ranks.average_ranks(df.withColumn("id", F.monotonically_increasing_id()), ["g"], "v", "r").toPandas()
@@ -65,9 +64,9 @@ def test_detrend_removes_a_line(spark):
 
 
 def test_climatology_medians(spark):
-    rows = [("A", dt.date(2000, 1, 1), 10.0), ("A", dt.date(2001, 1, 1), 14.0), ("A", dt.date(2000, 1, 2), 20.0), ("A", dt.date(2001, 1, 2), 24.0)]
+    rows = [("A", dt.date(1998, 3, 5), 3.5), ("A", dt.date(1999, 3, 5), 6.5), ("A", dt.date(1998, 3, 6), 40.0), ("A", dt.date(1999, 3, 6), 31.0)]
     df = spark.createDataFrame(rows, "k string, day date, q double")
-    assert sorted(r["seasonal_cycle"] for r in prep.deseason(df, ["k"], "day", "q").collect()) == [12, 12, 22, 22]
+    assert sorted(r["seasonal_cycle"] for r in prep.deseason(df, ["k"], "day", "q").collect()) == [5, 5, 35.5, 35.5]
 
 
 def test_event_rate_fills_empty_days(spark):
@@ -156,6 +155,16 @@ def test_bh_and_wilcoxon(spark):
     assert (w["n"], w["w_plus"], w["w_minus"], w["statistic"]) == (4, 8.0, 2.0, 2.0)
 
 
+def test_spearman_with_a_hot_pair(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"g": ["a"] * 300, "x": rng.integers(0, 9, 300).astype(float), "y": rng.integers(0, 9, 300).astype(float)})
+    pdf.loc[:120, ["x", "y"]] = 4.0
+    flat = pd.DataFrame({"g": ["b"] * 5, "x": [1.0] * 5, "y": [1.0, 2.0, 3.0, 4.0, 5.0]})
+    got = {r["g"]: r for r in stats.spearman(spark.createDataFrame(pd.concat([pdf, flat])), ["g"], "x", "y").collect()}
+    assert got["a"]["n"] == 300 and math.isclose(got["a"]["rho"], pdf["x"].rank().corr(pdf["y"].rank()), rel_tol=1e-9)
+    assert got["b"]["rho"] is None
+
+
 def test_correlation_p_known_value(spark):
     from tauscope.functions.pvalues import correlation_p
 
@@ -192,9 +201,9 @@ def test_comcat_pages(spark):
 
 
 def test_landslides(spark):
-    raw = spark.createDataFrame([("973", "01/02/2007 03:04:00 AM", "107.45", "3"), ("1", "bad", "x", "4")], "event_id string, event_date string, longitude string, latitude string")
+    raw = spark.createDataFrame([("58", "11/23/2012 08:15:00 PM", "-64.2", "3"), ("1", "bad", "x", "4")], "event_id string, event_date string, longitude string, latitude string")
     rows = {r["event_id"]: r for r in events.parse_glc(raw).collect()}
-    assert rows[973]["event_year"] == 2007 and rows[1]["event_date"] is None and rows[1]["longitude"] is None
+    assert rows[58]["event_year"] == 2012 and rows[1]["event_date"] is None and rows[1]["longitude"] is None
 
 
 def test_missing_columns_are_an_error(spark):
