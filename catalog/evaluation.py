@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import KEYS, curve, daily, query, r, rounded, rs, shared, step
@@ -10,6 +12,7 @@ from tauscope.functions.ranks import quantiles
 from tauscope.operators import evaluation as ev
 from tauscope.operators import prep, stats
 from tauscope.plans import archive
+from tauscope.session import shared_folder
 from tauscope.sources import adapters
 
 
@@ -217,3 +220,19 @@ def _(spark, d):
 
     rates = stream_event_rate(adapters.table(spark, d, "events"), ["event_type"], "ts")
     return rates.withColumn("time", F.col("time").cast("timestamp_ntz"))
+
+
+@query("stream_event_rate_closed", """SELECT event_type, date_trunc('hour', ts) AS time, cast(count(*) AS double) AS value FROM events
+GROUP BY ALL HAVING date_trunc('hour', any_value(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR""")
+def _(spark, d):
+    """The stream job itself: a file stream of the event table into a Parquet sink.
+
+    Append mode writes the windows that the watermark, two hours behind the newest row, has closed.
+    """
+    from tauscope.streaming.rates import run_available, stream_event_rate
+
+    folder = f"{shared_folder(spark)}/rates-{uuid.uuid4().hex}"
+    events = adapters.table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")
+    rates = run_available(stream_event_rate(stream, ["event_type"], "ts"), f"{folder}/out", f"{folder}/log", spark)
+    return rates.withColumn("time", F.col("time").cast("timestamp_ntz"))

@@ -6,11 +6,14 @@ the operator, and checked against the values they were made from.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.base import KEYS, query, r, rounded, rs, step
 from tauscope.functions.expressions import beta_status, energy_joule, norm_gauge
 from tauscope.functions.tables import config_table
+from tauscope.session import shared_folder
 from tauscope.sources import adapters, events, series
 
 step("catalogue", """
@@ -443,7 +446,10 @@ def _(spark, d):
 
 @query("sink_tables", f"SELECT archive, count(*) AS n, {r('sum(q)', 'total', 2)} FROM recorded GROUP BY archive")
 def _(spark, d):
-    flow = adapters.recorded_flow(spark, d)
+    """The recorded series, written as a table partitioned by archive and read back."""
+    path = f"{shared_folder(spark)}/recorded-{uuid.uuid4().hex}"
+    series.write_table(adapters.recorded_flow(spark, d), path, ["archive"])
+    flow = spark.read.parquet(path)
     return rounded(flow.groupBy("archive").agg(F.count(F.lit(1)).alias("n"), F.sum("q").alias("total")), 2)
 
 

@@ -30,18 +30,19 @@ def build_session(app: str = "tauscope", cpus: str | int | None = None, **conf:
     return builder.getOrCreate()
 
 
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; one next to the warehouse where it is unset (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or os.path.join(spark.conf.get("spark.sql.warehouse.dir").replace("file:", ""), "_checkpoints")
+
+
 def materialise(df):
     """Cut the lineage of ``df`` through the cluster's reliable checkpoint folder.
 
     ``spark.checkpoint.dir`` names shared storage on a cluster, so a lost executor only
     re-reads files. Without it (tests) a folder is created next to the warehouse.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            warehouse = spark.conf.get("spark.sql.warehouse.dir").replace("file:", "")
-            folder = os.path.join(warehouse, "_checkpoints")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
