@@ -158,6 +158,7 @@ def boot_statistic(df: DataFrame, groups: Sequence[str], unit: str, value: str,
         (F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("mean"),
         (F.sum(F.when(F.col(value) > 0, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("positive"),
     )
+    draws = keep(draws)  # one row per group and draw
     a = quantiles(draws, groups, "mean", {"mean_low": 0.025, "mean_high": 0.975})
     b = quantiles(draws, groups, "positive", {"positive_low": 0.025, "positive_high": 0.975})
     return same(a, b, groups)
