@@ -107,6 +107,7 @@ SELECT gauge_id, avg((beta_median - mid) ** 2) FILTER (axis = 'frequency') AS ra
 FROM unit_bins JOIN bin_width USING (axis, bin_id) GROUP BY gauge_id HAVING raw_bins >= 8 AND de_bins >= 6 AND raw_msr > 0""")
 
 
+@shared("scores", cut=True)
 def scores(spark, d):
     return binning.gauge_scores(unit_bins(spark, d), [], "gauge_id", MIN_UNITS, 8, 6)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tauscope.functions.ranks import quantiles, same
+from tauscope.functions.ranks import keep, quantiles, same
 
 
 def right_closed_bin(x: Column, lo: Column, width: Column, n_bins: Column) -> Column:
@@ -238,6 +238,7 @@ def gauge_scores(
 ) -> DataFrame:
     """Mean squared residual to the bin median per unit on both axes, and its reduction."""
     keys = [*groups, "axis", "bin_id"]
+    binned = keep(binned)  # read by the medians, the sizes and the residuals
     reference = quantiles(binned, keys, "beta_median", {"mid": 0.5}).join(
         binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_units")).where(F.col("n_units") >= min_units), keys
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tauscope.functions.ranks import hash_order, keep, quantiles, same
 from tauscope.functions.rng import index_draw, uniform
+from tauscope.functions.tables import long_form, pick
 from tauscope.operators.binning import archive_reduction, bin_variances, dispersion, unit_bin_median, unpivot_axes
 
 
@@ -153,15 +154,17 @@ def geo_grid_labels(df: DataFrame, unit: str, lat: str, lon: str, n_lat: int = 3
 
 def boot_statistic(df: DataFrame, groups: Sequence[str], unit: str, value: str, n_boot: int, seed: int) -> DataFrame:
     """Percentile interval of the mean and positive share of a value over resampled units."""
-    weights = bootstrap_weights(df.where(F.col(value).isNotNull()), groups, unit, n_boot, seed)
-    draws = df.join(weights, [*groups, unit]).groupBy(*groups, "draw").agg(
+    rows = keep(df.where(F.col(value).isNotNull()).select(*groups, unit, value))  # read by the weights and by the draws
+    weights = bootstrap_weights(rows, groups, unit, n_boot, seed)
+    draws = rows.join(weights, [*groups, unit]).groupBy(*groups, "draw").agg(
         (F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("mean"),
         (F.sum(F.when(F.col(value) > 0, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("positive"),
     )
-    draws = keep(draws)  # one row per group and draw
-    a = quantiles(draws, groups, "mean", {"mean_low": 0.025, "mean_high": 0.975})
-    b = quantiles(draws, groups, "positive", {"positive_low": 0.025, "positive_high": 0.975})
-    return same(a, b, groups)
+    names = ["mean", "positive"]
+    long = long_form(draws, groups, names, "_statistic", "_value")
+    found = quantiles(long, [*groups, "_statistic"], "_value", {"low": 0.025, "high": 0.975})
+    ends = [pick(F.col("_statistic") == n, q).alias(f"{n}_{q}") for n in names for q in ("low", "high")]
+    return found.groupBy(*groups).agg(*ends)
 
 
 def perm_correlation(df: DataFrame, unit: str, x: str, y: str, n_draws: int, seed: int) -> DataFrame:
