@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from tauscope.llm.common import stash
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether every edge leads from a node with one neighbour below it to one with none, that is, to a root."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("down")))
+    known = ends.groupBy("node").agg(F.sum("down").alias("down"), F.min("down").alias("least"))
+    return known.where((F.col("down") > 1) | ((F.col("down") == 1) & (F.col("least") == 0))).isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -21,17 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
     and repeated edges change nothing.
     """
     edges = stash(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = _fingerprint(edges)
-    while seen[0]:
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stash(small.union(low.select("a", F.col("m").alias("b"))).distinct())
-        now = _fingerprint(edges)
-        if now == seen:
-            break
-        seen = now
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
