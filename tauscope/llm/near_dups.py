@@ -186,7 +186,8 @@ def verified(docs: DataFrame, members: DataFrame, width: int, k: int, similarity
     sizes = members.groupBy("family").agg(F.count("*").alias("m"))
     members = members.join(sizes, "family").where("m > 1")
     blocks = F.ceil(F.col("m") / block).cast("int")
-    members = members.select("node", "family", blocks.alias("blocks"), (digest("node") % blocks).cast("int").alias("block"))
+    # written, so that its size is known: the estimate of a join is the product of its sides, and would shuffle all texts
+    members = stash(members.select("node", "family", blocks.alias("blocks"), (digest("node") % blocks).cast("int").alias("block")))
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(members, "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
