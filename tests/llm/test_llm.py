@@ -184,6 +184,47 @@ def test_log_ratios_by_hand(spark):
     assert len(table) == 65536 and len(counted) == 5  # a, b, (a b), (b a), (a end); c and (c end) stand for less than one after leaving themselves out
 
 
+def test_quality_scores_by_hand(spark):
+    texts = {1: "a b a", 2: "b c", 3: "a b a", 4: "c d c d e", 5: "b c", 6: "e", 7: None, 8: ""}
+    d = spark.createDataFrame([*texts.items(), (5, "b c"), (None, "e")], "doc_id long, text string")
+    lab = spark.createDataFrame([(3, 1), (4, 1), (2, 0)], "doc_id long, quality int")
+    trusted, size = {"a b a", "c d c d e"}, 1 << 16
+
+    def grams(t):
+        w = (t or "").split()
+        return collections.Counter(w) + collections.Counter(zip(w, [*w[1:], None], strict=False))
+
+    def llr(t):
+        rest = [x for x in set(texts.values()) - {None, t}]
+        c, p, own = sum((grams(x) for x in rest), collections.Counter()), sum((grams(x) for x in rest if x in trusted), collections.Counter()), grams(t)
+        score = sum(n * (np.log((p[g] + 1) / (sum(p.values()) + size)) - np.log((c[g] + 1) / (sum(c.values()) + size))) for g, n in own.items())
+        return score / max(1, sum(own.values()))
+
+    rows = quality_rules.quality(d, lab, buckets=size).collect()
+    assert len(rows) == 10 and sorted(round(r.llr, 9) for r in rows) == sorted(round(float(llr(t)), 9) for t in [*texts.values(), "b c", "e"])
+
+
+def test_quality_verdict_does_not_count_copies(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    d = d.select("doc_id", "text")
+    before = {r.doc_id: r for r in quality_rules.quality(d, lab).collect()}
+    clean = d.join(lab, "doc_id", "left_anti").where("length(text) > 2000 and not text rlike '[*|]'").orderBy("doc_id").first()
+    copies = spark.range(500).select((F.col("id") + 10**9).alias("doc_id"), F.lit(clean.text).alias("text"))
+    after = quality_rules.quality(d.unionByName(copies).unionByName(copies), lab).collect()
+    assert len(after) == len(before) + 1000 and before[clean.doc_id].kept
+    for r in after:
+        old = before[r.doc_id if r.doc_id < 10**9 else clean.doc_id]
+        assert r.kept == old.kept and abs(r.llr - old.llr) < 1e-9
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_quality_limit_holds_at_every_size(spark, sf):
+    d, lab = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality_rules.quality(d, lab).join(d.select("doc_id", "text"), "doc_id").where("not base_failed").collect()
+    prose = [r.kept for r in rows if not re.search(r"\*\*\*| \| ", r.text)]
+    assert np.mean(prose) > 0.95
+
+
 def test_packing(spark, docs, odd):
     from tokenizers import Tokenizer
 
