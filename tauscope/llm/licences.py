@@ -71,12 +71,40 @@ def _any(text: Column, marks: list[str]) -> Column:
     return found
 
 
+def windows(g: Column, least: float) -> Column:
+    """Windows of the hashed bigrams ``g`` of a text that are similar to the template ``_t``: ``array<struct<start, end, dice>>``, end inclusive.
+
+    The best windows start where a run of the template's bigrams starts and end where one ends, as a bigram more or less at either side lowers
+    the coefficient; so these are all that are tried, up to twice the size bound in length.
+    """
+    low, high = least / (2 - least), (2 - least) / least
+    longest = F.ceil(2 * high * F.col("_tn")).cast("int")
+
+    def tried(hits: Column) -> Column:
+        starts = F.filter(hits, lambda x, i: (i == 0) | (F.get(hits, i - 1) != x - 1))
+        ends = F.filter(hits, lambda x, i: (i == F.size(hits) - 1) | (F.get(hits, i + 1) != x + 1))
+
+        def scored(start: Column, end: Column) -> Column:
+            part = F.array_distinct(F.slice(g, start + 1, end - start + 1))
+            return let(part, lambda p: F.struct(start.alias("start"), end.alias("end"), (2 * F.size(F.array_intersect(p, F.col("_t"))) / (F.size(p) + F.col("_tn"))).alias("dice")))
+
+        def of(start: Column, k: Column, ends: Column) -> Column:
+            near = F.filter(F.slice(ends, k + 1, longest), lambda e: (e - start < longest) & (e - start + 1 >= low * F.col("_tn")))
+            return F.filter(F.transform(near, lambda e: scored(start, e)), lambda w: w["dice"] >= least)
+
+        return let(ends, lambda e: F.flatten(F.transform(starts, lambda x, k: of(x, k, e))))
+
+    hits = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(F.col("_t"), F.get(g, i)))
+    return F.when(F.size(F.array_intersect(g, F.col("_t"))) >= low * F.col("_tn"), let(hits, tried))
+
+
 def scan(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """Licence notices of every document: ``doc_id, part, licence, template, dice``, one row per part of a text in which one is found.
 
-    A part is a line, numbered from 0, or the whole text, numbered -1, so that a notice broken over lines
-    is found if it is all there is. A part is found if 2 |A and B| / (|A| + |B|) of the distinct word bigrams is
-    ``least`` or more; the best template counts, ties go to the first. Two bounds follow and lose
+    A part is a line, numbered from 0, the whole text, numbered -1, or a run of words within a line or over several,
+    numbered as the line it starts in, so that a notice wrapped amid other text or within a longer line is found. A part is found if
+    2 |A and B| / (|A| + |B|) of the distinct word bigrams is ``least`` or more; the best template counts, ties go to the first. Runs
+    count where no line they touch and not the whole text is found; of runs that overlap the best counts. Two bounds follow and lose
     nothing: least / (2 - least) <= |A| / |B| <= (2 - least) / least, so a part meets only the templates
     of such sizes; and so much of a template must be there that one of a few of its words is, so
     texts and lines without any of these words are dropped before bigrams are made. The templates are a list of
@@ -87,12 +115,36 @@ def scan(docs: DataFrame, least: float = 0.8) -> DataFrame:
     own = templates(docs)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     marks = sorted({m for _, notice in TEMPLATES for m in markers(notice, least)})
-    rows = rows.where(_any(F.lower("text"), marks))
+    rows = rows.where(_any(F.lower("text"), marks)).withColumn("_h", F.xxhash64("text"))
     lines = F.split("text", "\n")
     parts = F.concat(F.transform(lines, lambda x, i: F.struct(i.alias("part"), x.alias("line"))), F.when(F.size(lines) > 1, F.array(F.struct(F.lit(-1).alias("part"), F.col("text").alias("line")))).otherwise(F.array().cast("array<struct<part:int,line:string>>")))
-    rows = rows.select("doc_id", F.inline(parts)).where(_any(F.lower("line"), marks))
-    rows = rows.withColumn("_a", let(words(F.col("line")), bigrams)).withColumn("_an", F.size("_a"))
-    met = rows.where("_an > 0").join(F.broadcast(own), (F.col("_an") >= low * F.col("_tn")) & (F.col("_an") <= high * F.col("_tn")))
+    met = rows.select("doc_id", "_h", F.inline(parts)).where(_any(F.lower("line"), marks))
+    met = met.withColumn("_a", let(words(F.col("line")), bigrams)).withColumn("_an", F.size("_a"))
+    met = met.where("_an > 0").join(F.broadcast(own), (F.col("_an") >= low * F.col("_tn")) & (F.col("_an") <= high * F.col("_tn")))
     met = met.withColumn("dice", 2 * F.size(F.array_intersect("_a", "_t")) / (F.col("_an") + F.col("_tn"))).where(F.col("dice") >= least)
-    best = met.groupBy("doc_id", "part", "line").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template", "licence")).alias("b"))
-    return best.select("doc_id", "part", F.col("b")["licence"].alias("licence"), F.col("b")["template"].alias("template"), (-F.col("b")["d"]).alias("dice"))
+    best = met.groupBy("doc_id", "_h", "part").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template", "licence")).alias("b"))
+    whole, none = F.col("part") == -1, F.lit(-1)
+    best = best.select("doc_id", "_h", _found(F.lit(0), F.col("b")["d"], F.col("b")["template"], F.col("b")["licence"], F.col("part"), F.when(whole, 0).otherwise(F.col("part")), F.when(whole, 2**31 - 1).otherwise(F.col("part")), none, none).alias("x"))
+
+    placed = F.flatten(F.transform(lines, lambda x, i: F.transform(words(x), lambda y: F.struct(y.alias("w"), i.alias("line")))))
+    runs = rows.withColumn("_w", placed).where("size(_w) > 1")
+    runs = runs.select("doc_id", "_h", F.col("_w")["line"].alias("_line"), F.transform(F.slice("_w", F.lit(1), F.size("_w") - 1), lambda x, i: F.xxhash64(x["w"], F.get("_w", i + 1)["w"])).alias("_g"))
+    runs = runs.crossJoin(F.broadcast(own)).withColumn("_x", windows(F.col("_g"), least)).where("size(_x) > 0").select("doc_id", "_h", "_line", "template", "licence", F.inline("_x"))
+    first, last = F.get("_line", F.col("start")), F.get("_line", F.col("end") + 1)
+    runs = runs.select("doc_id", "_h", _found(F.lit(1), -F.col("dice"), F.col("template"), F.col("licence"), first, first, last, F.col("start"), F.col("end") + 1).alias("x"))
+
+    def meets(x: Column, y: Column) -> Column:
+        of = lambda a, b: (x[a] <= y[b]) & (y[a] <= x[b])
+        return F.when(y["kind"] == 0, of("l0", "l1")).otherwise(of("w0", "w1"))
+
+    def step(kept: Column, x: Column) -> Column:
+        return F.when((x["kind"] == 1) & F.exists(kept, lambda y: meets(x, y)), kept).otherwise(F.concat(kept, F.array(x)))
+
+    every = best.unionByName(runs).groupBy("doc_id", "_h").agg(F.array_sort(F.collect_set("x")).alias("x"))
+    every = every.select("doc_id", F.explode(F.aggregate("x", F.slice("x", 1, 0), step)).alias("x"))
+    return every.select("doc_id", F.col("x")["part"].alias("part"), F.col("x")["licence"].alias("licence"), F.col("x")["template"].alias("template"), (-F.col("x")["d"]).alias("dice")).distinct()
+
+
+def _found(*values: Column) -> Column:
+    kinds = {"kind": "int", "d": "double", "template": "int", "licence": "string", "part": "int", "l0": "int", "l1": "int", "w0": "int", "w1": "int"}
+    return F.struct(*[F.coalesce(v.cast(k), F.lit("" if k == "string" else 0).cast(k)).alias(n) for v, (n, k) in zip(values, kinds.items(), strict=True)])

@@ -293,6 +293,22 @@ def test_licences(spark, odd):
         assert sum(not set(p) & set(marks) for p in pairs) < 0.8 / 1.2 * len(pairs)
 
 
+def test_licences_within_text(spark):
+    mit, gpl, prose = licences.TEMPLATES[4][1], licences.TEMPLATES[6][1], lambda n: "".join(f"then value {i} of the table is read by row x{i} and kept " for i in range(n))
+    w = mit.split()
+    wrapped = "\n".join(" * " + " ".join(w[i : i + 9]) for i in range(0, len(w), 9))
+    w = gpl.split()
+    header = "\n".join("# " + " ".join(w[i : i + 7]) for i in range(0, len(w), 7))
+    line, code = "Released under the MIT License.", "".join(f"int f{i}() {{ return {i}; }}\n" for i in range(60))
+    rows = [
+        (1, f"/*\n * A file.\n *\n{wrapped}\n */\n{code}"), (2, prose(20) + gpl + " " + prose(20)), (3, prose(9) + line + " " + prose(9)),
+        (4, f"import os\n{header}\n{code}"), (5, prose(50) + " license of the software"), (6, f"{prose(1)}\n{line}\n{prose(1)}"), (7, prose(5) + mit + " " + prose(30) + gpl),
+    ]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.part, r.licence) for r in got) == [(1, 3, "MIT"), (2, 0, "GPL-3.0"), (3, 0, "MIT"), (4, 1, "GPL-3.0"), (6, 1, "MIT"), (7, 0, "GPL-3.0"), (7, 0, "MIT")]
+    assert all(r.dice > 0.99 for r in got)
+
+
 def test_personal_data(spark, docs, odd):
     patterns = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
