@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tauscope.llm import byte_cnn, code_search, licences, lm_scoring, mixing, near_dups, packing, personal_data, quality_rules, sharding
+from tauscope.llm import (
+    byte_cnn, check_sql, code_search, divergence, licences, lm_scoring, mixing, near_dups, packing, personal_data, pieces, quality_rules, sharding,
+    vector_codes,
+)
 from tauscope.llm.common import table
 
 
@@ -18,6 +21,13 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def piece_file() -> str:
+    """Place of the model file of the public 32k piece vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -60,9 +70,21 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return byte_cnn.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), piece_file())
+
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compress(table(spark, folder, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_mixing, op2_near_duplicates, op3_quality_rules, op4_packing, op5_sharding, op6_licences, op7_personal_data,
-        op8_lm_scoring, op9_code_search, op10_quality_classifier)
+        op8_lm_scoring, op9_code_search, op10_quality_classifier, op11_pieces, op12_vector_codes, op13_source_divergence)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_vector_codes": check_sql.vector_codes(), "op13_source_divergence": check_sql.AUDIT}
