@@ -228,3 +228,12 @@ step("axis_dispersion", """
 SELECT axis, sum(beta_var * n_units) / sum(n_units) AS weighted_variance, avg(beta_var) AS mean_variance,
        median(beta_var) AS median_variance, count(*) AS n_bins, cast(sum(n_units) AS bigint) AS n_unit_bin_values
 FROM bin_variance GROUP BY axis""")
+
+
+SERIES = ["season_free", "centred", "anomaly", "series_lists", "acf_rows", "acf_cut", "taus", "segments", "segments_free", "psd_rows", "slope_rows"]
+
+
+def series_steps(prefix: str) -> None:
+    """The steps from daily rows to memory times and slopes once more, for the rows of step ``{prefix}_daily``."""
+    for name in SERIES:
+        step(f"{prefix}_{name}", re.sub(rf"\b(daily|{'|'.join(SERIES)})\b", rf"{prefix}_\1", STEPS[name]))

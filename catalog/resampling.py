@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, MIN_UNITS, anomaly, curve, daily, normal_sql, query, r, rounded, rs, step, uniform_sql, unit_bins
-from catalog.dispersion import chain, gauge_tau, reduction_sql, scores
-from tauscope.operators import binning, nulls, prep, resampling, spectral
-from tauscope.plans import archive, ensemble
+from catalog.base import KEYS, MIN_UNITS, anomaly, curve, daily, normal_sql, query, r, rounded, rs, series_steps, step, uniform_sql, unit_bins
+from catalog.dispersion import chain, gauge_tau, reduction_sql, scores, tau_with_attributes
+from tauscope.operators import nulls, prep, resampling, spectral
+from tauscope.plans import ensemble
 from tauscope.sources import adapters
 
 SEED = 20260531
+step("tau_attributes", "SELECT * FROM gauge_tau JOIN attributes USING (gauge_id)")
 DRAWS = 20
 
 step("boot_order", f"SELECT gauge_id, row_number() OVER (ORDER BY {uniform_sql(str(SEED), chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS slot FROM (SELECT DISTINCT gauge_id FROM unit_bins)")
@@ -103,9 +104,82 @@ def _(spark, d):
     return rounded(resampling.random_tau_null(curve(spark, d), "gauge_id", 10, SEED + 1, 3, 12, ["archive"]))
 
 
-@query("boot_statistic")
+STAT_DRAWS = 5000
+step("stat_slots", f"SELECT gauge_id, 1e0 - de_msr / raw_msr AS v, row_number() OVER (ORDER BY {uniform_sql(str(SEED), chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS slot FROM gauge_scores")
+step("stat_draws", f"""SELECT draw, avg(v) AS mean, median(v) AS med, avg(CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END) AS positive FROM (SELECT draw, cast(floor({uniform_sql(str(SEED), 'draw', 'slot')} * n) AS bigint) + 1 AS pick
+FROM stat_slots, range(0, {STAT_DRAWS}) t(draw), (SELECT count(*) AS n FROM stat_slots)) p JOIN stat_slots s ON s.slot = p.pick GROUP BY draw""")
+ends_sql = ", ".join(r(f"quantile_cont({c}, {q})", f"{n}_{e}") for c, n in (("mean", "mean"), ("med", "median"), ("positive", "positive")) for e, q in (("low", "25e-3"), ("high", "975e-3")))
+
+
+@query("boot_statistic", f"""SELECT * FROM (SELECT count(*) AS n, {r('avg(v)', 'mean')}, {r('avg(CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END)', 'positive')}, {r('median(v)', 'median')} FROM stat_slots),
+(SELECT {ends_sql} FROM stat_draws)""")
 def _(spark, d):
-    return rounded(resampling.boot_statistic(scores(spark, d), [], "gauge_id", "gauge_reduction", 200, SEED))
+    return rounded(resampling.boot_statistic(scores(spark, d), [], "gauge_id", "gauge_reduction", STAT_DRAWS, SEED))
+
+
+RHO_DRAWS = 2000
+step("rho_slots", f"SELECT archive, gauge_id, tau AS x, b AS y, row_number() OVER (PARTITION BY archive ORDER BY {uniform_sql(str(SEED), chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS slot, count(*) OVER (PARTITION BY archive) AS n FROM (SELECT archive, gauge_id, any_value(tau) AS tau, avg(beta) AS b FROM curve GROUP BY ALL) QUALIFY n >= 8")
+step("rho_picks", f"SELECT s.archive, draw, s.x, s.y FROM (SELECT archive, draw, cast(floor({uniform_sql(str(SEED), 'draw', 'slot')} * n) AS bigint) + 1 AS pick FROM rho_slots, range(0, {RHO_DRAWS}) t(draw)) p JOIN rho_slots s ON s.archive = p.archive AND s.slot = p.pick")
+mean_rank = lambda x, by: f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2e0)"
+step("rho_draws", f"SELECT archive, draw, corr(a, b) AS rho FROM (SELECT archive, draw, {mean_rank('x', 'archive, draw')} AS a, {mean_rank('y', 'archive, draw')} AS b FROM rho_picks) GROUP BY ALL")
+step("rho_whole", f"SELECT archive, count(*) AS n, corr(a, b) AS rho FROM (SELECT archive, {mean_rank('x', 'archive')} AS a, {mean_rank('y', 'archive')} AS b FROM rho_slots) GROUP BY ALL")
+
+
+@query("boot_rho", f"""SELECT archive, n, {r('w.rho', 'rho')}, rho_boot_median, rho_low, rho_high FROM rho_whole w JOIN (SELECT archive, {r('median(rho)', 'rho_boot_median')},
+{r('quantile_cont(rho, 25e-3)', 'rho_low')}, {r('quantile_cont(rho, 975e-3)', 'rho_high')} FROM rho_draws WHERE isfinite(rho) GROUP BY archive) USING (archive)""")
+def _(spark, d):
+    rows = curve(spark, d).groupBy("archive", "gauge_id").agg(F.first("tau").alias("tau"), F.avg("beta").alias("b"))
+    return rounded(resampling.boot_rho(rows, ["archive"], "gauge_id", "tau", "b", RHO_DRAWS, SEED))
+
+
+#: The eight control sets, on the attributes that the tables have.
+CONTROL_SETS = {
+    "unadjusted": [], "area": ["area"], "climate": ["aridity", "snow_fraction"], "topography": ["elevation", "slope", "area"],
+    "hydroclimate": ["aridity", "snow_fraction", "area"], "geology": ["slope"], "combined_core": ["area", "aridity", "elevation", "slope"],
+    "combined_extended": ["area", "aridity", "snow_fraction", "elevation", "slope"],
+}
+PERMUTATIONS = 2000
+
+
+def control_steps(name, controls):
+    """Partial rank correlations by orthogonal projection: controls made orthonormal one after the other, as lists in gauge order."""
+    present = " AND ".join(f"{c} IS NOT NULL" for c in ("tau", "baseflow_index", *controls))
+    centred = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2e0 - (count(*) OVER () + 1) / 2e0"
+    ranks = ", ".join(f"{centred(c)} AS v{i}" for i, c in enumerate(controls, 1))
+    step(f"pp_{name}", f"SELECT gauge_id, {centred('tau')} AS vx, {centred('baseflow_index')} AS vy{', ' + ranks if ranks else ''} FROM tau_attributes WHERE {present}")
+    lists = "".join(f", list(v{i} ORDER BY gauge_id) AS c{i}" for i in range(1, len(controls) + 1))
+    last = f"pp_{name}_0"
+    step(last, f"SELECT count(*) AS n, list(vx ORDER BY gauge_id) AS x, list(vy ORDER BY gauge_id) AS y{lists} FROM pp_{name}")
+    off = lambda v, k: f"list_transform(range(1, n + 1), lambda k: {v}[k]" + "".join(f" - d{i} * q{i}[k]" for i in range(1, k)) + ")"
+    dots = lambda v, k: "".join(f", list_dot_product({v}, q{i}) AS d{i}" for i in range(1, k))
+    for j in range(1, len(controls) + 1):
+        gone = f" EXCLUDE ({', '.join(f'd{i}' for i in range(1, j))})" if j > 1 else ""
+        step(f"pp_{name}_{j}", f"SELECT * EXCLUDE (u), list_transform(u, lambda v: v / sqrt(list_dot_product(u, u))) AS q{j} FROM (SELECT *{gone}, {off(f'c{j}', j)} AS u FROM (SELECT *{dots(f'c{j}', j)} FROM {last}))")
+        last = f"pp_{name}_{j}"
+    k = len(controls) + 1
+    step(f"pp_{name}_r", f"SELECT *, {off('x', k)} AS rx FROM (SELECT *{dots('x', k)} FROM {last})")
+    rest = "".join(f" - list_dot_product(q{i}, y) ** 2" for i in range(1, k))
+    rho = lambda y: f"list_dot_product(rx, {y}) / sqrt(list_dot_product(rx, rx) * (list_dot_product({y}, {y}){rest.replace(', y)', f', {y})')}))"
+    order, draw = uniform_sql(str(SEED), "'order'", "gauge_id"), uniform_sql(str(SEED), "draw", "gauge_id")
+    step(f"pp_{name}_p", f"""SELECT draw, list(s.vy ORDER BY t.gauge_id) AS yp FROM (SELECT draw, gauge_id, row_number() OVER (PARTITION BY draw ORDER BY {draw}, gauge_id) AS n FROM pp_{name}, range(0, {PERMUTATIONS}) t(draw)) t
+JOIN (SELECT vy, row_number() OVER (ORDER BY {order}, gauge_id) AS n FROM pp_{name}) s USING (n) GROUP BY draw""")
+    return rho("y"), f"""SELECT '{name}' AS controls, n, o AS partial_rho, count(*) AS n_perm, (count(*) FILTER (abs(p) >= abs(o) - 1e-12) + 1) / (count(*) + 1e0) AS p_value
+FROM (SELECT n, {rho('y')} AS o, {rho('yp')} AS p FROM pp_{name}_r, pp_{name}_p) GROUP BY ALL"""
+
+
+control_sql = {name: control_steps(name, cs) for name, cs in CONTROL_SETS.items()}
+step("control_perms", " UNION ALL ".join(text for _, text in control_sql.values()))
+step("control_rhos", " UNION ALL ".join(f"SELECT '{name}' AS controls, n, {rho} AS partial_rho FROM pp_{name}_r" for name, (rho, _) in control_sql.items()))
+
+
+@query("perm_partial", f"SELECT controls, n, {rs('partial_rho')}, n_perm, {rs('p_value')} FROM control_perms")
+def _(spark, d):
+    return rounded(resampling.perm_partial(tau_with_attributes(spark, d), "gauge_id", "tau", "baseflow_index", CONTROL_SETS, PERMUTATIONS, SEED))
+
+
+@query("partial_control_ladder", f"SELECT controls, n, {rs('partial_rho')} FROM control_rhos")
+def _(spark, d):
+    return rounded(resampling.control_grams(tau_with_attributes(spark, d), "gauge_id", "tau", "baseflow_index", CONTROL_SETS)[1].select("controls", "n", "partial_rho"))
 
 
 step("perm_rows", "SELECT gauge_id, ln(tau) AS x, b AS y FROM gauge_tau JOIN (SELECT gauge_id, avg(beta) AS b FROM curve GROUP BY 1) USING (gauge_id)")
@@ -120,22 +194,50 @@ def _(spark, d):
     return rounded(resampling.perm_correlation(rows, "gauge_id", "x", "y", 200, SEED))
 
 
-def segment_curves(spark, d, segments, segment):
-    """Anomaly, memory time and spectrum of every segment, then memory from the others."""
-    keys = [*KEYS, segment]
-    a = archive.gauge_anomaly(segments, keys)
-    tau = spectral.tau_integral(spectral.acf(a, keys, "i", "q", 365), keys)
-    return ensemble.crossfit(a, tau, KEYS, segment, MIN_UNITS, 12)
-
-
-@query("crossfit_half")
+RANDOM_TAUS = 100
+
+
+def crossfit_sql(prefix, rows, count, min_years):
+    """Check steps of a cross-fit over segments; ``rows`` gives archive, gauge_id, seg, day, q."""
+    step(f"{prefix}_rows", rows)
+    step(f"{prefix}_valid", f"SELECT gauge_id FROM (SELECT gauge_id, seg FROM {prefix}_rows GROUP BY ALL HAVING (date_diff('day', min(day), max(day)) + 1) / 36525e-2 >= {min_years}) GROUP BY ALL HAVING count(*) = {count}")
+    step(f"{prefix}_daily", f"SELECT archive, gauge_id || '#' || seg AS gauge_id, day, q FROM {prefix}_rows SEMI JOIN {prefix}_valid USING (gauge_id)")
+    series_steps(prefix)
+    step(f"{prefix}_tau", f"SELECT gauge_id AS unit, split_part(gauge_id, '#', 1) AS gauge, split_part(gauge_id, '#', 2) AS fold, tau FROM {prefix}_taus WHERE tau > 0 QUALIFY count(*) OVER (PARTITION BY split_part(gauge_id, '#', 1)) = {count}")
+    step(f"{prefix}_other", f"SELECT a.unit, a.fold, a.tau, median(b.tau) AS other FROM {prefix}_tau a JOIN {prefix}_tau b ON a.gauge = b.gauge AND a.unit <> b.unit GROUP BY ALL")
+    step(f"{prefix}_fits", f"SELECT unnest(['all', fold]) AS analysis_group, fold, unit AS gauge_id, frequency, frequency * tau AS same_de, frequency * other AS other_de, beta FROM {prefix}_slope_rows s JOIN {prefix}_other o ON s.gauge_id = o.unit")
+    step(f"{prefix}_own", f"SELECT *, same_de AS de FROM {prefix}_fits")
+    step(f"{prefix}_cross", f"SELECT *, other_de AS de FROM {prefix}_fits")
+    step(f"{prefix}_used", f"SELECT DISTINCT o.unit, o.fold, o.other FROM {prefix}_other o JOIN {prefix}_fits f ON o.unit = f.gauge_id")
+    slot = lambda u, by: f"row_number() OVER (PARTITION BY {by} ORDER BY {u}, unit) AS n"
+    step(f"{prefix}_deal", f"""SELECT t.draw, t.unit, s.other FROM (SELECT draw, unit, fold, {slot(uniform_sql(str(SEED), 'draw', 'unit'), 'fold, draw')} FROM {prefix}_used, range(0, {RANDOM_TAUS}) v(draw)) t
+JOIN (SELECT other, fold, {slot(uniform_sql(str(SEED), chr(39) + 'order' + chr(39), 'unit'), 'fold')} FROM {prefix}_used) s USING (fold, n)""")
+    step(f"{prefix}_random", f"SELECT analysis_group, draw, gauge_id, frequency, frequency * r.other AS de, beta FROM {prefix}_fits f JOIN {prefix}_deal r ON r.unit = f.gauge_id")
+    chain(f"{prefix}_a", f"{prefix}_own", "analysis_group")
+    chain(f"{prefix}_b", f"{prefix}_cross", "analysis_group")
+    chain(f"{prefix}_c", f"{prefix}_random", "analysis_group, draw")
+    kinds = [("a", "frequency", "raw_frequency"), ("a", "de", "same_segment_tau"), ("b", "de", "crossfit_tau")]
+    values = lambda k, axis: f"(SELECT analysis_group, cast(sum(n_units) AS bigint) AS n_unit_bin_values FROM {prefix}_{k}_bins WHERE axis = '{axis}' AND n_units >= {MIN_UNITS} AND beta_var IS NOT NULL GROUP BY ALL)"
+    step(f"{prefix}_methods", " UNION ALL ".join(f"SELECT analysis_group, '{name}' AS method, weighted_variance, n_bins, n_unit_bin_values FROM {prefix}_{k}_disp JOIN {values(k, axis)} USING (analysis_group) WHERE axis = '{axis}'" for k, axis, name in kinds))
+    step(f"{prefix}_raw", f"SELECT analysis_group, weighted_variance AS raw, n_units FROM {prefix}_methods JOIN (SELECT analysis_group, count(DISTINCT gauge_id) AS n_units FROM {prefix}_fits GROUP BY ALL) USING (analysis_group) WHERE method = 'raw_frequency'")
+    step(f"{prefix}_gain", f"SELECT analysis_group, draw, 1e0 - weighted_variance / raw AS gain FROM {prefix}_c_disp JOIN {prefix}_raw USING (analysis_group) WHERE axis = 'de'")
+    return f"""SELECT analysis_group, method, {rs('weighted_variance')}, n_units, n_bins, n_unit_bin_values, {r('1e0 - weighted_variance / raw', 'reduction')}, NULL::DOUBLE AS random_p05, NULL::DOUBLE AS random_p95, NULL::DOUBLE AS empirical_p
+FROM {prefix}_methods JOIN {prefix}_raw USING (analysis_group) UNION ALL
+SELECT analysis_group, 'random_tau', NULL, any_value(n_units), NULL, NULL, {r('median(gain)', 'reduction')}, {r('quantile_cont(gain, 5e-2)', 'random_p05')}, {r('quantile_cont(gain, 95e-2)', 'random_p95')},
+{r('(count(*) FILTER (gain >= 1e0 - weighted_variance / raw) + 1) / (count(*) + 1e0)', 'empirical_p')} FROM {prefix}_gain JOIN {prefix}_raw USING (analysis_group) JOIN {prefix}_methods USING (analysis_group) WHERE method = 'crossfit_tau' GROUP BY analysis_group"""
+
+
+SPAN = "SELECT *, epoch(cast(day AS timestamp)) AS t, epoch(cast(min(day) OVER w AS timestamp)) AS lo, epoch(cast(max(day) OVER w AS timestamp)) AS hi FROM daily WINDOW w AS (PARTITION BY gauge_id)"
+
+
+@query("crossfit_half", crossfit_sql("half", f"SELECT archive, gauge_id, CASE WHEN t * 2 <= lo + hi THEN 'first' ELSE 'second' END AS seg, day, q FROM ({SPAN})", 2, 3.0))
 def _(spark, d):
-    return rounded(segment_curves(spark, d, prep.split_half(daily(spark, d), KEYS, "day"), "segment"))
+    return rounded(ensemble.crossfit(prep.split_half(daily(spark, d), KEYS, "day"), KEYS, "segment", 2, RANDOM_TAUS, SEED, MIN_UNITS, 3.0))
 
 
-@query("crossfit_blocks")
+@query("crossfit_blocks", crossfit_sql("quarter", f"SELECT archive, gauge_id, cast(least(floor((t - lo) / ((hi - lo) / 4e0)), 3) AS int) AS seg, day, q FROM ({SPAN})", 4, 1.5))
 def _(spark, d):
-    return rounded(segment_curves(spark, d, prep.split_blocks(daily(spark, d), KEYS, "day", 4), "block"))
+    return rounded(ensemble.crossfit(prep.split_blocks(daily(spark, d), KEYS, "day", 4), KEYS, "block", 4, RANDOM_TAUS, SEED, MIN_UNITS, 1.5))
 
 
 step("fold_rows", f"SELECT *, cast(floor({uniform_sql(str(SEED), 'gauge_id')} * 5e0) AS int) AS fold FROM unit_bins")

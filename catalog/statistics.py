@@ -12,7 +12,6 @@ from tauscope.operators import spatial, spectral, stats
 from tauscope.sources import adapters
 
 ATTRIBUTES = ["area", "aridity", "baseflow_index", "snow_fraction", "elevation", "slope"]
-step("tau_attributes", "SELECT * FROM gauge_tau JOIN attributes USING (gauge_id)")
 names_sql = ", ".join(f"'{a}'" for a in ATTRIBUTES)
 step("attribute_long", f"SELECT tau, unnest([{names_sql}]) AS attribute, unnest([{', '.join(ATTRIBUTES)}]) AS v FROM tau_attributes")
 
@@ -65,23 +64,25 @@ def _(spark, d):
     return rounded(stats.partial_spearman(tau_with_attributes(spark, d), "tau", "baseflow_index", ["area"]))
 
 
-LADDER = {"none": [], "area": ["area"], "climate": ["aridity", "snow_fraction"], "topography": ["elevation", "slope"]}
-
-
-@query("partial_control_ladder")
-def _(spark, d):
-    return rounded(stats.control_ladder(tau_with_attributes(spark, d), "tau", "baseflow_index", LADDER))
-
-
 @query("partial_spearman_rank")
 def _(spark, d):
     return rounded(stats.partial_spearman(tau_with_attributes(spark, d), "tau", "baseflow_index", ["area", "aridity"], True))
 
 
-@query("logit_per_sd")
+LOGIT = ["aridity", "baseflow_index", "snow_fraction"]
+step("logit_rows", f"SELECT predictor, n, (v - m) / s AS z, y FROM (SELECT predictor, v, CASE WHEN tau > 51e-2 THEN 1e0 ELSE 0e0 END AS y, avg(v) OVER w AS m, stddev_pop(v) OVER w AS s, count(*) OVER w AS n FROM (SELECT tau, unnest({LOGIT}) AS predictor, unnest([{', '.join(LOGIT)}]) AS v FROM tau_attributes) WHERE v IS NOT NULL WINDOW w AS (PARTITION BY predictor))")
+step("logit_0", "SELECT predictor, 0e0 AS b0, 0e0 AS b1, 0e0 AS se FROM logit_rows GROUP BY predictor")
+for k in range(12):  # Newton's steps, one after the other
+    step(f"logit_{k + 1}", f"""SELECT predictor, b0 + (h11 * g0 - h01 * g1) / det AS b0, b1 + (h00 * g1 - h01 * g0) / det AS b1, sqrt(h00 / det) AS se FROM (SELECT *, h00 * h11 - h01 * h01 AS det FROM (
+SELECT predictor, any_value(b0) AS b0, any_value(b1) AS b1, sum(y - mu) AS g0, sum((y - mu) * z) AS g1, sum(mu * (1 - mu)) AS h00, sum(mu * (1 - mu) * z) AS h01, sum(mu * (1 - mu) * z * z) AS h11
+FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * z))) AS mu FROM logit_rows JOIN logit_{k} USING (predictor)) GROUP BY predictor))""")
+
+
+@query("logit_per_sd", f"""SELECT predictor, cast(n AS int) AS n, {r('b1', 'coefficient', 5)}, {r('se', 'std_error', 5)}, {r('exp(b1)', 'odds_ratio', 5)}, {r('exp(b1 - 1959963984540054e-15 * se)', 'or_low', 5)}, {r('exp(b1 + 1959963984540054e-15 * se)', 'or_high', 5)}
+FROM logit_12 JOIN (SELECT DISTINCT predictor, n FROM logit_rows) USING (predictor)""")
 def _(spark, d):
     t = tau_with_attributes(spark, d).withColumn("slow", F.when(F.col("tau") > 0.51, 1.0).otherwise(0.0))
-    return rounded(stats.logit_per_sd(t, ["aridity", "baseflow_index", "snow_fraction"], "slow"), 4)
+    return rounded(stats.logit_per_sd(t, LOGIT, "slow").drop("p_value", "q_value"), 5)
 
 
 step("wx_rows", "SELECT l_returnflag AS g, l_quantity - 255e-1 + l_linenumber / 10e0 AS delta FROM lineitem")
@@ -94,10 +95,14 @@ def _(spark, d):
     return rounded(stats.wilcoxon(rows, ["g"], "delta").select("g", "n", "w_plus", "w_minus"), 1)
 
 
-@query("binomial_less")
+step("binomial_rows", "SELECT s_nationkey, count(*) AS n, count(*) FILTER (s_acctbal > 5500) AS k FROM supplier GROUP BY ALL")
+
+
+@query("binomial_less", f"""SELECT s_nationkey, n, k, {r('least(1e0, sum(exp(lgamma(n + 1e0) - lgamma(i + 1e0) - lgamma(n - i + 1e0) + n * ln(5e-1))))', 'p_less', 8)}
+FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM binomial_rows) GROUP BY s_nationkey, n, k""")
 def _(spark, d):
     rows = adapters.table(spark, d, "supplier")
-    return rounded(stats.binomial_less(rows, ["s_nationkey"], F.col("s_acctbal") > 5500))
+    return rounded(stats.binomial_less(rows, ["s_nationkey"], F.col("s_acctbal") > 5500), 8)
 
 
 step("kendall_rows", "SELECT l_suppkey AS unit, l_linenumber AS model, avg(l_quantity) AS score, avg(l_discount) AS distance FROM lineitem GROUP BY ALL")
@@ -170,6 +175,7 @@ def _(spark, d):
 # ---- joins in space ---------------------------------------------------------------
 
 step("customer_points", "SELECT c_custkey AS well, ((c_custkey * 37) % 1000) / 2e0 AS x, ((c_custkey * 91) % 1000) / 2e0 AS y FROM customer")
+step("scattered_points", "SELECT c_custkey AS well, c_acctbal AS level, CASE WHEN c_custkey % 97 <> 0 THEN ((c_custkey * 37) % 3000) / 2e0 END AS x, ((c_custkey * 91) % 3000) / 2e0 AS y FROM customer")
 step("supplier_points", "SELECT s_suppkey AS gauge, ((s_suppkey * 53) % 500) / 1e0 AS x, ((s_suppkey * 17) % 500) / 1e0 AS y FROM supplier")
 
 
@@ -183,10 +189,36 @@ def gauge_points(spark, d):
     return adapters.table(spark, d, "supplier").select(s.alias("gauge"), ((s * 53) % 500 / F.lit(1.0)).alias("x"), ((s * 17) % 500 / F.lit(1.0)).alias("y"))
 
 
-@query("nearest_join", f"""SELECT w.well, n.gauge, {r('n.dist', 'distance')} FROM customer_points w LEFT JOIN (SELECT p.well, arg_min(s.gauge, sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) * 1e6 + s.gauge * 1e-9) AS gauge,
-min(sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2)) AS dist FROM customer_points p JOIN supplier_points s ON abs(p.x - s.x) <= 30 AND abs(p.y - s.y) <= 30 AND sqrt((p.x - s.x) ** 2 + (p.y - s.y) ** 2) <= 30 GROUP BY p.well) n ON n.well = w.well""")
+def scattered(spark, d):
+    """Wells over an area that reaches far beyond the gauges; some have no easting."""
+    c = F.col("c_custkey")
+    x = F.when(c % 97 != 0, (c * 37) % 3000 / F.lit(2.0))
+    return adapters.table(spark, d, "customer").select(c.alias("well"), F.col("c_acctbal").alias("level"), x.alias("x"), ((c * 91) % 3000 / F.lit(2.0)).alias("y"))
+
+
+step("nearest_rows", """SELECT w.well, w.level, s.gauge, s.dist FROM scattered_points w LEFT JOIN (SELECT * FROM (SELECT p.well, g.gauge, sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2) AS dist,
+row_number() OVER (PARTITION BY p.well ORDER BY sqrt((p.x - g.x) ** 2 + (p.y - g.y) ** 2), g.gauge) AS k FROM scattered_points p, supplier_points g WHERE p.x IS NOT NULL) WHERE k = 1) s USING (well)""")
+
+
+def nearest(spark, d):
+    return spatial.nearest_join(scattered(spark, d), "well", gauge_points(spark, d), "gauge", 15.0)
+
+
+@query("nearest_join", f"SELECT well, gauge, {r('dist', 'distance')} FROM nearest_rows")
+def _(spark, d):
+    return rounded(nearest(spark, d))
+
+
+THRESHOLDS = [15, 25, 40, 60, 80, 120]
+step("nearest_taus", f"SELECT unnest({THRESHOLDS}) AS threshold, dist, level, tau FROM nearest_rows JOIN gauge_tau ON gauge_id = lpad(cast(gauge AS varchar), 8, '0') WHERE level > 0")
+step("nearest_rho", f"SELECT threshold, count(*) AS n, corr(a, b) AS rho FROM (SELECT threshold, {rank_sql('level', 'threshold')} AS a, {rank_sql('tau', 'threshold')} AS b FROM nearest_taus WHERE dist <= threshold) GROUP BY threshold")
+
+
+@query("nearest_thresholds", f"SELECT cast(t.threshold AS double) AS threshold, coalesce(n, 0) AS n_pairs, {r('CASE WHEN n >= 8 THEN rho END', 'rho')} FROM (SELECT unnest({THRESHOLDS}) AS threshold) t LEFT JOIN nearest_rho USING (threshold)")
 def _(spark, d):
-    return rounded(spatial.nearest_join(well_points(spark, d), "well", gauge_points(spark, d), "gauge", 30.0))
+    taus = gauge_tau(spark, d).select(F.col("gauge_id").cast("long").alias("gauge"), "tau")
+    joined = nearest(spark, d).join(scattered(spark, d).select("well", "level"), "well").join(taus, "gauge")
+    return rounded(spatial.nearest_thresholds(joined, THRESHOLDS, "level", "tau").drop("p_value"))
 
 
 def squares(spark, d):

@@ -110,6 +110,18 @@ def cumulative_counts(
     )
 
 
+def suffix_min(df: DataFrame, by: Sequence[str], order: str, value: str, bucket: Column, name: str) -> DataFrame:
+    """Smallest ``value`` at or after each row along ``order`` inside ``by``; ``bucket`` must not decrease along ``order``.
+
+    The window runs inside a bucket; the minima of later buckets come from a table of one row per bucket.
+    """
+    marked = df.withColumn("_bucket", bucket)
+    after = W.partitionBy(*_key(by)).orderBy("_bucket").rowsBetween(1, W.unboundedFollowing)
+    later = marked.groupBy(*by, "_bucket").agg(F.min(value).alias("_least")).select(*by, "_bucket", F.min("_least").over(after).alias("_later"))
+    inside = F.min(value).over(W.partitionBy(*by, "_bucket").orderBy(order).rowsBetween(0, W.unboundedFollowing))
+    return marked.withColumn("_inside", inside).join(later, [*by, "_bucket"]).withColumn(name, F.least("_inside", "_later")).drop("_bucket", "_inside", "_later")
+
+
 def quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], buckets: int | None = None
 ) -> DataFrame:

@@ -6,16 +6,20 @@ do not depend on the draw.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tauscope.functions.ranks import hash_order, keep, quantiles, same
+from tauscope.functions.ranks import cumulative_counts, hash_order, keep, quantiles, rank_columns, same
 from tauscope.functions.rng import index_draw, uniform
 from tauscope.functions.tables import long_form, pick
 from tauscope.operators.binning import archive_reduction, bin_variances, dispersion, unit_bin_median, unpivot_axes
+from tauscope.operators.stats import spearman
 
 
 def each_draw(df: DataFrame, n_draws: int) -> DataFrame:
@@ -152,19 +156,148 @@ def geo_grid_labels(df: DataFrame, unit: str, lat: str, lon: str, n_lat: int = 3
     return df.select(unit).join(cells, unit, "left").fillna("missing_geo", ["cluster_id"])
 
 
+def common_buckets(rows: DataFrame, groups: Sequence[str], value: str, name: str, size: int = 4096) -> DataFrame:
+    """Attach ``name``: ordered buckets of about ``size`` rows by value; equal values share one.
+
+    All draws of a bootstrap hold the same values, so the order is found once, for all of them.
+    """
+    cum = cumulative_counts(rows, groups, value).select(*groups, value, F.floor((F.col("_cum") - F.col("_n")) / F.lit(size)).alias(name))
+    return rows.join(cum, [*groups, value])
+
+
+def weighted_ranks(df: DataFrame, by: Sequence[str], value: str, bucket: str, weight: str, name: str) -> DataFrame:
+    """Attach ``name``: rank of ``value`` inside ``by`` as if each row stood there ``weight`` times; ties share their mean rank.
+
+    ``{name}_first`` and ``{name}_last`` are the places that the row's equal values take up. Windows run inside a bucket; sums of the buckets
+    before it come from a table of one row per bucket.
+    """
+    inside = W.partitionBy(*by, bucket).orderBy(value)
+    upto = F.sum(weight).over(inside.rangeBetween(W.unboundedPreceding, W.currentRow))
+    tie = F.sum(weight).over(inside.rangeBetween(W.currentRow, W.currentRow))
+    sums = df.groupBy(*by, bucket).agg(F.sum(weight).alias("_size"))
+    before = W.partitionBy(*by).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*by, bucket, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    last = F.col("_before") + F.col("_upto")
+    out = df.withColumn("_upto", upto).withColumn("_tie", tie).join(sums, [*by, bucket])
+    out = out.withColumn(f"{name}_last", last).withColumn(f"{name}_first", last - F.col("_tie") + 1).withColumn(name, last - (F.col("_tie") - 1) / F.lit(2.0))
+    return out.drop("_upto", "_tie", "_before")
+
+
+def interval(draws: DataFrame, groups: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Percentile interval (2.5 and 97.5) of several columns of a table of draws."""
+    long = long_form(draws, groups, names, "_statistic", "_value")
+    found = quantiles(long, [*groups, "_statistic"], "_value", {"low": 0.025, "high": 0.975})
+    ends = [pick(F.col("_statistic") == n, q).alias(f"{n}_{q}") for n in names for q in ("low", "high")]
+    return found.groupBy(*groups).agg(*ends) if groups else found.agg(*ends)
+
+
 def boot_statistic(df: DataFrame, groups: Sequence[str], unit: str, value: str, n_boot: int, seed: int) -> DataFrame:
-    """Percentile interval of the mean and positive share of a value over resampled units."""
+    """Mean, median and positive share of a value with percentile intervals over resampled units.
+
+    The value may be a paired difference: its median is then the paired median. Draws are weights on units; the median of a
+    draw is read off its weighted order statistics, so no draw is sorted anew.
+    """
     rows = keep(df.where(F.col(value).isNotNull()).select(*groups, unit, value))  # read by the weights and by the draws
     weights = bootstrap_weights(rows, groups, unit, n_boot, seed)
-    draws = rows.join(weights, [*groups, unit]).groupBy(*groups, "draw").agg(
-        (F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("mean"),
+    by = [*groups, "draw"]
+    ranked = weighted_ranks(common_buckets(rows, groups, value, "_bucket").join(weights, [*groups, unit]), by, value, "_bucket", "weight", "_r")
+    sizes = ranked.groupBy(*by).agg(
+        F.sum("weight").alias("_n"), (F.sum(F.col("weight") * F.col(value)) / F.sum("weight")).alias("mean"),
         (F.sum(F.when(F.col(value) > 0, F.col("weight")).otherwise(0)) / F.sum("weight")).alias("positive"),
     )
-    names = ["mean", "positive"]
-    long = long_form(draws, groups, names, "_statistic", "_value")
-    found = quantiles(long, [*groups, "_statistic"], "_value", {"low": 0.025, "high": 0.975})
-    ends = [pick(F.col("_statistic") == n, q).alias(f"{n}_{q}") for n in names for q in ("low", "high")]
-    return found.groupBy(*groups).agg(*ends)
+    at = lambda place: F.max(F.when((F.col("_r_first") <= place) & (F.col("_r_last") >= place), F.col(value)))
+    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / F.lit(2))
+    middle = ranked.join(sizes, by).groupBy(*by, "mean", "positive").agg(at(low).alias("_a"), at(high).alias("_b"))
+    draws = middle.withColumn("median", (F.col("_a") + F.col("_b")) / 2)
+    observed = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("positive"))
+    centre = quantiles(rows, groups, value, {"median": 0.5})
+    return same(same(observed, centre, groups), interval(draws, groups, ["mean", "median", "positive"]), groups)
+
+
+def boot_rho(df: DataFrame, groups: Sequence[str], unit: str, x: str, y: str, n_boot: int, seed: int, min_n: int = 8) -> DataFrame:
+    """Rank correlation with the median and percentile interval over resampled units; groups under ``min_n`` pairs drop out.
+
+    Ranks inside a draw are weighted ranks of the drawn units. Draws with a constant side have no correlation and are left out.
+    """
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, unit, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    sizes = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_pairs")).where(F.col("_pairs") >= min_n)
+    rows = keep(same(rows, sizes, groups).drop("_pairs"))
+    placed = common_buckets(common_buckets(rows, groups, "_x", "_bx"), groups, "_y", "_by")
+    by = [*groups, "draw"]
+    drawn = placed.join(bootstrap_weights(rows, groups, unit, n_boot, seed), [*groups, unit])
+    ranked = weighted_ranks(weighted_ranks(drawn, by, "_x", "_bx", "weight", "_rx"), by, "_y", "_by", "weight", "_ry")
+    w = F.col("weight")
+    sums = ranked.groupBy(*by).agg(
+        F.sum(w).alias("_n"), F.sum(w * F.col("_rx") * F.col("_ry")).alias("_xy"), F.sum(w * F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(w * F.col("_ry") * F.col("_ry")).alias("_yy"))
+    centre = F.col("_n") * F.pow((F.col("_n") + 1) / F.lit(2.0), F.lit(2.0))
+    spread = F.sqrt((F.col("_xx") - centre) * (F.col("_yy") - centre))
+    draws = sums.withColumn("rho", (F.col("_xy") - centre) / F.nullif(spread, F.lit(0.0))).where(F.col("rho").isNotNull())
+    found = quantiles(draws, groups, "rho", {"rho_boot_median": 0.5, "rho_low": 0.025, "rho_high": 0.975})
+    return same(spearman(rows, groups, "_x", "_y", min_n), found, groups)
+
+
+@F.pandas_udf(T.DoubleType())
+def partial_from_sums(gram: pd.Series, sums: pd.Series, square: pd.Series) -> pd.Series:
+    """Partial correlation of x and a permuted y: sums are its products with (x, controls), gram is theirs, flat, zeros where a set has no column."""
+    out, solved = [], {}
+    for flat, own, yy in zip(gram, sums, square):
+        size, own = len(own), np.asarray(own, dtype=float)
+        key = np.asarray(flat, dtype=float).tobytes()
+        if key not in solved:
+            g = np.frombuffer(key).reshape(size, size)
+            inverse = np.linalg.pinv(g[1:, 1:], rcond=1e-12) if size > 1 else np.zeros((0, 0))
+            solved[key] = inverse, inverse @ g[1:, 0], g[0, 0] - g[0, 1:] @ inverse @ g[1:, 0]
+        inverse, w, xx = solved[key]
+        rest = yy - own[1:] @ inverse @ own[1:]
+        whole = xx * rest
+        out.append((own[0] - w @ own[1:]) / whole**0.5 if xx > 1e-9 and rest > 1e-9 else None)
+    return pd.Series(out, dtype="float64")
+
+
+def control_grams(df: DataFrame, unit: str, x: str, y: str, sets: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
+    """Centred ranks as vectors per control set and unit, and per set the Gram matrix with the observed partial rank correlation.
+
+    A set uses the units that have all of its columns. All columns of all sets are ranked in one pass, in long form. The vector
+    is (x, every control), 0 where a set has no such column; y stands apart.
+    """
+    columns = list(dict.fromkeys(c for cs in sets.values() for c in cs))
+    every = [x, *columns, y]
+
+    def usable(cs: Sequence[str]) -> Column:
+        ok = F.lit(True)
+        for c in (x, y, *cs):
+            ok = ok & F.col(c).isNotNull()
+        return ok
+
+    member = F.array(*[F.struct(F.lit(n).alias("controls"), usable(cs).alias("_in"), F.array(*[F.lit(c) for c in (x, *cs, y)]).alias("_used")) for n, cs in sets.items()])
+    rows = df.select(unit, *every, F.inline(member)).where("_in")
+    long = long_form(rows, ["controls", unit, "_used"], every, "_column", "_value")
+    long = keep(long.where(F.array_contains("_used", F.col("_column"))).select("controls", unit, "_column", "_value"))
+    ranked = rank_columns(long, ["controls", "_column"], ["_value"], centred=True)
+    of = lambda c: F.coalesce(pick(F.col("_column") == c, "_r__value"), F.lit(0.0))
+    vectors = keep(ranked.groupBy("controls", unit).agg(F.array(*[of(c) for c in (x, *columns)]).alias("_v"), of(y).alias("_y")))
+    k = len(columns) + 1
+    v = lambda i: F.col("_v")[i]
+    gram = vectors.groupBy("controls").agg(
+        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(v(min(i, j)) * v(max(i, j))) for i in range(k) for j in range(k)]).alias("_gram"),
+        F.array(*[F.sum(v(i) * F.col("_y")) for i in range(k)]).alias("_own"), F.sum(F.col("_y") * F.col("_y")).alias("_square"))
+    return vectors, keep(gram.withColumn("partial_rho", partial_from_sums("_gram", "_own", "_square")))
+
+
+def perm_partial(df: DataFrame, unit: str, x: str, y: str, sets: Mapping[str, Sequence[str]], n_draws: int, seed: int) -> DataFrame:
+    """Partial rank correlation of x and y under several control sets with two-sided permutation p, (k + 1) / (n + 1).
+
+    Ranks are taken once: permuting y permutes its ranks. The products of a draw's permuted y with x and the controls are one
+    aggregation; a partial correlation follows from them and the set's Gram matrix, so no draw is ranked or regressed again.
+    """
+    vectors, gram = control_grams(df, unit, x, y, sets)
+    k = len(set().union(*sets.values())) + 1
+    moved = permuted(vectors.select("controls", unit, "_y"), ["controls"], unit, "_y", n_draws, seed, "_p").join(vectors.select("controls", unit, "_v"), ["controls", unit])
+    sums = moved.groupBy("controls", "draw").agg(F.array(*[F.sum(F.col("_v")[i] * F.col("_p")) for i in range(k)]).alias("_sums"))
+    draws = sums.join(gram, "controls").withColumn("_r", partial_from_sums("_gram", "_sums", "_square"))
+    hit = F.sum(F.when(F.abs("_r") >= F.abs("partial_rho") - 1e-12, 1).otherwise(0))
+    return draws.where(F.col("_r").isNotNull()).groupBy("controls", "n", "partial_rho").agg(
+        F.count(F.lit(1)).alias("n_perm"), ((hit + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"))
 
 
 def perm_correlation(df: DataFrame, unit: str, x: str, y: str, n_draws: int, seed: int) -> DataFrame:
@@ -185,18 +318,16 @@ def perm_correlation(df: DataFrame, unit: str, x: str, y: str, n_draws: int, see
 
 
 def crossfit_tau(segment_tau: DataFrame, keys: Sequence[str], segment: str) -> DataFrame:
-    """For every segment the median memory time of the gauge's other segments.
+    """For every segment the median memory time of the gauge's other segments; with two of them this is the opposite half.
 
-    A gauge has a handful of segments; with two of them this is the opposite half.
+    A gauge has a handful of segments: they become one sorted list, from which each segment leaves out itself.
     """
-    other = segment_tau.select(*keys, F.col(segment).alias("_other"), F.col("tau").alias("_tau"))
-    return (
-        segment_tau.select(*keys, segment)
-        .join(other, list(keys))
-        .where(F.col(segment) != F.col("_other"))
-        .groupBy(*keys, segment)
-        .agg(F.median("_tau").alias("tau"))
-    )
+    listed = segment_tau.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("tau").alias("t"), F.col(segment).alias("s")))).alias("_all"))
+    one = listed.select(*keys, "_all", F.explode("_all").alias("_own")).select(
+        *keys, F.col("_own.s").alias(segment), F.transform(F.filter("_all", lambda o: o["s"] != F.col("_own.s")), lambda o: o["t"]).alias("_t"))
+    size = F.size("_t")
+    low, high = F.floor((size - 1) / 2).cast("int"), F.floor(size / 2).cast("int")
+    return one.where(size > 0).select(*keys, segment, ((F.get("_t", low) + F.get("_t", high)) / 2).alias("tau"))
 
 
 def kfold_distance(binned: DataFrame, groups: Sequence[str], unit: str, folds: int, seed: int, min_train: int) -> DataFrame:

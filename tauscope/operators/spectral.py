@@ -109,27 +109,56 @@ def tau_integral(acf_rows: DataFrame, keys: Sequence[str], dt: float = 1.0) -> D
     )
 
 
+def masked_lag_sums(max_lag: int):
+    """Vectorised helper: for lags 1..max_lag and t inside each chunk, over pairs where both values are known, the pairs, sums, squares and products."""
+
+    @F.pandas_udf(DOUBLES)
+    def sums(places: pd.Series, values: pd.Series, width: pd.Series) -> pd.Series:
+        out = []
+        for at, block, size in zip(places, values, width):
+            x, known = np.zeros(size + max_lag), np.zeros(size + max_lag)
+            x[np.asarray(at, dtype=int)], known[np.asarray(at, dtype=int)] = block, 1.0
+            a, m = x[:size], known[:size]
+            pairs = [(known, m), (known, a), (x, m), (known, a * a), (x * x, m), (x, a)]  # n, x, y, xx, yy, xy
+            out.append(np.stack([np.correlate(later, own, "valid")[1:] for later, own in pairs], axis=1).ravel())
+        return pd.Series(out)
+
+    return sums
+
+
 def tau_positive_acf(
     df: DataFrame, keys: Sequence[str], index: str, value: str,
     max_lag: int = 120, min_values: int = 60, min_pairs: int = 30,
 ) -> DataFrame:
-    """1 + 2 * sum of Pearson lag correlations, stopping at the first unusable lag."""
-    known = df.where(F.col(value).isNotNull()).select(*keys, index, F.col(value).alias("_x"))
-    sizes = known.groupBy(*keys).agg(F.count("_x").alias("n")).where(F.col("n") >= min_values)
-    base = known.join(sizes, list(keys))
-    ahead = base.select(*keys, F.col(index).alias("_j"), F.col("_x").alias("_y"))
-    lagged = base.select(*keys, index, "_x", F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"))
-    pairs = lagged.withColumn("_j", F.col(index) + F.col("lag")).join(ahead, [*keys, "_j"])
-    spread = F.stddev_pop("_x") * F.stddev_pop("_y")
-    rho = pairs.groupBy(*keys, "lag").agg(
-        F.count(F.lit(1)).alias("_pairs"),
-        (F.covar_pop("_x", "_y") / F.nullif(spread, F.lit(0.0))).alias("rho"),
-    )
+    """1 + 2 * sum of Pearson lag correlations, stopping at the first unusable lag.
+
+    A series is cut into chunks of its index with ``max_lag`` places of look-ahead; a chunk gives the sums over its pairs at every
+    lag, missing values masked, and the sums of a series' chunks are added up.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(index).cast("long").alias("_i"), F.col(value).cast("double").alias("_x"))
+    sizes = known.groupBy(*keys).agg(F.count("_x").alias("n"), F.avg("_x").alias("_mean")).where(F.col("n") >= min_values)
+    width = max(max_lag, 512)
+    home = F.floor(F.col("_i") / F.lit(float(width)))
+    placed = known.join(sizes.select(*keys, "_mean"), list(keys)).select(
+        *keys, "_i", (F.col("_x") - F.col("_mean")).alias("_x"), F.explode(F.array(home, home - 1)).alias("_chunk")
+    ).withColumn("_at", F.col("_i") - F.col("_chunk") * width).where((F.col("_at") < width + max_lag) & (F.col("_chunk") >= 0))
+    chunks = placed.groupBy(*keys, "_chunk").agg(F.collect_list(F.struct("_at", "_x")).alias("_rows"))
+    flat = masked_lag_sums(max_lag)(F.col("_rows._at"), F.col("_rows._x"), F.lit(width))
+    six = F.transform(F.sequence(F.lit(0), F.lit(max_lag - 1)), lambda k: F.slice(F.col("_flat"), (k * 6 + 1).cast("int"), 6))
+    per_lag = chunks.select(*keys, flat.alias("_flat")).select(*keys, F.posexplode(six).alias("_k", "_s"))
+    names = ["_n", "_sx", "_sy", "_sxx", "_syy", "_sxy"]
+    total = per_lag.groupBy(*keys, (F.col("_k") + 1).alias("lag")).agg(*[F.sum(F.col("_s")[i]).alias(c) for i, c in enumerate(names)])
+    n = F.col("_n")
+    cross = n * F.col("_sxy") - F.col("_sx") * F.col("_sy")
+    vx, vy = n * F.col("_sxx") - F.col("_sx") * F.col("_sx"), n * F.col("_syy") - F.col("_sy") * F.col("_sy")
+    flatness = 1e-12 * n  # sums of a constant side cancel up to rounding
+    usable = (vx > flatness * F.col("_sxx")) & (vy > flatness * F.col("_syy"))
+    rho = total.where(n > 0).select(*keys, "lag", n.alias("_pairs"), F.when(usable, cross / F.sqrt(vx * vy)).alias("rho"))
     bad = (F.col("_pairs") < min_pairs) | F.col("rho").isNull() | (F.col("rho") <= 0)
     stop = F.min(F.when(bad, F.col("lag"))).over(W.partitionBy(*keys))
     used = rho.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col("lag") < F.col("_stop")))
-    total = used.groupBy(*keys).agg(F.sum("rho").alias("_sum"), F.max("lag").alias("lags_used"))
-    return sizes.join(total, list(keys), "left").select(
+    summed = used.groupBy(*keys).agg(F.sum("rho").alias("_sum"), F.max("lag").alias("lags_used"))
+    return sizes.join(summed, list(keys), "left").select(
         *keys, "n", (F.lit(1.0) + F.lit(2.0) * F.coalesce("_sum", F.lit(0.0))).alias("tau"),
         F.coalesce("lags_used", F.lit(0)).alias("lags_used"),
     )

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tauscope.functions.expressions import guarded_corr
-from tauscope.functions.pvalues import correlation_p, normal_p
-from tauscope.functions.ranks import keep, quantiles, rank_columns, same
+from tauscope.functions.pvalues import correlation_p, normal_p, regularised_beta
+from tauscope.functions.ranks import cumulative_counts, keep, quantiles, rank_columns, same, shuffle_width, suffix_min
 from tauscope.functions.tables import long_form
 from tauscope.session import materialise
 
@@ -38,16 +38,21 @@ def attribute_spearman(df: DataFrame, attributes: Sequence[str], target: str, mi
 
 
 def bh_fdr(df: DataFrame, groups: Sequence[str], p: str, tie: str, null_as_one: bool = False) -> DataFrame:
-    """Benjamini-Hochberg q per group; a group is a table of tests, one row each."""
-    family = W.partitionBy(*(groups or [F.lit(0)]))
+    """Benjamini-Hochberg q per group: the smallest p m / rank at or above each p.
+
+    Tests with one p share the rank of the last of them, so the work is on counted p values: ranks from ordered buckets,
+    then the minimum over the values at or above by buckets too. No window holds the tests of a family. ``tie`` is kept for callers
+    that name an order; q does not depend on it.
+    """
     value = F.coalesce(F.col(p), F.lit(1.0)) if null_as_one else F.col(p)
-    work = df.withColumn("_p", value)
-    rank = F.row_number().over(family.orderBy(F.col("_p").asc_nulls_last(), tie))
-    work = work.withColumn("_m", F.count("_p").over(family)).withColumn("_rank", rank)
-    raw = F.col("_p") * F.col("_m") / F.col("_rank")
-    above = family.orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, 0)
-    q = F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), F.min(raw).over(above)))
-    return work.withColumn("q_value", q).drop("_p", "_m", "_rank")
+    family = ["_family"] if groups else []
+    # a struct of keys equals another one with the same nulls
+    work = keep(df.withColumn("_p", value).withColumn("_family", F.struct(*groups) if groups else F.lit(0)))
+    counts = cumulative_counts(work, family, "_p")
+    raw = counts.withColumn("_raw", F.col("_p") * F.col("_total") / F.col("_cum"))
+    bucket = F.floor((F.col("_cum") - 1) * F.lit(float(shuffle_width(df))) / F.col("_total"))
+    least = suffix_min(raw, family, "_p", "_raw", bucket, "_q").select(*family, "_p", F.least(F.lit(1.0), F.col("_q")).alias("q_value"))
+    return work.join(least, [*family, "_p"], "left").select(*df.columns, "q_value")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
@@ -133,29 +138,10 @@ def wilcoxon(df: DataFrame, groups: Sequence[str], delta: str) -> DataFrame:
 
 
 def binomial_less(df: DataFrame, groups: Sequence[str], success: Column, chance: float = 0.5) -> DataFrame:
-    """Exact P(X <= k) for k successes of n, summed from log factorials."""
-    import math
-
+    """P(X <= k) for k successes of n: the regularised incomplete beta function at (n - k, k + 1)."""
     base = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(success, 1)).alias("k"))
-    # log factorial by Stirling's series with two correction terms beyond 1/12x, exact enough above 1e-10
-    def log_factorial(v: Column) -> Column:
-        x = v.cast("double") + F.lit(8.0)
-        series = (
-            (x - F.lit(0.5)) * F.log(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + F.lit(1.0) / (F.lit(12.0) * x)
-            - F.lit(1.0) / (F.lit(360.0) * x * x * x) + F.lit(1.0) / (F.lit(1260.0) * F.pow(x, F.lit(5.0)))
-        )
-        lead = v.cast("double")
-        shift = F.log(lead + 1)
-        for i in range(2, 8):
-            shift = shift + F.log(lead + i)
-        return series - shift
-
-    i, n = F.col("_i"), F.col("n")
-    term = F.exp(
-        log_factorial(n) - log_factorial(i) - log_factorial(n - i) + i * F.lit(math.log(chance)) + (n - i) * F.lit(math.log(1 - chance))
-    )
-    rows = base.select(*groups, "n", "k", F.explode(F.sequence(F.lit(0), F.col("k").cast("int"))).alias("_i"))
-    return rows.groupBy(*groups, "n", "k").agg(F.least(F.lit(1.0), F.sum(term)).alias("p_less"))
+    below = regularised_beta(F.greatest(F.col("n") - F.col("k"), F.lit(1)), F.col("k") + 1, F.lit(1.0 - chance))
+    return base.withColumn("p_less", F.when(F.col("k") >= F.col("n"), 1.0).otherwise(F.least(F.lit(1.0), below)))
 
 
 def kendall_ranks(df: DataFrame, unit: str, model: str, score: str, distance: str, min_models: int = 3) -> DataFrame:
@@ -178,26 +164,44 @@ def kendall_ranks(df: DataFrame, unit: str, model: str, score: str, distance: st
     return best.where(F.col("n_models") >= min_models).join(tau, unit)
 
 
-def logit_per_sd(df: DataFrame, predictors: Sequence[str], outcome: str) -> DataFrame:
-    """One-predictor logistic fits on standardised predictors by a binomial GLM."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    spark, rows = df.sparkSession, []
-    for name in predictors:
-        usable = df.where(F.col(name).isNotNull() & F.col(outcome).isNotNull())
-        moments = usable.agg(F.avg(name).alias("_m"), F.stddev_pop(name).alias("_s"))
-        scaled = usable.crossJoin(moments).select(  # moments is a single row
-            ((F.col(name) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).alias("z"), F.col(outcome).cast("double").alias("label")
-        )
-        data = VectorAssembler(inputCols=["z"], outputCol="features").transform(scaled.where(F.col("z").isNotNull()))
-        fit = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50).fit(data)
-        summary = fit.summary
-        rows.append((name, int(summary.numInstances), float(fit.coefficients[0]), float(summary.coefficientStandardErrors[0]), float(summary.pValues[0])))
-    table = spark.createDataFrame(rows, "predictor string, n int, coefficient double, std_error double, p_value double")
+def logit_per_sd(df: DataFrame, predictors: Sequence[str], outcome: str, steps: int = 25) -> DataFrame:
+    """One-predictor logistic fits on standardised predictors, all of them in the same Newton steps.
+
+    A step is one aggregation of gradient and curvature over all rows and predictors, solved in closed form (two unknowns per
+    predictor); it ends when no coefficient moves by more than 1e-10. A predictor that is constant, or whose
+    classes it separates (the curvature vanishes), has null results.
+    """
+    long = long_form(df, [outcome], predictors, "predictor", "_v").where(F.col("_v").isNotNull() & F.col(outcome).isNotNull())
+    moments = long.groupBy("predictor").agg(F.avg("_v").alias("_m"), F.stddev_pop("_v").alias("_s"), F.count(F.lit(1)).alias("n"))
+    rows = long.join(moments, "predictor").where(F.col("_s") > 0)
+    rows = keep(rows.select("predictor", "n", ((F.col("_v") - F.col("_m")) / F.col("_s")).alias("_z"), F.col(outcome).cast("double").alias("_y")))
+    fits, sums = {name: (0.0, 0.0) for name in predictors}, {}
+    for _ in range(steps):
+        at = lambda i: F.element_at(F.create_map(*[F.lit(v) for n, w in fits.items() for v in (n, w[i])]), F.col("predictor"))  # noqa: E731, B023
+        scored = rows.withColumn("_mu", 1 / (1 + F.exp(-(at(0) + at(1) * F.col("_z")))))
+        weight, gap = F.col("_mu") * (1 - F.col("_mu")), F.col("_y") - F.col("_mu")
+        found = scored.groupBy("predictor").agg(
+            F.first("n").alias("n"), F.sum(gap).alias("g0"), F.sum(gap * F.col("_z")).alias("g1"), F.sum(weight).alias("h00"),
+            F.sum(weight * F.col("_z")).alias("h01"), F.sum(weight * F.col("_z") * F.col("_z")).alias("h11"),
+        ).collect()  # one row per predictor
+        moved = 0.0
+        for r in found:
+            det = r.h00 * r.h11 - r.h01 * r.h01
+            if det <= 1e-12 * r.h00 * r.h11 or r.h00 < 1e-8 * r.n:
+                sums.pop(r.predictor, None)
+                continue
+            up = ((r.h11 * r.g0 - r.h01 * r.g1) / det, (r.h00 * r.g1 - r.h01 * r.g0) / det)
+            fits[r.predictor] = (fits[r.predictor][0] + up[0], fits[r.predictor][1] + up[1])
+            sums[r.predictor] = (int(r.n), (r.h00 / det) ** 0.5)
+            moved = max(moved, abs(up[0]), abs(up[1]))
+        if moved < 1e-10:
+            break
+    table = [(n, sums[n][0], fits[n][1], sums[n][1]) if n in sums else (n, None, None, None) for n in predictors]
+    out = df.sparkSession.createDataFrame(table, "predictor string, n int, coefficient double, std_error double")
+    out = out.withColumn("p_value", normal_p(F.col("coefficient") / F.col("std_error")))
     half = F.lit(1.959963984540054) * F.col("std_error")
-    table = table.withColumn("odds_ratio", F.exp("coefficient")).withColumn("or_low", F.exp(F.col("coefficient") - half))
-    return bh_fdr(table.withColumn("or_high", F.exp(F.col("coefficient") + half)), [], "p_value", "predictor")
+    out = out.withColumn("odds_ratio", F.exp("coefficient")).withColumn("or_low", F.exp(F.col("coefficient") - half))
+    return bh_fdr(out.withColumn("or_high", F.exp(F.col("coefficient") + half)), [], "p_value", "predictor")
 
 
 def cq_relation(samples: DataFrame, min_samples: int = 30, min_years: float = 5.0) -> DataFrame:

@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tauscope.functions.ranks import quantiles
+from tauscope.functions.ranks import keep, quantiles
 from tauscope.operators import nulls, spectral
-from tauscope.operators.binning import archive_reduction
-from tauscope.operators.resampling import crossfit_tau
-from tauscope.plans.archive import gauge_curves
+from tauscope.operators.binning import archive_reduction, bin_variances, dispersion, unit_bin_median, unpivot_axes
+from tauscope.operators.resampling import crossfit_tau, permuted
+from tauscope.plans.archive import gauge_anomaly, gauge_curves
+from tauscope.session import materialise
 
 
 def null_curves(
@@ -117,21 +118,68 @@ def null_tau_match(
     return quantiles(error, ["family"], "_error", {"q25": 0.25, "median_error": 0.5, "q75": 0.75})
 
 
+def valid_segments(segments: DataFrame, keys: Sequence[str], segment: str, count: int, min_years: float, max_missing: float, value: str = "q") -> DataFrame:
+    """Rows of the gauges all of whose ``count`` segments are long and complete enough; decided before any spectrum.
+
+    A segment's years are its span; what its records lack of the span is missing.
+    """
+    known = segments.where(F.col(value).isNotNull())
+    span = F.datediff(F.max("day"), F.min("day")) + 1
+    cover = known.groupBy(*keys, segment).agg((span / F.lit(365.25)).alias("_years"), F.greatest(F.lit(0.0), 1 - F.count(F.lit(1)) / span).alias("_missing"))
+    good = cover.where((F.col("_years") >= min_years) & (F.col("_missing") <= max_missing))
+    whole = good.groupBy(*keys).agg(F.count(F.lit(1)).alias("_valid")).where(F.col("_valid") == count)
+    return segments.join(whole.drop("_valid"), list(keys), "left_semi")
+
+
 def crossfit(
-    anomaly: DataFrame, tau: DataFrame, keys: Sequence[str], segment: str, min_units: int, n_bins: int
+    segments: DataFrame, keys: Sequence[str], segment: str, count: int, n_random: int, seed: int, min_units: int, min_years: float = 2.0,
+    max_missing: float = 0.1, n_bins: int = 24, max_lag: int = 730,
 ) -> DataFrame:
-    """Reductions with memory from the same segment and from the gauge's other segments."""
-    every = [*keys, segment]
-    usable = tau.where(F.col("tau") > 0)
-    other = crossfit_tau(usable, keys, segment)
+    """Dispersion on memory from the same segment, from the gauge's other segments, and from shuffled gauges.
+
+    Rows ``analysis_group, method, weighted_variance, n_units, n_bins, n_unit_bin_values, reduction, random_p05, random_p95, empirical_p``:
+    for all segments together and for each, methods raw_frequency, same_segment_tau, crossfit_tau and random_tau.
+    The random arm deals the cross-fit memory times of a segment to its gauges anew, ``n_random`` times: reduction is the median
+    over draws, with 5 and 95 percent and the share of draws that reach the cross-fit, (k + 1) / (n + 1).
+    A gauge counts only if all its segments are valid and have a positive memory time.
+    """
+    every, group = [*keys, segment], ["analysis_group"]
+    usable = valid_segments(segments, keys, segment, count, min_years, max_missing)
+    anomaly = keep(gauge_anomaly(usable, every))
+    tau = spectral.tau_integral(spectral.acf(anomaly, every, "i", "q", max_lag), every).where(F.col("tau") > 0).select(*every, "tau")
+    tau = keep(tau)
+    whole = tau.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == count)
+    tau = tau.join(whole.drop("_n"), list(keys), "left_semi")
+    other = crossfit_tau(tau, keys, segment).withColumnRenamed("tau", "tau_other")
     slopes = spectral.local_slope(spectral.welch_psd(anomaly, every, "i", "q"), every, 0.9)
-    both = usable.select(*every, F.col("tau").alias("_own")).join(other.withColumnRenamed("tau", "_other"), every)
-    long = slopes.join(both, every).select(
-        F.concat_ws("#", "gauge_id", F.col(segment).cast("string")).alias("gauge_id"), F.col("f_center").alias("frequency"), "beta",
-        F.inline(F.array(
-            F.struct(F.lit("same_segment").alias("fit"), F.col("_own").alias("tau")),
-            F.struct(F.lit("cross_fit").alias("fit"), F.col("_other").alias("tau")),
-        )),
-    )
-    points = long.withColumn("de", F.col("frequency") * F.col("tau"))
-    return archive_reduction(points, ["fit"], "gauge_id", min_units, n_bins=n_bins)
+    unit = F.concat_ws("#", F.col("gauge_id"), F.col(segment).cast("string"))
+    both = tau.join(other, every).withColumn("unit", unit)
+    points = slopes.join(both, every).select("unit", F.col(segment).cast("string").alias("fold"), F.col("f_center").alias("frequency"), "beta", "tau", "tau_other")
+    points = materialise(points)
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("analysis_group", F.explode(F.array(F.lit("all"), F.col("fold"))))
+
+    def measured(rows: DataFrame, groups: list[str], axes: dict[str, str]) -> DataFrame:
+        long = unpivot_axes(grouped(rows), [*group, *groups, "unit", "beta"], axes)
+        by = [*group, *groups, "axis"]
+        return dispersion(bin_variances(unit_bin_median(long, by, "unit", n_bins=n_bins), by), by, min_units)
+
+    fits = points.withColumn("de_same", F.col("frequency") * F.col("tau")).withColumn("de_other", F.col("frequency") * F.col("tau_other"))
+    fixed = keep(measured(fits, [], {"raw_frequency": "frequency", "same_segment_tau": "de_same", "crossfit_tau": "de_other"}))
+    raw = fixed.where(F.col("axis") == "raw_frequency").select(*group, F.col("weighted_variance").alias("_raw"))
+    units = grouped(points).groupBy(*group).agg(F.count_distinct("unit").alias("n_units"))
+    base = units.join(raw, group)
+    gain = F.lit(1.0) - F.col("weighted_variance") / F.nullif(F.col("_raw"), F.lit(0.0))
+    rows = fixed.join(base, group).select(*group, F.col("axis").alias("method"), "weighted_variance", "n_units", "n_bins", "n_unit_bin_values", gain.alias("reduction"))
+
+    taus = points.groupBy("unit", "fold").agg(F.first("tau_other").alias("tau_other"))
+    shuffled = permuted(taus, ["fold"], "unit", "tau_other", n_random, seed, "_tau")
+    random = points.select("unit", "fold", "frequency", "beta").join(shuffled, ["unit", "fold"]).withColumn("de_random", F.col("frequency") * F.col("_tau"))
+    draws = keep(measured(random, ["draw"], {"random_tau": "de_random"}).join(base, group).select(*group, "n_units", gain.alias("reduction")))
+    cross = rows.where(F.col("method") == "crossfit_tau").select(*group, F.col("reduction").alias("_cross"))
+    reach = draws.where(F.col("reduction").isNotNull()).join(cross, group).groupBy(*group, "n_units").agg(
+        ((F.sum(F.when(F.col("reduction") >= F.col("_cross"), 1).otherwise(0)) + 1) / (F.count(F.lit(1)) + 1)).alias("empirical_p"))
+    spread = quantiles(draws, group, "reduction", {"random_p05": 0.05, "reduction": 0.5, "random_p95": 0.95})
+    null = reach.join(spread, group).withColumn("method", F.lit("random_tau"))
+    return rows.unionByName(null, allowMissingColumns=True)
