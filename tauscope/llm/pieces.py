@@ -29,7 +29,7 @@ class Codec:
     stretches are remembered (``remember`` of them at most).
     """
 
-    def __init__(self, model_file: str, remember: int = 150_000):
+    def __init__(self, model_file: str, remember: int = 250_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -55,11 +55,11 @@ class Codec:
                 self.surface.append(piece.replace(SPACE, " ").encode())
         self.find = ahocorasick.Automaton()
         for piece in self.ids:
-            if self._merge(piece) == [piece]:  # a piece that merging never makes is no candidate
+            if len(piece) > 1 and self._merge(piece) == [piece]:  # a piece that merging never makes is no candidate
                 self.find.add_word(piece, (len(piece) - 1, piece))
         self.find.make_automaton()
-        inner = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
-        self.stretch = re.compile(".+" if inner else f"{SPACE}+[^{SPACE}]*", re.DOTALL)
+        self.inner = any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
+        self.stretch = re.compile(f"{SPACE}+[^{SPACE}]*")
         self.remember = remember
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
@@ -129,31 +129,50 @@ class Codec:
             last, at = piece, end
         return out
 
-    def _stretch_ids(self, text: str) -> list[int]:
-        found = self.known.get(text)
+    def _stretch_ids(self, rest: str) -> list[int]:
+        """Ids of a space and ``rest``, which has no spaces but at its start."""
+        found = self.known.get(rest)
         if found is not None:
             return found
-        found = self.older.get(text)
+        found = self.older.get(rest)
         if found is None:
             found = []
-            for piece in self._pieces(text):
+            for piece in self._pieces(SPACE + rest):
                 i = self.ids.get(piece)
                 if i is None:
                     found.extend(self.byte_ids[b] for b in piece.encode())
                 else:
                     found.append(i)
-        if len(text) <= 64:
+        if len(rest) <= 64:
             if len(self.known) >= self.remember:
                 self.known, self.older = {}, self.known
-            self.known[text] = found
+            self.known[rest] = found
         return found
 
+    def _stretches(self, text: str) -> Iterator[str]:
+        """The text with a space before it, cut before every run of spaces; the first space of each stretch is left out."""
+        if self.inner:
+            yield text.replace(" ", SPACE)
+        elif SPACE in text:
+            for stretch in self.stretch.finditer(SPACE + text.replace(" ", SPACE)):
+                yield stretch.group()[1:]
+        else:
+            more = 0
+            for word in text.split(" "):
+                if word:
+                    yield SPACE * more + word if more else word
+                    more = 0
+                else:
+                    more += 1
+            if more:
+                yield SPACE * (more - 1)
+
     def blocks(self, text: str, size: int = 1 << 14) -> Iterator[list[int]]:
         """Ids of a text in lists of about ``size``, cut at stretches."""
         block: list[int] = []
         if text:
-            for stretch in self.stretch.finditer(SPACE + text.replace(" ", SPACE)):
-                block += self._stretch_ids(stretch.group())
+            for rest in self._stretches(text):
+                block += self.known.get(rest) or self._stretch_ids(rest)
                 if len(block) >= size:
                     yield block
                     block = []
