@@ -18,36 +18,37 @@ SCALE = 1_000_000_000
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def term_counts(docs: DataFrame, flush: int = 200_000) -> DataFrame:
+def term_counts(docs: DataFrame, flush: int = 400_000) -> DataFrame:
     """``lang, source, term, n, df``: occurrences of a term in a group's texts, and how many of the texts have it.
 
-    A task adds up its texts and passes the sums on whenever it holds ``flush`` of them, so a hot group meets the
+    A task adds up its texts and passes the sums on when it holds ``flush`` of them (twice as many at the utmost), so a hot group meets the
     shuffle as sums of its tasks.
     """
+    one, most = 1 << 40, 1 << 22  # texts are counted in the upper bits, occurrences in the lower ones; neither overflows in so many texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            sums = list(held.values())
-            return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys], pa.binary()).cast(pa.string()),
-                pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64())], ["lang", "source", "term", "n", "df"])
-
-        held: dict[tuple[str, str, bytes], list[int]] = {}
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), own in held.items():
+                both = np.fromiter(own.values(), np.int64, len(own))
+                same = [pa.repeat(pa.scalar(v, pa.string()), len(own)) for v in (lang, source)]
+                yield pa.RecordBatch.from_arrays(
+                    [*same, pa.array(list(own), pa.binary()).cast(pa.string()), pa.array(both & (one - 1)), pa.array(both >> 40)], ["lang", "source", "term", "n", "df"])
+
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
+        new = texts = 0
         for batch in batches:
             for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text")), strict=True):
-                lang, source = lang.as_py(), source.as_py()
+                own = held.setdefault((lang.as_py(), source.as_py()), {})
                 for term, n in Counter(text.as_py().encode().translate(LETTERS).split()).items():
-                    own = held.get((lang, source, term))
-                    if own is None:
-                        held[lang, source, term] = [n, 1]
-                    else:
-                        own[0] += n
-                        own[1] += 1
-                if len(held) >= flush:
-                    yield out()
-                    held = {}
-        if held:
-            yield out()
+                    own[term] = own.get(term, 0) + n + one
+                    new += 1
+                texts += 1
+                full = new >= flush and sum(map(len, held.values())) >= flush
+                new = 0 if new >= flush else new
+                if full or texts == most:
+                    yield from out()
+                    held, texts = {}, 0
+        yield from out()
 
     named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return named.mapInArrow(run, "lang string, source string, term string, n long, df long").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
