@@ -109,8 +109,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2048, folds: int = 5)
     """A net learned from at most ``sample`` labelled rows; None without labels.
 
     Rows whose crc32(doc_id as text) is divisible by ``folds`` are held out. Of the others each
-    label gives its ``sample / 2`` rows with the smallest hash: the bound is on rows, so both the
-    join and the one task that learns have a fixed size, and only the weights (some kB) go to the driver.
+    label gives its ``sample / 2`` ids with the smallest hash, and of an id that stands in several documents one text
+    (the smallest by hash) is taken: so the one task that learns never holds more than ``sample`` texts, and only the
+    weights (some kB) go to the driver.
     """
     fold = crc(F.col("doc_id").cast("string")) % folds
     open_ = labels.where(F.col("quality").isin(0, 1) & (fold != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -119,6 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2048, folds: int = 5)
         some = open_.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
         picked = some if picked is None else picked.unionByName(some)
     rows = docs.select(F.col("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(text=frame["text"].fillna("")).sort_values(["doc_id", "text"])

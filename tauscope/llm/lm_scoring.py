@@ -6,101 +6,146 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tauscope.llm.common import stash
+from tauscope.llm.common import crc, stash
 
-#: Tokens before a byte that a model looks at. The vocabulary of both models is the 256 byte values.
-ORDER = 4
+#: Tokens that a model looks at, the predicted byte included. The vocabulary of both models is the 256 byte values.
+ORDER = 5
+#: Folds of the trusted texts: a trusted text is scored by a target model of the other fold.
+FOLDS = 2
+#: The most frequent n-grams that every worker holds (16 bytes each and 8 for every fold): a fixed amount. All others are joined.
+HOT = 1 << 18
 
 
 def codes(text: str | None) -> np.ndarray:
-    """One 32-bit number for every byte of the text: the byte with the three before it; zeros stand before the first."""
-    data = np.frombuffer(b"\0\0\0" + (text or "").encode(), np.uint8).astype(np.uint32)
-    return (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
+    """One number for every byte of the text: the byte with the ORDER - 1 before it; zeros stand before the first."""
+    data = np.frombuffer(b"\0" * (ORDER - 1) + (text or "").encode(), np.uint8).astype(np.int64)
+    n = len(data) - ORDER + 1
+    out = np.zeros(n, np.int64)
+    for i in range(ORDER):
+        out = out << 8 | data[i:i + n]
+    return out
 
 
-def gram_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``gram, target, background``: how often every four bytes stand in trusted texts (``quality`` 1) and in all texts."""
+def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, text, fold``: fold 0 for texts that are not trusted, else 1 to FOLDS by a hash of the id."""
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
+    fold = F.when(F.col("_id").isNotNull(), crc(F.col("doc_id").cast("string")) % FOLDS + 1).otherwise(0).cast("int")
+    return rows.select("doc_id", "text", fold.alias("fold"))
+
+
+def gram_counts(marked: DataFrame) -> DataFrame:
+    """``gram, background, t1, t2``: how often every n-gram stands in all texts, and in the trusted texts of each fold."""
+    names = ["gram", "background", *[f"t{f}" for f in range(1, FOLDS + 1)]]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
-                flags = batch.column("t").to_pylist()
+                folds = batch.column("fold").to_pylist()
                 every = [codes(t) for t in batch.column("text").to_pylist()]
                 grams, background = np.unique(np.concatenate(every), return_counts=True)
-                target = np.zeros(len(grams), np.int64)
-                if own := [c for c, t in zip(every, flags, strict=True) if t]:
-                    some, n = np.unique(np.concatenate(own), return_counts=True)
-                    target[np.searchsorted(grams, some)] = n
-                yield pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(target), pa.array(background)], ["gram", "target", "background"])
+                sums = []
+                for f in range(1, FOLDS + 1):
+                    target = np.zeros(len(grams), np.int64)
+                    if own := [c for c, g in zip(every, folds, strict=True) if g == f]:
+                        some, n = np.unique(np.concatenate(own), return_counts=True)
+                        target[np.searchsorted(grams, some)] = n
+                    sums.append(pa.array(target))
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(background), *sums], names)
 
-    rows = rows.select("text", F.col("_id").isNotNull().alias("t")).mapInArrow(count, "gram long, target long, background long")
-    return rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    rows = marked.select("text", "fold").mapInArrow(count, ", ".join(f"{n} long" for n in names))
+    return rows.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names[1:]])
 
 
 def differences(counts: DataFrame, strength: float = 5.0) -> DataFrame:
-    """``gram, diff``: loss of the last byte after the others under the target model less that under the background model.
+    """``gram, n, diff``: loss of the last byte after the others under the target models less that under the background model.
 
-    Both models are the same: P(c | abc) = (n(abcd) + s P(d | bc)) / (n(abc) + s), down to the uniform
-    distribution over the 256 bytes. Counts of shorter contexts are sums of the counted table.
+    ``diff`` is an array: with the whole target, then with the target without fold 1, without fold 2. All models are the same:
+    P(c | context) = (n(context c) + s P(c | shorter context)) / (n(context) + s), down to the uniform distribution. A background count is
+    taken times target size / corpus size, so that evidence of both sides meets the smoothing at one size: a model
+    is not sharper because its texts are more. Counts of shorter contexts are sums of the counted table.
     """
+    folds = [f"t{f}" for f in range(1, FOLDS + 1)]
+    total = F.sum(sum((F.col(f) for f in folds), F.lit(0)))
+    ratios = counts.agg(F.array(*[
+        F.when(F.sum("background") > 0, kept / F.sum("background")).otherwise(0.0) for kept in (total, *[total - F.sum(f) for f in folds])]).alias("_ratio"))
+    cases = range(FOLDS + 1)
+
+    def target(case: int) -> Column:
+        return sum((F.col(f) for i, f in enumerate(folds, 1) if i != case), F.lit(0)).cast("double")
+
+    start = counts.select("gram", "background", F.array(*[target(c) for c in cases]).alias("t"))
+
+    def add(array: str) -> Column:
+        return F.array(*[F.sum(F.col(array)[c]) for c in cases])
+
     def level(table: DataFrame, n: int) -> DataFrame:
-        """``gram, target, background, pt, pb`` for the n last bytes."""
+        """``gram, background, t, pt, pb`` for the n last bytes."""
         if n == 0:
-            return table.sparkSession.range(1).select(F.lit(0).cast("long").alias("gram"), F.lit(1 / 256).alias("pt"), F.lit(1 / 256).alias("pb"))
+            flat = F.array(*[F.lit(1 / 256) for _ in cases])
+            return table.sparkSession.range(1).select(F.lit(0).cast("long").alias("gram"), flat.alias("pt"), flat.alias("pb"))
         shorter = 1 << (8 * (n - 1))
-        lower = level(table.groupBy((F.col("gram") % shorter).alias("gram")).agg(F.sum("target").alias("target"), F.sum("background").alias("background")), n - 1)
+        lower = level(table.groupBy((F.col("gram") % shorter).alias("gram")).agg(F.sum("background").alias("background"), add("t").alias("t")), n - 1)
         lower = lower.select(F.col("gram").alias("_low"), F.col("pt").alias("_pt"), F.col("pb").alias("_pb"))
-        context = table.groupBy(F.shiftright("gram", 8).alias("_ctx")).agg(F.sum("target").alias("_t"), F.sum("background").alias("_b"))
-        out = table.withColumn("_low", F.col("gram") % shorter).withColumn("_ctx", F.shiftright("gram", 8)).join(context, "_ctx").join(lower, "_low")
-        return out.select("gram", "target", "background", ((F.col("target") + strength * F.col("_pt")) / (F.col("_t") + strength)).alias("pt"),
-                          ((F.col("background") + strength * F.col("_pb")) / (F.col("_b") + strength)).alias("pb"))
+        context = table.groupBy(F.shiftright("gram", 8).alias("_ctx")).agg(F.sum("background").alias("_b"), add("t").alias("_t"))
+        out = table.withColumn("_low", F.col("gram") % shorter).withColumn("_ctx", F.shiftright("gram", 8)).join(context, "_ctx").join(lower, "_low").crossJoin(ratios)  # a single row
+        pt = F.array(*[(F.col("t")[c] + strength * F.col("_pt")[c]) / (F.col("_t")[c] + strength) for c in cases])
+        pb = F.array(*[(F.col("background") * F.col("_ratio")[c] + strength * F.col("_pb")[c]) / (F.col("_b") * F.col("_ratio")[c] + strength) for c in cases])
+        return out.select("gram", "background", "t", pt.alias("pt"), pb.alias("pb"))
 
-    return level(counts, ORDER).select("gram", (F.log("pb") - F.log("pt")).alias("diff"))
+    whole = level(start, ORDER)
+    return whole.select("gram", F.col("background").alias("n"), F.array(*[F.log(F.col("pb")[c]) - F.log(F.col("pt")[c]) for c in cases]).alias("diff"))
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, part: int = 4_000_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, hot: int = HOT) -> DataFrame:
     """``doc_id, n_tokens, ce_diff`` of every document: mean loss per byte under the target model less that under the corpus model.
 
-    Lower means more like the trusted texts. Both models count whole texts of all documents they
-    stand for, and grow with them. The table of differences reaches the workers in parts of at most
-    ``part`` rows, whatever its size: every part is one pass over the texts that sums the n-grams it
-    has, and the passes add up. A null or empty text has no tokens and the value 0; an n-gram unknown to
-    both models adds nothing; without labels the target model is uniform. Repeated rows are scored
-    alike, once each. An empty table gives no rows.
+    Lower means more like the trusted texts. Both models count whole texts of all documents they stand for, and grow with
+    them; a trusted text is scored by a target model of the trusted texts of the other fold, so that it has not counted itself. The
+    ``hot`` most frequent n-grams, a fixed number, lie with the workers and are added up in the pass over the texts; the others
+    of a document are counted in the document, joined with the model in Spark and added to it by a row number. Where the
+    line between them lies changes no result.
+
+    A null or empty text has no tokens and the value 0; without labels all target models are uniform. Repeated rows are scored alike,
+    once each. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    model = stash(differences(stash(gram_counts(docs, labels))))
-    parts = max(1, -(-model.count() // part))
+    marked = _marked(docs, labels)
+    model = stash(differences(stash(gram_counts(marked))))
+    frame = model.orderBy(F.col("n").desc(), "gram").limit(hot).orderBy("gram").toPandas()  # at most ``hot`` rows
+    table = np.array(frame["diff"].tolist(), np.float64).reshape(-1, FOLDS + 1)
+    shared = spark.sparkContext.broadcast((frame["gram"].to_numpy(np.int64), np.ascontiguousarray(table.T)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    keyed = docs.select("doc_id", "text")
-    total = None
-    for number in range(parts):
-        frame = model.where(F.pmod(F.xxhash64("gram"), F.lit(parts)) == number).orderBy("gram").toPandas()
-        shared = spark.sparkContext.broadcast((frame["gram"].to_numpy(np.uint32), frame["diff"].to_numpy(np.float64)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            grams, diffs = shared.value
-            for batch in batches:
-                sizes, sums = [], []
-                for text in batch.column("text"):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, diffs = shared.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                sizes, sums, rest, times = [], [], [], []
+                for text, fold in zip(batch.column("text"), batch.column("fold").to_pylist(), strict=True):
                     c = codes(text.as_py())
+                    at = np.minimum(np.searchsorted(grams, c), max(len(grams) - 1, 0))
+                    known = grams[at] == c if len(grams) else np.zeros(len(c), bool)
                     sizes.append(len(c))
-                    if len(c) and len(grams):
-                        at = np.minimum(np.searchsorted(grams, c), len(grams) - 1)
-                        sums.append(float((diffs[at] * (grams[at] == c)).sum()))
-                    else:
-                        sums.append(0.0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums)], ["doc_id", "n_tokens", "_sum"])
-
-        scored = keyed.mapInArrow(run, f"doc_id {kind}, n_tokens long, _sum double")
-        total = scored if total is None else total.unionByName(scored)
-    if parts > 1:  # rows with the same id are told apart by their length; equal rows share their mean
-        total = total.groupBy("doc_id", "n_tokens").agg(F.sum("_sum").alias("_sum"), (F.count("*") / parts).cast("int").alias("_rows"))
-        total = total.withColumn("_sum", F.col("_sum") / F.col("_rows")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_rows"))))
-    return total.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, F.col("_sum") / F.col("n_tokens")).otherwise(0.0).alias("ce_diff"))
+                    sums.append(float(diffs[fold][at[known]].sum()) if len(grams) else 0.0)
+                    others, n = np.unique(c[~known], return_counts=True)
+                    rest.append(others)
+                    times.append(n)
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in rest])])
+                listed = lambda parts, ends=ends: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), pa.array(sizes, pa.int64()), pa.array(sums), listed(rest), listed(times)],
+                                                 ["doc_id", "fold", "n_tokens", "known", "rest", "times"])
+
+    schema = f"doc_id {kind}, fold int, n_tokens long, known double, rest array<long>, times array<long>"
+    rows = stash(marked.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
+    cold = rows.select("_row", "fold", F.arrays_zip("rest", "times").alias("_z")).select("_row", "fold", F.inline("_z"))
+    cold = cold.join(model.select(F.col("gram").alias("rest"), "diff"), "rest")
+    added = cold.groupBy("_row").agg(F.sum(F.get("diff", F.col("fold")) * F.col("times")).alias("_more"))
+    whole = F.col("known") + F.coalesce("_more", F.lit(0.0))
+    out = rows.drop("rest", "times").join(added, "_row", "left")
+    return out.select("doc_id", "n_tokens", F.when(F.col("n_tokens") > 0, whole / F.col("n_tokens")).otherwise(0.0).alias("ce_diff"))

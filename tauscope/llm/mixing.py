@@ -9,6 +9,8 @@ from tauscope.llm.common import WORD, digest, let, word_count
 
 #: Multipliers that step through the blocks of a shard; the first that does not divide the number of blocks is used.
 PRIMES = (7919, 104729, 1299709)
+#: Rows of a shard at most, and blocks below which a line is cut into single words.
+SHARD_ROWS, FEW = 1 << 16, 16
 #: Parts into which the documents of a source are spread while its target is looked up.
 SALTS = 64
 
@@ -67,30 +69,49 @@ def apportion(claims: DataFrame, by: list[str], key: str, claim: str, seats: Col
 
 
 def _layout(docs: DataFrame, weights: tuple[float, ...], share: float, most: float, block: int, shard_words: int, seed: int) -> DataFrame:
-    """Where every document lies on its shard's line, and by what rule blocks of the shard are taken."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_hash"))
-    sized = sized.withColumn("_h", digest(F.lit(seed), "doc_id"))
-    by_source = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    by_source = by_source.withColumn("_blocks", F.round(F.col("target") / block).cast("long"))
-    by_source = by_source.withColumn("_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long"))
+    """Where every document lies on its source's line in a shard, and by what rule blocks of the line are taken.
+
+    Equal rows (id, source and text) are one row with ``_copies``.
+    """
+    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest("text").alias("_hash"))
+    sized = sized.groupBy("doc_id", "source", "size", "_hash").agg(F.count("*").alias("_copies"))
+    sized = sized.withColumn("_h", digest(F.lit(seed), "doc_id", "_hash")).withColumn("_words", F.col("size") * F.col("_copies"))
+    by_source = targets(sized.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, most)
+    by_source = by_source.withColumn("_s", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
+    whole = sized.agg(F.greatest(F.lit(1), F.ceil(F.sum("_words") / shard_words), F.ceil(F.count("*") / SHARD_ROWS)).cast("long").alias("_shards"))
     # a hot source is spread over salts: its row of the small table is repeated, its documents are not
-    by_source = by_source.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    placed = sized.select("doc_id", "size", "_h", "_hash", F.col("source").alias("_source"), F.pmod("_h", F.lit(SALTS)).cast("int").alias("_part"))
+    by_source = by_source.crossJoin(whole).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # whole is a single row
+    placed = sized.withColumnRenamed("source", "_source").withColumn("_part", F.pmod("_h", F.lit(SALTS)).cast("int"))
     placed = placed.join(by_source, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_part") == F.col("_salt")))
-    placed = placed.withColumn("_shard", F.floor(F.col("_h") / SALTS) % F.col("_shards")).drop("_source", "_part", "_salt")
-    shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words"), F.first("_blocks").alias("_blocks"))
-    shards = apportion(shards, ["source"], "_shard", "_words", F.col("_blocks"))
-    shards = shards.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("_words") / block)).cast("long"))
-    shards = shards.select(F.col("source").alias("_source"), F.col("_shard").alias("_s"), "_n", F.least("quota", most * F.col("_n")).cast("long").alias("_quota"))
-    line = Window.partitionBy("source", "_shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("_end", F.sum("size").over(line)).withColumn("_start", F.col("_end") - F.col("size"))
-    placed = placed.join(shards, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_shard") == F.col("_s")))
+    placed = placed.withColumn("_shard", F.call_function("div", F.col("_h"), F.lit(SALTS)) % F.col("_shards")).drop("_source", "_part", "_salt", "_shards")
+    cells = placed.groupBy("_shard", "_s").agg(
+        F.sum("_words").alias("_line"), F.round(F.first("target") * F.sum("_words") / F.greatest(F.first("source_size"), F.lit(1)), 6).alias("_claim")).where("_line > 0")
+    cells = cells.withColumn("_unit", F.when(F.col("_line") < FEW * block, 1).otherwise(block).cast("long"))
+    # a shard's seats go to its sources by the highest quotients of what they claim in it; rounded claims make ties the same in every run
+    seats = F.round(F.round(F.sum("_claim").over(Window.partitionBy("_shard", "_unit")) / F.col("_unit"), 6)).cast("long")
+    cells = cells.withColumn("_all", seats)
+    cells = apportion(cells, ["_shard", "_unit"], "_s", "_claim", F.col("_all"))
+    cells = cells.withColumn("_n", F.ceil(F.col("_line") / F.col("_unit")).cast("long"))
+    cells = cells.select(F.col("_shard").alias("_in"), F.col("_s").alias("_of"), "_unit", "_n", F.least("quota", (most * F.col("_n")).cast("long")).alias("_quota"))
+    line = Window.partitionBy("_s", "_shard").orderBy("_h", "doc_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("_first", F.coalesce(F.sum("_words").over(line), F.lit(0)))
+    placed = placed.join(cells, (F.col("_shard") == F.col("_in")) & (F.col("_s") == F.col("_of")), "left")
     every, more = F.floor(F.col("_quota") / F.col("_n")), F.col("_quota") % F.col("_n")
     a, b, c = PRIMES
     stride = F.when(F.col("_n") % a != 0, a).when(F.col("_n") % b != 0, b).otherwise(c).cast("long")
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / block), F.floor((F.col("_end") - 1) / block)))
-    return placed.select("doc_id", "size", "source", "source_size", "target", "_hash", "_start", "_end", "_n", every.cast("long").alias("_every"), more.alias("_more"),
-                         stride.alias("_stride"), (digest(F.lit(seed), "source", "_shard") % F.col("_n")).alias("_turn"), blocks.alias("_blocks"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", "_hash", "_copies", "_first", "_unit", "_n", every.cast("long").alias("_every"),
+                         more.alias("_more"), stride.alias("_stride"), (digest(F.lit(seed), "_s", "_shard") % F.col("_n")).alias("_turn"))
+
+
+def _copy(placed: DataFrame, number: Column) -> DataFrame:
+    """Start, end and blocks of the copies of each row; ``number`` counts copies from 0."""
+    one = placed.withColumn("_number", number).withColumn("_start", F.col("_first") + F.col("_number") * F.col("size")).withColumn("_end", F.col("_start") + F.col("size"))
+    return one.withColumn("_blocks", F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / F.col("_unit")), F.floor((F.col("_end") - 1) / F.col("_unit")))))
+
+
+def _inside(k: Column, end: bool) -> Column:
+    """Where block k begins or ends inside the document's stretch."""
+    return F.least(F.col("_end"), (k + 1) * F.col("_unit")) if end else F.greatest(F.col("_start"), k * F.col("_unit"))
 
 
 def _times(k: Column) -> Column:
@@ -103,22 +124,22 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         block: int = 64, shard_words: int = 1 << 20, seed: int = 17) -> DataFrame:
     """How many words of every document a mix of the sources takes.
 
-    Returns ``doc_id, size, source, source_size, target, taken``, one row per document. A source's words are dealt
-    by a hash of the document into shards of about ``shard_words`` words, so that a shard is bounded
-    however large its source is. A shard lays its documents end to end in a seeded order and cuts
-    the line into blocks of ``block`` words (the last may be shorter). The source's target gives its
-    number of blocks; Sainte-Lague gives each shard its quota; a quota takes every block of its shard
-    as often as it can and then, in a seeded stride through the shard, as many more as are left. So
-    no block is taken more often than ``most`` rounded up, reruns agree, and a source's words miss its
-    target by the shorter last blocks and one block of rounding.
-
-    Null or empty texts have size 0 and are never taken; a null source is a source of its own;
-    repeated rows are documents of their own; an empty table gives no rows.
+    Returns ``doc_id, size, source, source_size, target, taken``, one row per document. Documents are dealt by a hash into shards of
+    about ``shard_words`` words and at most some ten thousand rows, whatever their source; in a shard every source lays its documents
+    end to end in a seeded order, and the line is cut into blocks of ``block`` words (the last may be shorter). What a source
+    claims in a shard is its target's share of its line. The shard's seats, one per block, go to its sources by
+    the highest quotients (Sainte-Lague). Lines shorter than a few blocks would lose their words to rounding: they have
+    blocks of one word and seats of their own. A quota takes every block of its line as often as it can and
+    then, in a seeded stride along the line, as many more as are left. So no block is taken more often than ``most``, reruns agree, and a
+    source misses its target by less than a block for each of its long lines and by about a word for each of its short ones.
+
+    Null or empty texts have size 0 and are never taken; a null source is a source of its own; repeated rows are documents of their
+    own, laid side by side (they are counted before the shuffle, so a crowd of them is one row until the end); an empty table gives no rows.
     """
-    placed = _layout(docs, weights, share, most, block, shard_words, seed)
+    placed = _copy(_layout(docs, weights, share, most, block, shard_words, seed), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
 
     def words(acc: Column, k: Column) -> Column:
-        return acc + (F.least(F.col("_end"), (k + 1) * block) - F.greatest(F.col("_start"), k * block)) * _times(k)
+        return acc + (_inside(k, True) - _inside(k, False)) * _times(k)
 
     taken = F.coalesce(F.aggregate("_blocks", F.lit(0).cast("long"), words), F.lit(0))
     return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
@@ -129,15 +150,17 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     """The mix itself, with the columns of ``docs``: a row for each time that some of a document is taken.
 
     Its text is the blocks taken at least that often, with the white space that follows their words; a document that is
-    taken whole keeps its text as it is. What :func:`mix` does not take is not in it. Equal rows are treated alike.
+    taken whole keeps its text as it is. What :func:`mix` does not take is not in it. Equal rows are treated like the first of them.
     """
-    placed = _layout(docs, weights, share, most, block, shard_words, seed).where("size > 0").dropDuplicates(["doc_id", "_hash"])
+    placed = _copy(_layout(docs, weights, share, most, block, shard_words, seed).where("size > 0"), F.lit(0).cast("long"))
     placed = placed.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_every") + 1)))
     ranges = F.transform(F.filter("_blocks", lambda k: _times(k) >= F.col("_time")), lambda k: F.struct(
-        (F.greatest(F.col("_start"), k * block) - F.col("_start")).cast("int").alias("from"), (F.least(F.col("_end"), (k + 1) * block) - F.greatest(F.col("_start"), k * block)).cast("int").alias("n")))
-    placed = placed.select(F.col("doc_id").alias("_id"), "_hash", (F.size(ranges) == F.size("_blocks")).alias("_whole"), ranges.alias("_ranges")).where(F.size("_ranges") > 0)
-    rows = docs.withColumn("_text_hash", F.xxhash64("text"))
-    rows = rows.join(placed, rows["doc_id"].eqNullSafe(placed["_id"]) & (rows["_text_hash"] == placed["_hash"]))
-    parts = F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+        (_inside(k, False) - F.col("_start")).cast("int").alias("from"), (_inside(k, True) - _inside(k, False)).cast("int").alias("n")))
+    placed = placed.select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "_hash", (F.size(ranges) == F.size("_blocks")).alias("_whole"), ranges.alias("_ranges")).where(F.size("_ranges") > 0)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest("text").alias("_text_hash"))
+    rows = rows.join(placed, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_of")) & (F.col("_text_hash") == F.col("_hash")))
+    text = F.col("_row.text")
+    parts = F.regexp_extract_all(text, F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     some = let(parts, lambda w: F.array_join(F.transform("_ranges", lambda r: F.array_join(F.slice(w, r["from"] + 1, r["n"]), "")), ""))
-    return rows.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(some)).select(*docs.columns)
+    own = [F.when(F.col("_whole"), text).otherwise(some).alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    return rows.select(*own)

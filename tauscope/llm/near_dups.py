@@ -250,6 +250,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, k: int = 64, similarity: in
 
 
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with the columns of ``docs``."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stand for their group, with the columns of ``docs``: one row of each group.
+
+    Rows are compared by themselves, whatever their ids: repeated rows, and copies without an id, are a group like any other. The row
+    with the smallest id stays (null ids last, equal ids by their place in the table); rows without words are no copies of each other
+    and all stay.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = stash(docs.select(F.monotonically_increasing_id().alias("_number"), whole))
+    groups = near_duplicates(rows.select(F.col("_number").alias("doc_id"), F.col("_row.text").alias("text")), **options)
+    named = rows.select("_number", F.col("_row.doc_id").alias("_id")).join(groups.select(F.col("doc_id").alias("_number"), "component_id"), "_number")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_number").alias("number"))).alias("_first"))
+    kept = first.select(F.col("_first.number").alias("_number"))
+    return rows.join(kept, "_number", "left_semi").select("_row.*")

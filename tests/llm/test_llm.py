@@ -98,6 +98,76 @@ def test_mix(spark, docs):
     assert words == sum(taken.values())
 
 
+def plain_taken(docs, block=64, shard_words=1 << 20, seed=17, rows=1 << 16, few=16):
+    """The mix by its rule: quotients one seat after the other, blocks one after the other."""
+    h = lambda *parts: int(hashlib.md5("|".join("null" if p is None else str(p) for p in parts).encode()).hexdigest()[:15], 16)
+    docs = [(d, s, size_of(t), h(t)) for d, t, s in docs]
+    sizes = collections.Counter()
+    for _, s, n, _ in docs:
+        sizes[s] += n
+    target, order = reference_targets(sizes), sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    shards = max(1, -(-sum(sizes.values()) // shard_words), -(-len(set(docs)) // rows))
+    cells = collections.defaultdict(list)
+    for d, s, n, t in docs:
+        cells[h(seed, d, t) // 64 % shards, order.index(s) + 1].append((h(seed, d, t), d, t, n, s))
+    lines, quota, taken = {}, collections.Counter(), collections.Counter()
+    for cell, own in cells.items():
+        n = sum(o[3] for o in own)
+        if n:
+            lines[cell] = (n, round(target[own[0][4]] * n / sizes[own[0][4]], 6), 1 if n < few * block else block)
+    for group in {(c[0], v[2]) for c, v in lines.items()}:
+        inside = {c: v[1] for c, v in lines.items() if (c[0], v[2]) == group}
+        for _ in range(int(round(sum(inside.values()) / group[1], 6) + 0.5)):
+            best = max(inside, key=lambda c: (inside[c] / (2 * quota[c] + 1), -c[1]))
+            quota[best] += 1
+    for cell, (n, _, unit) in lines.items():
+        blocks = -(-n // unit)
+        q = min(quota[cell], 2 * blocks)
+        stride = next(p for p in mixing.PRIMES if blocks % p)
+        times = [q // blocks + ((k * stride + h(seed, cell[1], cell[0]) % blocks) % blocks < q % blocks) for k in range(blocks)]
+        at = 0
+        for _, d, t, size, _ in sorted(cells[cell], key=lambda o: (o[0], o[1] is not None, o[1] or 0, o[2])):
+            taken[d, t] += sum(times[w // unit] for w in range(at, at + size))
+            at += size
+    return collections.Counter({(d, t): taken[d, t] for d, _, _, t in docs})
+
+
+@pytest.mark.parametrize("shard_words", [1 << 20, 3000])
+def test_mix_takes_what_the_quotients_give(spark, docs, odd, shard_words):
+    few = spark.createDataFrame([(5000 + i, " ".join("w" * (5 + i % 46)), f"host{i}") for i in range(60)] + [(7000, "a b c", "x"), (7000, "a b c", "x")], "doc_id long, text string, source string")
+    table = docs.select("doc_id", "text", "source").unionByName(few).unionByName(odd.select("doc_id", "text", "source"))
+    got = collections.Counter()
+    for r in mixing.mix(table, shard_words=shard_words).join(table.select("doc_id", "text").distinct(), "doc_id").collect():
+        if 5000 <= r.doc_id:
+            got[r.doc_id] += r.taken
+    want = collections.Counter()
+    for (d, _), n in plain_taken([tuple(r) for r in table.collect()], shard_words=shard_words).items():
+        if d is not None and d >= 5000:
+            want[d] += n
+    assert +got == +want
+
+
+def test_mix_of_many_small_sources(spark):
+    rows = [(i, "word " * 15, f"s{i:03d}") for i in range(100)]
+    taken = [r.taken for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert abs(sum(taken) - 2250) <= 3 and max(taken) <= 30
+    rows = [(i * 10 + j, "w " * (5 + (i * 7 + j) % 10), f"s{i:04d}") for i in range(1000) for j in range(1 + i % 4)]
+    off = collections.defaultdict(float)
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_words=4096).collect():
+        off[r.source] += r.taken
+        off[r.source, "target"] = r.target
+    assert all(abs(off[f"s{i:04d}"] - off[f"s{i:04d}", "target"]) <= 15 for i in range(1000))
+
+
+def test_mixed_rows_with_clashing_names(spark, docs, odd):
+    clash = odd.withColumns({c: F.lit("x") for c in ("_id", "_hash", "_times", "_row", "_number", "_blocks", "_copies")})
+    out = mixing.mixed(clash)
+    assert out.columns == clash.columns
+    whole = {r.doc_id: r.text for r in clash.where("doc_id is not null").collect()}
+    for r in out.where("doc_id is not null").collect():
+        assert r._id == "x" and set(WORDS.findall(r.text)) <= set(WORDS.findall(whole[r.doc_id]))
+
+
 def test_apportion_is_highest_quotients(spark):
     claims = [(0, 0, 53.0), (0, 1, 24.0), (0, 2, 23.0), (0, 3, 0.0), (1, 0, 7.0), (1, 1, 7.0), (1, 2, 1.0)]
     df = spark.createDataFrame(claims, "g int, k long, w double")
@@ -332,34 +402,76 @@ def test_personal_data(spark, docs, odd):
     assert personal_data.personal_data(docs.limit(0)).count() == 0
 
 
-def test_language_model_scores(spark, odd, few_labels, docs, labels):
-    d = spark.createDataFrame([(1, "abab"), (2, "abcd"), (3, None)], "doc_id long, text string")
-    lab = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
-    texts = {1: "abab", 2: "abcd"}
+def plain_scores(texts, trusted, order):
+    fold = {d: zlib.crc32(str(d % 100).encode()) % 2 + 1 for d in trusted}  # 101 is a copy of 1
+    pad = bytes(order - 1)
+    grams = {d: [(pad + t.encode())[i:i + order] for i in range(len(t.encode()))] for d, t in texts.items()}
 
     def model(pick):
-        c = collections.Counter(bytes(3) [len(t[:i].encode()):] + t[max(0, i - 3):i + 1].encode() for x, t in texts.items() if x in pick for i in range(len(t)))
-
-        def p(g):
-            if not g:
-                return 1 / 256
-            n = sum(v for k, v in c.items() if k.endswith(g))
-            ctx = sum(v for k, v in c.items() if k[4 - len(g):3] == g[:-1])
-            return (n + 5 * p(g[1:])) / (ctx + 5)
-
-        return p
-
-    target, background = model({1}), model({1, 2})
-    for limit in (4_000_000, 2):
-        got = {r.doc_id: (r.n_tokens, r.ce_diff) for r in lm_scoring.cross_entropy_difference(d, lab, part=limit).collect()}
-        for x, t in texts.items():
-            grams = [bytes(3)[i:] + t[max(0, i - 3):i + 1].encode() for i in range(len(t))]
-            assert got[x][0] == 4 and np.isclose(got[x][1], np.mean([np.log(background(g)) - np.log(target(g)) for g in grams]))
-        assert got[3] == (0, 0.0)
+        c = collections.Counter(g for d in pick for g in grams[d])
+        tails = [collections.Counter() for _ in range(order + 1)]
+        heads = [collections.Counter() for _ in range(order + 1)]
+        for g, n in c.items():
+            for k in range(1, order + 1):
+                tails[k][g[order - k:]] += n
+                heads[k][g[order - k:-1]] += n
+        return sum(c.values()), tails, heads
+
+    def p(m, ratio, g):
+        value = 1 / 256
+        for k in range(1, order + 1):
+            value = (m[1][k][g[order - k:]] * ratio + 5 * value) / (m[2][k][g[order - k:-1]] * ratio + 5)
+        return value
+
+    background = model(texts)
+    targets = {f: model([d for d in trusted if fold[d] != f]) for f in (0, 1, 2)}
+    out = {}
+    for d in texts:
+        t = targets[fold.get(d, 0)]
+        loss = [np.log(p(background, t[0] / max(1, background[0]), g)) - np.log(p(t, 1.0, g)) for g in grams[d]]
+        out[d] = (len(loss), float(np.mean(loss)) if loss else 0.0)
+    return out
+
+
+@pytest.mark.parametrize("hot", [1 << 18, 40, 0])
+def test_language_model_scores(spark, hot):
+    texts = {1: "abab", 2: "abcd", 3: "", 4: "the cat sat on the mat " * 3, 5: "cab \u00fc dab", 6: "abcabc", 7: "dab cab", 8: "x" * 300}
+    trusted = [1, 4, 6, 7]
+    d = spark.createDataFrame([*texts.items(), (9, None), (1, "abab")], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("gram", "fold", "rest", "_row", "t1", "n")})
+    lab = spark.createDataFrame([(i, 1) for i in trusted] + [(2, 0), (None, 1)], "doc_id long, quality int")
+    want = plain_scores(texts | {101: "abab"}, [*trusted, 101], lm_scoring.ORDER)
+    rows = lm_scoring.cross_entropy_difference(d, lab, hot=hot).collect()
+    assert len(rows) == 10
+    for r in rows:
+        n, score = want.get(r.doc_id, (0, 0.0))
+        assert r.n_tokens == n and np.isclose(r.ce_diff, score)
+
+
+def test_language_model_scores_of_one_length(spark):
+    """Rows with one id and one length but different texts keep their own scores, wherever the line of hot n-grams lies."""
+    d = spark.createDataFrame([(1, "aaaabbbb"), (1, "qwertzui"), (2, "aaaabbbb"), (3, "aaaacccc")], "doc_id long, text string")
+    lab = spark.createDataFrame([(2, 1), (3, 1)], "doc_id long, quality int")
+    found = [sorted((r.doc_id, round(r.ce_diff, 9)) for r in lm_scoring.cross_entropy_difference(d, lab, hot=h).collect()) for h in (1 << 18, 3)]
+    assert found[0] == found[1] and len({x for i, x in found[0] if i == 1}) == 2
+
+
+def test_language_model_edges(spark, odd, few_labels, docs, labels):
     assert lm_scoring.cross_entropy_difference(odd, few_labels).count() == 10
+    assert all(np.isfinite(r.ce_diff) for r in lm_scoring.cross_entropy_difference(odd, few_labels.limit(0)).collect())
     assert lm_scoring.cross_entropy_difference(docs.limit(0), labels).count() == 0
 
 
+def test_trusted_texts_are_not_scored_by_themselves(spark):
+    """Texts of one kind score alike, trusted or not."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"w{i}" for i in range(200)])
+    rows = [(i, " ".join(rng.choice(words, 80))) for i in range(120)]
+    lab = spark.createDataFrame([(i, 1) for i in range(0, 120, 3)], "doc_id long, quality int")
+    score = {r.doc_id: r.ce_diff for r in lm_scoring.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), lab).collect()}
+    a, b = (np.mean([v for i, v in score.items() if (i % 3 == 0) == t]) for t in (True, False))
+    assert abs(a - b) < 0.05
+
+
 def test_code_search_is_exact(spark):
     rng = np.random.default_rng(5)
     codes = np.where(rng.random((600, 4)) < 0.3, 77, rng.integers(0, 1 << 16, (600, 4)))
@@ -392,6 +504,47 @@ def test_classifier(spark, docs, labels, odd, few_labels):
     assert seen.all() and b"***" in parts[-1].tobytes()
 
 
+def test_one_row_of_each_group_stays(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "b"), (1, text, "b"), (None, text, "c"), (None, text, "c"), (2, text, "d"), (7, "other words that stand alone in here", "x"), (8, None, "x"), (8, None, "x"), (9, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("x") for c in ("_row", "_number", "kept", "component_id")})
+    out = near_dups.distinct_documents(df, width=5)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str) == sorted([(1, text), (7, rows[5][1]), (8, None), (8, None), (9, "")], key=str)
+
+
+def test_classifier_learns_from_bounded_rows(spark, monkeypatch):
+    """However many documents share a labelled id, one text of each picked id is learned from."""
+    sizes = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(byte_cnn, "train", lambda texts, labels: sizes.add(len(texts)) or byte_cnn.Net.fresh(1))
+    rows = [(i % 6, "good text " * 3 if i % 2 == 0 else "*** | bad " + "y" * (i % 40)) for i in range(600)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1 - i % 2) for i in range(6)], "doc_id long, quality int")
+    assert byte_cnn.fit(d, lab, sample=4, folds=7) is not None
+
+
+def test_classifier_on_held_out_rows(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = byte_cnn.classify(d, lab).where("held_out").join(lab, "doc_id").collect()
+    score, quality = np.array([r.score for r in rows]), np.array([r.quality for r in rows])
+    good, bad = score[quality == 1], score[quality == 0]
+    auc = np.mean([(g > bad).mean() + (g == bad).mean() / 2 for g in good])
+    assert len(rows) > 50 and auc > 0.95
+
+
+def test_network_is_its_plain_form():
+    net = byte_cnn.Net.fresh(3)
+    text = "plain text with *** marks " * 90
+    rows = byte_cnn.chunks(text)
+    value = np.zeros((len(rows), len(net.bias)))
+    for c, row in enumerate(rows):
+        acts = [sum(net.embed[row[at + w]] @ net.kernel[w] for w in range(byte_cnn.WIDTH)) + net.bias for at in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STEP)]
+        value[c] = np.maximum(np.max(acts, axis=0), 0)
+    f = len(net.bias)
+    z = value.max(axis=0) @ net.weight[:f] + value.mean(axis=0) @ net.weight[f:] + net.offset[0]
+    assert np.isclose(byte_cnn.logits(net, rows, np.zeros(len(rows), int), 1)[0], z, atol=1e-4)
+
+
 def test_edge_rows(spark, odd):
     assert mixing.mix(odd).count() == 10 and mixing.mix(odd.limit(0)).count() == 0
     near = near_dups.near_duplicates(odd).collect()
