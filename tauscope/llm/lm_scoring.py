@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tauscope.llm.common import crc, stash
+from tauscope.llm.common import digest, stash
 
 #: Tokens that a model looks at, the predicted byte included. The vocabulary of both models is the 256 byte values.
 ORDER = 5
@@ -33,7 +33,7 @@ def _marked(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text, fold``: fold 0 for texts that are not trusted, else 1 to FOLDS by a hash of the id."""
     trusted = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select("doc_id", "text").join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
-    fold = F.when(F.col("_id").isNotNull(), crc(F.col("doc_id").cast("string")) % FOLDS + 1).otherwise(0).cast("int")
+    fold = F.when(F.col("_id").isNotNull(), digest("doc_id") % FOLDS + 1).otherwise(0).cast("int")
     return rows.select("doc_id", "text", fold.alias("fold"))
 
 

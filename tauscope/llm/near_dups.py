@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tauscope.llm.common import digest, stash
@@ -252,14 +252,23 @@ def near_duplicates(docs: DataFrame, width: int = 4, k: int = 64, similarity: in
 def distinct_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their group, with the columns of ``docs``: one row of each group.
 
-    Rows are compared by themselves, whatever their ids: repeated rows, and copies without an id, are a group like any other. The row
-    with the smallest id stays (null ids last, equal ids by their place in the table); rows without words are no copies of each other
-    and all stay.
+    A row is a document by itself, whatever its id: repeated rows, and copies without an id, are a group like any other. Rows whose id is null
+    or stands in several rows are written with numbers above all ids, the others keep their id, and the smallest number of a
+    group stays. So texts are only written where ids do not tell rows apart. Rows without words are no copies of each other and
+    all stay. Ids up to 2^62.
     """
+    key = F.col("doc_id").cast("long")
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = stash(docs.select(F.monotonically_increasing_id().alias("_number"), whole))
-    groups = near_duplicates(rows.select(F.col("_number").alias("doc_id"), F.col("_row.text").alias("text")), **options)
-    named = rows.select("_number", F.col("_row.doc_id").alias("_id")).join(groups.select(F.col("doc_id").alias("_number"), "component_id"), "_number")
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_number").alias("number"))).alias("_first"))
-    kept = first.select(F.col("_first.number").alias("_number"))
-    return rows.join(kept, "_number", "left_semi").select("_row.*")
+    counts = docs.groupBy(key.alias("_many")).agg(F.count("*").alias("_rows"))
+    twice = stash(counts.where("_rows > 1 and _many is not null").select("_many"))
+    top = counts.agg(F.max("_many")).first()[0] or 0
+
+    def own(column: Column) -> DataFrame:
+        return docs.where(key.isNotNull()).select(key.alias("_id"), column).join(twice, F.col("_id") == F.col("_many"), "left_anti")
+
+    unclear = docs.where(key.isNull()).select(key.alias("_id"), whole).unionByName(
+        docs.where(key.isNotNull()).select(key.alias("_id"), whole).join(twice, F.col("_id") == F.col("_many"), "left_semi"))
+    unclear = stash(unclear.select((F.monotonically_increasing_id() + F.lit(top + 1)).alias("_id"), "_row"))
+    texts = own(F.col("text").alias("text")).unionByName(unclear.select("_id", F.col("_row.text").alias("text")))
+    gone = near_duplicates(texts.select(F.col("_id").alias("doc_id"), "text"), **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
+    return own(whole).unionByName(unclear).join(gone, F.col("_id") == F.col("_gone"), "left_anti").select("_row.*")
