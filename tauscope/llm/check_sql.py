@@ -75,7 +75,7 @@ MIX = f"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size, {_hash('text')} AS hash FROM documents
 ), lone AS (
-  SELECT doc_id, source, size, hash, count(*) AS copies, size * count(*) AS words, {_hash('17', 'doc_id', 'hash')} AS h FROM sized GROUP BY ALL
+  SELECT *, size * copies AS words, {_hash('17', 'doc_id', 'hash')} AS h FROM (SELECT doc_id, source, size, hash, count(*) AS copies FROM sized GROUP BY ALL)
 ), named AS (
   SELECT *, [3e0, 1e0, 2e0][(s - 1) % 3 + 1] AS w, 2e0 * source_size AS cap, 15e-1 * sum(source_size) OVER () AS whole
   FROM (SELECT source, sum(words)::BIGINT AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) AS s FROM lone GROUP BY source)
@@ -136,10 +136,10 @@ def language_models(order: int = 5, strength: str = "5e0") -> str:
     n = 2 * order
     steps = [f"""
 marked AS MATERIALIZED (
-  SELECT row_number() OVER () AS r, d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN {_hash('d.doc_id')} % 2 + 1 ELSE 0 END AS fold, hex(encode(coalesce(text, ''))) AS h
+  SELECT row_number() OVER () AS r, d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN {_hash('d.doc_id')} % 2 + 1 ELSE 0 END AS fold, '{'0' * (n - 2)}' || hex(encode(coalesce(text, ''))) AS h
   FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id
 ), grams AS MATERIALIZED (
-  SELECT r, fold, substr('{'0' * (n - 2)}' || h, 2 * i + 1, {n}) AS g FROM (SELECT *, unnest(range(0, len(h) // 2)) AS i FROM marked)
+  SELECT r, fold, unnest(list_transform(range(0, (len(h) - {n - 2}) // 2), lambda i: substr(h, 2 * i + 1, {n}))) AS g FROM marked
 ), own AS MATERIALIZED (SELECT r, fold, g, count(*) AS times FROM grams GROUP BY ALL),
 counts AS MATERIALIZED (
   SELECT c, g, sum(times)::DOUBLE AS b, coalesce(sum(times) FILTER (fold > 0 AND fold <> c), 0)::DOUBLE AS t FROM own, range(0, 3) cases(c) GROUP BY ALL
@@ -150,12 +150,12 @@ p0 AS MATERIALIZED (SELECT c, '' AS g, 1 / 256e0 AS pt, 1 / 256e0 AS pb FROM rat
 level{k} AS MATERIALIZED (SELECT c, right(g, {2 * k}) AS g, sum(t) AS t, sum(b) AS b FROM counts GROUP BY ALL),
 p{k} AS MATERIALIZED (
   SELECT l.c, l.g, (l.t + {strength} * p.pt) / (x.t + {strength}) AS pt, (l.b * ratio + {strength} * p.pb) / (x.b * ratio + {strength}) AS pb
-  FROM level{k} l JOIN (SELECT c, left(g, {2 * k - 2}) AS head, sum(t) AS t, sum(b) AS b FROM level{k} GROUP BY ALL) x ON x.c = l.c AND x.head = left(l.g, {2 * k - 2})
-  JOIN p{k - 1} p ON p.c = l.c AND p.g = right(l.g, {2 * k - 2}) JOIN ratios ON ratios.c = l.c
+  FROM level{k} l JOIN (SELECT c, left(g, {2 * k - 2}) AS head, sum(t) AS t, sum(b) AS b FROM level{k} GROUP BY ALL) x ON x.c || ':' || x.head = l.c || ':' || left(l.g, {2 * k - 2})
+  JOIN p{k - 1} p ON p.c || ':' || p.g = l.c || ':' || right(l.g, {2 * k - 2}) JOIN ratios ON ratios.c = l.c
 )""")
     return "WITH " + ",".join(steps) + f""",
-scores AS (SELECT r, sum(times * (ln(pb) - ln(pt))) / sum(times) AS s FROM own JOIN p{order} p ON p.c = own.fold AND p.g = own.g GROUP BY r)
-SELECT doc_id, (len(h) // 2)::BIGINT AS n_tokens, round(coalesce(s, 0e0), 6) + 0e0 AS ce_diff FROM marked LEFT JOIN scores USING (r)
+scores AS (SELECT r, sum(times * (ln(pb) - ln(pt))) / sum(times) AS s FROM own JOIN p{order} p ON p.c || ':' || p.g = own.fold || ':' || own.g GROUP BY r)
+SELECT doc_id, ((len(h) - {n - 2}) // 2)::BIGINT AS n_tokens, round(coalesce(s, 0e0), 6) + 0e0 AS ce_diff FROM marked LEFT JOIN scores USING (r)
 """
 
 
@@ -163,7 +163,7 @@ SELECT doc_id, (len(h) // 2)::BIGINT AS n_tokens, round(coalesce(s, 0e0), 6) + 0
 CODE_SEARCH = """
 WITH bits AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE 0 END) AS b FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
 far AS (
-  SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id, list_sum(list_transform(list_zip(q.b, v.b), lambda z: abs(z[1] - z[2])))::INTEGER AS distance
+  SELECT q.vec_id AS query_id, v.vec_id AS neighbor_id, list_sum(list_transform(list_zip(q.b, v.b), lambda z: abs(z[1] - z[2])))::BIGINT AS distance
   FROM bits q, bits v WHERE q.vec_id % 50 = 0
 )
 SELECT query_id, rank::INTEGER AS rank, neighbor_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank FROM far) WHERE rank <= 10
