@@ -233,7 +233,10 @@ FROM bin_variance GROUP BY axis""")
 SERIES = ["season_free", "centred", "anomaly", "series_lists", "acf_rows", "acf_cut", "taus", "segments", "segments_free", "psd_rows", "slope_rows"]
 
 
-def series_steps(prefix: str) -> None:
-    """The steps from daily rows to memory times and slopes once more, for the rows of step ``{prefix}_daily``."""
-    for name in SERIES:
+def series_steps(prefix: str, first: str = "season_free") -> None:
+    """The steps from daily rows to memory times and slopes once more, for the rows of step ``{prefix}_daily``.
+
+    ``first`` starts the copy later in the chain.
+    """
+    for name in SERIES[SERIES.index(first):]:
         step(f"{prefix}_{name}", re.sub(rf"\b(daily|{'|'.join(SERIES)})\b", rf"{prefix}_\1", STEPS[name]))

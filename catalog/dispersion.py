@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, MIN_UNITS, bin_sql, curve, points, query, r, rounded, rs, shared, step, unit_bins
+from catalog.base import KEYS, MIN_UNITS, STEPS, anomaly, bin_sql, curve, points, query, r, rounded, rs, shared, step, unit_bins
 from catalog.spectra import family_curves
 from tauscope.functions.ranks import quantiles
 from tauscope.functions.tables import config_table
 from tauscope.operators import binning, spectral, strata
+from tauscope.plans import archive
 from tauscope.sources import adapters
 
 def reduction_sql(source: str, groups: str = "") -> str:
@@ -233,7 +236,6 @@ def price_curves(spark, d):
     """Second variable of the same gauges: shipped quantity, as the forcing side."""
     from tauscope.functions.expressions import norm_gauge
     from tauscope.operators import prep
-    from tauscope.plans import archive
 
     rows = adapters.table(spark, d, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("day")).agg(F.round(F.sum("l_quantity"), 2).alias("q"))
     rows = rows.join(adapters.archives(spark, d), F.col("l_suppkey") == F.col("s_suppkey")).select("archive", norm_gauge(F.col("l_suppkey"), 8).alias("gauge_id"), "day", "q")
@@ -277,3 +279,32 @@ step("family_curve", "SELECT archive, gauge_id, family, k, frequency, frequency
 @query("analytic_null_summary", reduction_sql(chain("fam", "family_curve", "family"), "family"))
 def _(spark, d):
     return rounded(binning.archive_reduction(family_curves(spark, d), ["family"], "gauge_id", MIN_UNITS))
+
+
+# ---- segment lengths and slope windows ----
+
+LENGTHS, WINDOWS = (128, 256, 512, 1024), (0.7, 0.9, 1.1)
+
+
+def length_steps(n: int) -> str:
+    """The spectrum steps for another segment length."""
+    sizes = {"256e0": f"{n}e0", "256": str(n), "129": str(n // 2 + 1), "128": str(n // 2), "96e0": f"{3 * n // 8}e0"}
+    for name in ("basis", "segments", "segments_free", "psd_rows"):
+        text = re.sub(r"\b(256e0|256|129|128|96e0)\b", lambda m: sizes[m.group()], STEPS[name])
+        step(f"grid{n}_{name}", re.sub(r"\b(basis|segments|segments_free)\b", rf"grid{n}_\1", text))
+    return f"SELECT archive, gauge_id, {n} AS nperseg, k, frequency, psd FROM grid{n}_psd_rows"
+
+
+step("grid_psd", " UNION ALL ".join(length_steps(n) for n in LENGTHS))
+for i, w in enumerate(WINDOWS):
+    text = STEPS["slope_rows"].replace("SELECT archive, gauge_id, k,", f"SELECT archive, gauge_id, nperseg, {w}::DOUBLE AS win, k,", 1)
+    step(f"grid_slopes{i}", text.replace("psd_rows", "grid_psd").replace("PARTITION BY gauge_id", "PARTITION BY gauge_id, nperseg").replace("45e-2", f"{round(w * 50)}e-2"))
+step("grid_curve", " UNION ALL ".join(f"SELECT nperseg, win, s.gauge_id, frequency, frequency * tau AS de, beta FROM grid_slopes{i} s JOIN taus t ON t.gauge_id = s.gauge_id WHERE tau > 0" for i in range(len(WINDOWS))))
+grid_sql = reduction_sql(chain("grid_cut", "grid_curve", "nperseg, win"), "nperseg, win")
+
+
+@query("estimator_grid", f'SELECT * EXCLUDE (win), win AS "window" FROM ({grid_sql})')
+def _(spark, d):
+    a = anomaly(spark, d)
+    tau = spectral.tau_integral(spectral.acf(a, KEYS, "i", "q", 730), KEYS)
+    return rounded(archive.estimator_grid(a, tau, KEYS, "q", LENGTHS, WINDOWS, MIN_UNITS))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, curve, daily, query, r, rounded, rs, shared, step
+from catalog.base import KEYS, STEPS, bin_sql, curve, daily, query, r, rounded, rs, series_steps, shared, step, uniform_sql
 from catalog.dispersion import gauge_tau
 from tauscope.functions.ranks import quantiles
+from tauscope.functions.tables import long_form, pick
 from tauscope.operators import evaluation as ev
-from tauscope.operators import prep, stats
+from tauscope.operators import prep, resampling, stats
 from tauscope.plans import archive
 from tauscope.session import shared_folder
 from tauscope.sources import adapters
@@ -101,11 +103,38 @@ def _(spark, d):
     return rounded(ev.ensemble_mean(rows, [*KEYS, "day"], "mean").select(*KEYS, "day", "q_pred", "n_members"), 7)
 
 
+# ---- models to choose between: forecasts from the recorded days before ----
+
+FORECASTS = ["last_day", "week_ago", "week_mean", "month_mean", "half"]
+step("forecast_rows", f"""SELECT archive, gauge_id, day, split, q, model_type, round(q_pred, 4) AS q_pred FROM (SELECT archive, gauge_id, day, split, q, unnest({FORECASTS}) AS model_type, unnest([a, b, c, e, (a + e) / 2e0]) AS q_pred
+FROM (SELECT *, lag(q) OVER w AS a, lag(q, 7) OVER w AS b, avg(q) OVER (PARTITION BY gauge_id ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS c, avg(q) OVER (PARTITION BY gauge_id ORDER BY day ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) AS e
+FROM split_rows WINDOW w AS (PARTITION BY gauge_id ORDER BY day))) WHERE q_pred IS NOT NULL""")
+step("con_skill", STEPS["skill_rows"].replace("preds", "forecast_rows"))
+step("con_daily", "SELECT archive, gauge_id || '#' || model_type AS gauge_id, day, q_pred AS q FROM forecast_rows")
+series_steps("con")
+step("con_curve", "SELECT split_part(gauge_id, '#', 1) AS gauge_id, split_part(gauge_id, '#', 2) AS model_type, frequency, tau, frequency * tau AS de, beta FROM con_slope_rows JOIN con_taus USING (archive, gauge_id) WHERE tau > 0")
+
+
+@shared("forecasts")
+def forecasts(spark, d):
+    """Five forecasts of every gauge and day in one pass: values and means of the days before."""
+    w = Window.partitionBy(*KEYS).orderBy("day")
+    before = lambda n: F.avg("q").over(w.rowsBetween(-n, -1))
+    rows = splits(spark, d).withColumn("_a", F.lag("q").over(w)).withColumn("_e", before(30))
+    values = [F.col("_a"), F.lag("q", 7).over(w), before(7), F.col("_e"), (F.col("_a") + F.col("_e")) / 2]
+    rows = rows.withColumn("_all", F.array(*[F.struct(F.lit(n).alias("model_type"), F.round(v, 4).alias("q_pred")) for n, v in zip(FORECASTS, values)]))
+    return rows.select(*KEYS, "day", "split", "q", F.inline("_all")).where(F.col("q_pred").isNotNull())
+
+
+def forecast_skill(spark, d):
+    return ev.skill(forecasts(spark, d).where(F.col("split") == "eval"), [*KEYS, "model_type"], "q", "q_pred")
+
+
 @shared("model_curves", cut=True)
 def model_curves(spark, d):
-    """Curves of every model on its own memory time."""
+    """Curves of every forecast on its own memory time."""
     keys = [*KEYS, "model_type"]
-    rows = predictions(spark, d).select(*keys, "day", F.col("q_pred").alias("q"))
+    rows = forecasts(spark, d).select(*keys, "day", F.col("q_pred").alias("q"))
     return archive.gauge_curves(archive.gauge_anomaly(rows, keys), keys)
 
 
@@ -113,20 +142,52 @@ def distances(spark, d, axis="de"):
     return ev.curve_distance(curve(spark, d), model_curves(spark, d), KEYS, "model_type", axis)
 
 
-@query("curve_distance")
+DECISION_SEED = 62
+step("con_pool", f"SELECT gauge_id, tau, row_number() OVER (ORDER BY {uniform_sql(str(DECISION_SEED), chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS slot, count(*) OVER () AS n, median(tau) OVER () AS mid FROM gauge_tau")
+pick_sql = lambda *parts: f"cast(floor({uniform_sql(str(DECISION_SEED), *parts)} * (SELECT max(n) FROM con_pool)) AS bigint) + 1"
+step("con_both", f"""SELECT t.*, p.tau AS shuffled, (SELECT max(mid) FROM con_pool) AS constant FROM (
+SELECT c.gauge_id, model_type, 0 AS side, frequency, tau, beta, {pick_sql("'obs'", 'c.gauge_id')} AS slot FROM curve c JOIN (SELECT DISTINCT gauge_id, model_type FROM con_curve) m ON m.gauge_id = c.gauge_id
+UNION ALL SELECT gauge_id, model_type, 1, frequency, tau, beta, {pick_sql("'sim'", 'gauge_id', 'model_type')} FROM con_curve SEMI JOIN con_pool USING (gauge_id)) t JOIN con_pool p USING (slot)""")
+step("con_axes", "SELECT gauge_id, model_type, side, beta, unnest(['beta_de', 'beta_raw', 'de_const', 'de_shuff']) AS variant, unnest([log10(frequency * tau), log10(frequency), log10(frequency * constant), log10(frequency * shuffled)]) AS x FROM con_both")
+step("con_edges", "SELECT gauge_id, model_type, variant, quantile_cont(x, 1e-1) AS lo, (quantile_cont(x, 9e-1) - quantile_cont(x, 1e-1)) / 18e0 AS width, 18 AS n_bins FROM con_axes GROUP BY ALL")
+step("con_sides", f"""SELECT gauge_id, model_type, variant, bin_id, median(beta) FILTER (side = 0) AS o, median(beta) FILTER (side = 1) AS s FROM (SELECT gauge_id, model_type, variant, side, beta, {bin_sql()} AS bin_id
+FROM con_axes JOIN con_edges USING (gauge_id, model_type, variant)) WHERE bin_id IS NOT NULL GROUP BY ALL""")
+step("con_gaps", "SELECT gauge_id, model_type, variant, median(abs(o - s)) AS distance, count(*) AS n_common_bins FROM con_sides WHERE o IS NOT NULL AND s IS NOT NULL GROUP BY ALL")
+step("con_scalar", "SELECT gauge_id, model_type, abs(avg(beta) FILTER (side = 1) - avg(beta) FILTER (side = 0)) AS distance FROM con_both WHERE frequency * tau BETWEEN 5e-1 AND 2e0 GROUP BY ALL")
+step("con_distances", "SELECT gauge_id, model_type, variant, distance FROM con_gaps UNION ALL SELECT gauge_id, model_type, 'scalar', distance FROM con_scalar WHERE distance IS NOT NULL")
+
+
+@query("curve_distance", f"SELECT archive, gauge_id, model_type, {rs('distance')}, n_common_bins FROM con_gaps JOIN (SELECT DISTINCT archive, gauge_id FROM curve) USING (gauge_id) WHERE variant = 'beta_de'")
 def _(spark, d):
     return rounded(distances(spark, d))
 
 
+@query("decision_distances", f"SELECT gauge_id, model_type, variant, {rs('distance')} FROM con_distances")
+def _(spark, d):
+    return rounded(five_distances(spark, d))
+
+
+@shared("five_distances", cut=True)
+def five_distances(spark, d):
+    sim = model_curves(spark, d).select("gauge_id", "model_type", "frequency", "tau", "beta")
+    return ev.decision_distances(curve(spark, d), sim, "gauge_id", "model_type", DECISION_SEED)
+
+
+@shared("metrics", cut=True)
 def metrics(spark, d):
     tau_sim = model_curves(spark, d).groupBy(*KEYS, "model_type").agg(F.first("tau").alias("tau"))
     tau_obs = curve(spark, d).groupBy(*KEYS).agg(F.first("tau").alias("tau"))
-    rows = ev.metric_rows(skill(spark, d), distances(spark, d), tau_obs, tau_sim, KEYS, "model_type")
+    rows = ev.metric_rows(forecast_skill(spark, d), distances(spark, d), tau_obs, tau_sim, KEYS, "model_type")
     raw = distances(spark, d, "frequency").select(*KEYS, "model_type", F.col("distance").alias("distance_raw"))
     return rows.join(raw, [*KEYS, "model_type"], "left")
 
 
-@query("metric_row")
+step("con_metrics", """SELECT k.archive, k.gauge_id, k.model_type, n_pairs, nse, kge, o.tau AS tau_obs, m.tau AS tau_model, a.distance AS distance, CASE WHEN o.tau > 0 AND m.tau > 0 THEN abs(log10(m.tau) - log10(o.tau)) END AS abs_log10_tau_error, b.distance AS distance_raw
+FROM con_skill k LEFT JOIN gauge_tau o ON o.gauge_id = k.gauge_id LEFT JOIN (SELECT gauge_id, model_type, any_value(tau) AS tau FROM con_curve GROUP BY ALL) m ON m.gauge_id = k.gauge_id AND m.model_type = k.model_type
+LEFT JOIN con_gaps a ON a.gauge_id = k.gauge_id AND a.model_type = k.model_type AND a.variant = 'beta_de' LEFT JOIN con_gaps b ON b.gauge_id = k.gauge_id AND b.model_type = k.model_type AND b.variant = 'beta_raw'""")
+
+
+@query("metric_row", f"SELECT archive, gauge_id, model_type, n_pairs, {rs('nse', 'kge', 'tau_obs', 'tau_model', 'distance', 'abs_log10_tau_error', 'distance_raw')} FROM con_metrics")
 def _(spark, d):
     return rounded(metrics(spark, d))
 
@@ -148,46 +209,107 @@ def _(spark, d):
     return rounded(base.join(quantiles(pairs, ["model", "baseline"], "delta", {"median_delta": 0.5}), ["model", "baseline"]))
 
 
-@query("pairwise_tests")
+step("pair_ranks", "SELECT model, baseline, delta, rank() OVER (PARTITION BY model, baseline ORDER BY a) + (count(*) OVER (PARTITION BY model, baseline, a) - 1) / 2e0 AS rk FROM (SELECT *, round(abs(delta), 12) AS a FROM pair_rows WHERE delta <> 0)")
+
+
+@query("pairwise_tests", f"SELECT model, baseline, count(*) AS n, {r('coalesce(sum(rk) FILTER (delta > 0), 0)', 'w_plus', 1)}, {r('coalesce(sum(rk) FILTER (delta < 0), 0)', 'w_minus', 1)} FROM pair_ranks GROUP BY ALL")
+def _(spark, d):
+    tests = stats.wilcoxon(ev.pairwise_delta(skill(spark, d), KEYS, "model_type", "nse"), ["model", "baseline"], "delta")
+    return rounded(tests.select("model", "baseline", "n", "w_plus", "w_minus"), 1)
+
+
+@query("pairwise_p_values")
 def _(spark, d):
     tests = stats.wilcoxon(ev.pairwise_delta(skill(spark, d), KEYS, "model_type", "nse"), ["model", "baseline"], "delta")
     return rounded(stats.bh_fdr(tests, ["baseline"], "p_value", "model"))
 
 
-@query("model_consequence")
+CONSEQUENCES = [("distance", "abs_log10_tau_error"), ("distance", "nse"), ("distance", "kge"), ("distance_raw", "abs_log10_tau_error"), ("nse", "abs_log10_tau_error"), ("kge", "abs_log10_tau_error")]
+CONSEQUENCE_DRAWS = 2000
+mean_rank = lambda x, by: f"(rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count(*) OVER (PARTITION BY {by}, {x}) - 1) / 2e0)"
+step("cons_long", " UNION ALL ".join(f"SELECT model_type, '{x}' AS x_name, '{y}' AS y_name, gauge_id, {x} AS x, {y} AS y FROM con_metrics WHERE {x} IS NOT NULL AND {y} IS NOT NULL" for x, y in CONSEQUENCES))
+by = "model_type, x_name, y_name"
+step("cons_slots", f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {uniform_sql('44', chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS slot, count(*) OVER (PARTITION BY {by}) AS n FROM cons_long QUALIFY n >= 8")
+step("cons_picks", f"SELECT {by}, draw, s.x, s.y FROM (SELECT {by}, draw, cast(floor({uniform_sql('44', 'draw', 'slot')} * n) AS bigint) + 1 AS slot FROM cons_slots, range(0, {CONSEQUENCE_DRAWS}) t(draw)) p JOIN cons_slots s USING ({by}, slot)")
+step("cons_draws", f"SELECT {by}, draw, corr(a, b) AS rho FROM (SELECT {by}, draw, {mean_rank('x', by + ', draw')} AS a, {mean_rank('y', by + ', draw')} AS b FROM cons_picks) GROUP BY ALL")
+step("cons_whole", f"SELECT {by}, count(*) AS n, corr(a, b) AS rho FROM (SELECT {by}, {mean_rank('x', by)} AS a, {mean_rank('y', by)} AS b FROM cons_slots) GROUP BY ALL")
+
+
+@query("model_consequence", f"""SELECT {by}, n, {r('w.rho', 'rho')}, rho_boot_median, rho_low, rho_high FROM cons_whole w JOIN (SELECT {by}, {r('median(rho)', 'rho_boot_median')}, {r('quantile_cont(rho, 25e-3)', 'rho_low')}, {r('quantile_cont(rho, 975e-3)', 'rho_high')}
+FROM cons_draws WHERE isfinite(rho) GROUP BY ALL) USING ({by})""")
 def _(spark, d):
-    m = metrics(spark, d).withColumn("skill_loss", F.lit(1.0) - F.col("nse")).withColumn("tau_ratio", F.log10(F.col("tau_model") / F.nullif(F.col("tau_obs"), F.lit(0.0))))
-    return rounded(stats.spearman(m, ["model_type"], "skill_loss", "tau_ratio"))
+    """The six pairs of skill, distance and memory error per model, with intervals over resampled gauges."""
+    pairs = F.array(*[F.struct(F.lit(x).alias("x_name"), F.lit(y).alias("y_name"), F.col(x).alias("x"), F.col(y).alias("y")) for x, y in CONSEQUENCES])
+    long = metrics(spark, d).select("model_type", "gauge_id", F.inline(pairs))
+    return rounded(resampling.boot_rho(long, ["model_type", "x_name", "y_name"], "gauge_id", "x", "y", CONSEQUENCE_DRAWS, 44))
+
 
+SUMMARISED = {"median_nse": "nse", "median_kge": "kge", "median_distance": "distance", "median_distance_raw": "distance_raw", "median_tau_error": "abs_log10_tau_error", "median_tau_obs": "tau_obs", "median_tau_model": "tau_model"}
 
+
+@query("consequence_summary", f"SELECT model_type, count(DISTINCT gauge_id) AS n_gauges, {', '.join(r(f'median({c})', n) for n, c in SUMMARISED.items())}, {r('median(distance) - median(distance_raw)', 'median_de_minus_raw')} FROM con_metrics GROUP BY model_type")
+def _(spark, d):
+    long = long_form(metrics(spark, d), ["model_type"], list(SUMMARISED.values()), "name", "value")
+    found = quantiles(long, ["model_type", "name"], "value", {"mid": 0.5})
+    wide = found.groupBy("model_type").agg(*[pick(F.col("name") == c, "mid").alias(n) for n, c in SUMMARISED.items()])
+    sizes = metrics(spark, d).groupBy("model_type").agg(F.count_distinct("gauge_id").alias("n_gauges"))
+    return rounded(sizes.join(wide, "model_type").withColumn("median_de_minus_raw", F.col("median_distance") - F.col("median_distance_raw")))
+
+
+#: Sets of models and how many of them a gauge needs.
+SETS = {"full5": (FORECASTS, 4), "independent3": (["last_day", "week_mean", "month_mean"], 3)}
+DECISION_DRAWS = 5000
+sets_sql = ", ".join(f"('{n}', '{m}', {least})" for n, (models, least) in SETS.items() for m in models)
+step("dec_usable", f"SELECT model_set, least, gauge_id, model_type, nse, abs_log10_tau_error AS e FROM con_metrics JOIN (VALUES {sets_sql}) t(model_set, model, least) ON model = model_type WHERE nse IS NOT NULL AND abs_log10_tau_error IS NOT NULL AND distance IS NOT NULL")
+step("dec_best", "SELECT model_set, gauge_id, least, count(*) OVER w AS n_models, model_type AS best_by_nse, e FROM dec_usable WINDOW w AS (PARTITION BY model_set, gauge_id) QUALIFY count(*) OVER w >= least AND row_number() OVER (PARTITION BY model_set, gauge_id ORDER BY nse DESC, model_type) = 1")
+step("dec_chosen", "SELECT model_set, gauge_id, variant, model_type AS best_by_distance, e, distance FROM dec_usable JOIN con_distances USING (gauge_id, model_type) QUALIFY count(*) OVER (PARTITION BY model_set, gauge_id, variant) >= least AND row_number() OVER (PARTITION BY model_set, gauge_id, variant ORDER BY distance, model_type) = 1")
+step("decisions", "SELECT model_set, gauge_id, variant, n_models, best_by_nse, best_by_distance, distance, best_by_nse <> best_by_distance AS disagree, c.e - b.e AS delta_tau_error FROM dec_chosen c JOIN dec_best b USING (model_set, gauge_id)")
+step("dec_long", "SELECT model_set, variant, 'all' AS subset, gauge_id, delta_tau_error AS v FROM decisions UNION ALL SELECT model_set, variant, 'disagreement', gauge_id, delta_tau_error FROM decisions WHERE disagree")
+dk = "model_set, variant, subset"
+step("dec_slots", f"SELECT *, row_number() OVER (PARTITION BY {dk} ORDER BY {uniform_sql(str(DECISION_SEED), chr(39) + 'order' + chr(39), 'gauge_id')}, gauge_id) AS slot, count(*) OVER (PARTITION BY {dk}) AS n FROM dec_long QUALIFY n >= 5")
+step("dec_draws", f"SELECT {dk}, draw, median(s.v) AS v FROM (SELECT {dk}, draw, cast(floor({uniform_sql(str(DECISION_SEED), 'draw', 'slot')} * n) AS bigint) + 1 AS slot FROM dec_slots, range(0, {DECISION_DRAWS}) t(draw)) p JOIN dec_slots s USING ({dk}, slot) GROUP BY ALL")
+step("dec_ends", f"SELECT {dk}, quantile_cont(v, 25e-3) AS ci_low, quantile_cont(v, 975e-3) AS ci_high FROM dec_draws GROUP BY ALL")
+step("dec_signed", f"SELECT {dk}, least(coalesce(sum(rk) FILTER (v > 0), 0), coalesce(sum(rk) FILTER (v < 0), 0)) AS wilcoxon_statistic FROM (SELECT {dk}, v, {mean_rank('a', dk)} AS rk FROM (SELECT *, round(abs(v), 12) AS a FROM dec_slots WHERE v <> 0)) GROUP BY ALL")
+step("dec_sums", f"SELECT {dk}, count(*) AS n_gauges, CASE WHEN count(*) >= 5 THEN median(v) END AS median_delta, CASE WHEN count(*) >= 5 THEN avg(v) END AS mean_delta, CASE WHEN count(*) >= 5 THEN avg(CASE WHEN v < 0 THEN 1e0 ELSE 0e0 END) END AS share_lower FROM dec_long GROUP BY ALL")
+
+
+@shared("decisions", cut=True)
 def decisions(spark, d):
-    return ev.decision_variants(metrics(spark, d), "gauge_id", "model_type", ["distance", "distance_raw"], 2)
+    return ev.decision_variants(metrics(spark, d), five_distances(spark, d), "gauge_id", "model_type", SETS)
 
 
-@query("decision_variants")
+@query("decision_variants", f"SELECT model_set, gauge_id, variant, n_models, best_by_nse, best_by_distance, {rs('distance')}, disagree, {rs('delta_tau_error')} FROM decisions")
 def _(spark, d):
     return rounded(decisions(spark, d))
 
 
-@query("decision_summary")
+@query("decision_summary", f"SELECT {dk}, n_gauges, {rs('median_delta', 'mean_delta', 'share_lower', 'ci_low', 'ci_high')}, {r('wilcoxon_statistic', digits=1)} FROM dec_sums LEFT JOIN dec_ends USING ({dk}) LEFT JOIN dec_signed USING ({dk})")
 def _(spark, d):
-    return rounded(ev.decision_summary(decisions(spark, d)))
+    return rounded(ev.decision_summary(decisions(spark, d), "gauge_id", DECISION_DRAWS, DECISION_SEED).drop("wilcoxon_p"), 6, wilcoxon_statistic=1)
 
 
-@query("threshold_grid")
+@query("threshold_grid", f"SELECT model_set, threshold, {rs('share_lower')}, share_lower >= threshold AS met FROM (SELECT model_set, avg(CASE WHEN delta_tau_error < 0 THEN 1e0 ELSE 0e0 END) AS share_lower FROM decisions WHERE variant = 'beta_de' GROUP BY ALL), (SELECT unnest([5e-1, 55e-2, 6e-1]) AS threshold)")
 def _(spark, d):
-    return rounded(ev.threshold_grid(ev.decision_summary(decisions(spark, d)), [0.5, 0.55, 0.6]))
+    return rounded(ev.threshold_grid(decisions(spark, d), [0.5, 0.55, 0.6]))
 
 
-@query("best_crosstab")
+@query("best_crosstab", "SELECT model_set, variant, best_by_nse, best_by_distance, count(*) AS n FROM decisions GROUP BY ALL")
 def _(spark, d):
-    return decisions(spark, d).groupBy("variant", "best_by_nse", "best_by_distance").agg(F.count(F.lit(1)).alias("n"))
+    return decisions(spark, d).groupBy("model_set", "variant", "best_by_nse", "best_by_distance").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ensemble_uncertainty", f"SELECT model_type, 'nse' AS metric, {r('quantile_cont(nse, 5e-2)', 'p05')}, {r('median(nse)', 'mid')}, {r('quantile_cont(nse, 95e-2)', 'p95')} FROM skill_rows WHERE nse IS NOT NULL GROUP BY 1 UNION ALL SELECT model_type, 'kge', {r('quantile_cont(kge, 5e-2)', 'p05')}, {r('median(kge)', 'mid')}, {r('quantile_cont(kge, 95e-2)', 'p95')} FROM skill_rows WHERE kge IS NOT NULL GROUP BY 1")
+step("rank_table", "SELECT gauge_id, arg_max(model_type, nse) AS best_by_score, arg_min(model_type, distance) AS best_by_distance FROM con_metrics WHERE nse IS NOT NULL AND distance IS NOT NULL GROUP BY gauge_id HAVING count(*) >= 3")
+
+
+@query("rank_sanity", f"""SELECT count(*) AS n, {r('avg(CASE WHEN n = best_by_score THEN 1e0 ELSE 0e0 END)', 'agree_best_nse')}, {r('avg(CASE WHEN b = best_by_distance THEN 1e0 ELSE 0e0 END)', 'agree_best_beta')}, {r('max(gap)', 'max_const_raw_gap')}
+FROM (SELECT gauge_id, any_value(best_by_nse) AS n, max(best_by_distance) FILTER (variant = 'beta_de') AS b, abs(max(distance) FILTER (variant = 'beta_raw') - max(distance) FILTER (variant = 'de_const')) AS gap FROM decisions WHERE model_set = 'full5' GROUP BY gauge_id) JOIN rank_table USING (gauge_id)""")
 def _(spark, d):
-    from tauscope.functions.tables import long_form
+    ranks = stats.kendall_ranks(metrics(spark, d), "gauge_id", "model_type", "nse", "distance")
+    return rounded(ev.rank_sanity(decisions(spark, d), ranks, "gauge_id", "full5"))
+
 
+@query("ensemble_uncertainty", f"SELECT model_type, 'nse' AS metric, {r('quantile_cont(nse, 5e-2)', 'p05')}, {r('median(nse)', 'mid')}, {r('quantile_cont(nse, 95e-2)', 'p95')} FROM skill_rows WHERE nse IS NOT NULL GROUP BY 1 UNION ALL SELECT model_type, 'kge', {r('quantile_cont(kge, 5e-2)', 'p05')}, {r('median(kge)', 'mid')}, {r('quantile_cont(kge, 95e-2)', 'p95')} FROM skill_rows WHERE kge IS NOT NULL GROUP BY 1")
+def _(spark, d):
     rows = long_form(skill(spark, d), ["model_type"], ["nse", "kge"], "metric", "value")
     return rounded(quantiles(rows, ["model_type", "metric"], "value", {"p05": 0.05, "mid": 0.5, "p95": 0.95}))
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, MIN_UNITS, anomaly, curve, daily, normal_sql, query, r, rounded, rs, series_steps, step, uniform_sql, unit_bins
+from catalog.base import KEYS, MIN_UNITS, anomaly, curve, daily, normal_sql, query, r, rounded, rs, series_steps, shared, step, uniform_sql, unit_bins
 from catalog.dispersion import chain, gauge_tau, reduction_sql, scores, tau_with_attributes
+from tauscope.functions.rng import normal
 from tauscope.operators import nulls, prep, resampling, spectral
 from tauscope.plans import ensemble
 from tauscope.sources import adapters
@@ -194,6 +195,20 @@ def _(spark, d):
     return rounded(resampling.perm_correlation(rows, "gauge_id", "x", "y", 200, SEED))
 
 
+step("part_rows", f"""SELECT b AS y, log10(greatest(tau, 1e-1)) AS t, -log10(greatest(tau, 1e-1)) + 1e-1 * {normal_sql(str(SEED), 'gauge_id')} AS f FROM gauge_tau
+JOIN (SELECT gauge_id, avg(beta) AS b FROM curve WHERE de BETWEEN 5e-1 AND 2e0 GROUP BY 1) USING (gauge_id)""")
+step("part_r2", "SELECT count(*) AS n, rt * rt AS t, rf * rf AS f, (rt * rt + rf * rf - 2 * rt * rf * c) / (1 - c * c) AS tf FROM (SELECT y, corr(y, t) OVER () AS rt, corr(y, f) OVER () AS rf, corr(t, f) OVER () AS c FROM part_rows) GROUP BY rt, rf, c")
+
+
+@query("variance_partition", f"SELECT subset, n, {rs('r2', 'unique_share')} FROM (SELECT n, unnest(['t', 'f', 't+f']) AS subset, unnest([t, f, tf]) AS r2, unnest([tf - f, tf - t, t + f - tf]) AS unique_share FROM part_r2)")
+def _(spark, d):
+    """Slope near the memory scale by memory time, by a noisy inverse of it, and by both."""
+    near = curve(spark, d).where(F.col("de").between(0.5, 2.0)).groupBy("gauge_id").agg(F.first("tau").alias("tau"), F.avg("beta").alias("y"))
+    t = F.log10(F.greatest("tau", F.lit(0.1)))
+    rows = near.withColumn("t", t).withColumn("f", -F.col("t") + 0.1 * normal(SEED, F.col("gauge_id")))
+    return rounded(resampling.variance_partition(rows, "y", ["t", "f"]))
+
+
 RANDOM_TAUS = 100
 
 
@@ -292,21 +307,60 @@ def _(spark, d):
     return rounded(nulls.water_years(indexed(spark, d), KEYS, "i", "day", "q", 1, SEED), 3)
 
 
+FAMILIES, NULL_DRAWS, MIN_DAYS = ["white", "seasonal", "block", "water_year"], 10, 365 * 5
+u_sql = lambda *parts: uniform_sql(str(SEED), "draw", "archive", "gauge_id", *parts)
+step("ens_base", f"SELECT archive, gauge_id, day, i, x AS q, avg(x) OVER w AS m, stddev_pop(x) OVER w AS s, count(*) OVER w AS n FROM anomaly WINDOW w AS (PARTITION BY gauge_id) QUALIFY count(*) OVER w >= {MIN_DAYS}")
+step("ens_drawn", f"SELECT * FROM ens_base, range(0, {NULL_DRAWS}) t(draw)")
+step("ens_white", f"SELECT archive, gauge_id, draw, i, m + s * {normal_sql(str(SEED), 'draw', 'archive', 'gauge_id', 'i')} AS x FROM ens_drawn")
+step("ens_levels", "SELECT archive, gauge_id, i, median(q) OVER (PARTITION BY gauge_id, dayofyear(day)) AS level, q - median(q) OVER (PARTITION BY gauge_id, dayofyear(day)) AS res FROM ens_base")
+step("ens_seasonal", f"SELECT a.archive, a.gauge_id, a.draw, a.i, l.level + b.res AS x FROM (SELECT *, cast(floor({u_sql('i')} * n) AS bigint) AS pick FROM ens_drawn) a JOIN ens_levels b ON a.gauge_id = b.gauge_id AND b.i = a.pick JOIN ens_levels l ON l.gauge_id = a.gauge_id AND l.i = a.i")
+step("ens_blocks", f"SELECT a.archive, a.gauge_id, a.draw, a.i, a.m, a.s, b.q AS x FROM (SELECT *, cast(floor({u_sql('i // 90')} * (n - 89)) AS bigint) + i % 90 AS pick FROM ens_drawn) a JOIN ens_base b ON a.gauge_id = b.gauge_id AND b.i = a.pick")
+step("ens_block", "SELECT archive, gauge_id, draw, i, (x - avg(x) OVER w) / stddev_pop(x) OVER w * s + m AS x FROM ens_blocks WINDOW w AS (PARTITION BY gauge_id, draw)")
+step("ens_wy_rows", "SELECT *, year(day) - CASE WHEN month(day) < 10 THEN 1 ELSE 0 END AS wy FROM ens_base")
+step("ens_wy_years", f"SELECT *, {u_sql('wy')} AS u FROM (SELECT archive, gauge_id, wy, count(*) AS len, min(i) AS f FROM ens_wy_rows GROUP BY ALL HAVING count(*) > 100), range(0, {NULL_DRAWS}) t(draw)")
+step("ens_wy_moved", "SELECT y.gauge_id, y.draw, y.t + r.i - y.f AS i, r.q AS x FROM (SELECT *, coalesce(sum(len) OVER (PARTITION BY gauge_id, draw ORDER BY u, wy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM ens_wy_years) y JOIN ens_wy_rows r ON r.gauge_id = y.gauge_id AND r.wy = y.wy")
+step("ens_water_year", "SELECT d.archive, d.gauge_id, d.draw, d.i, coalesce(x, q) AS x FROM ens_drawn d LEFT JOIN ens_wy_moved w ON w.gauge_id = d.gauge_id AND w.i = d.i AND w.draw = d.draw")
+step("ens_anomaly", " UNION ALL ".join(f"SELECT archive, gauge_id || '#{f}#' || draw AS gauge_id, i, x FROM ens_{f}" for f in FAMILIES))
+series_steps("ens", "series_lists")
+step("ens_null", "SELECT archive, split_part(gauge_id, '#', 1) AS gauge_id, split_part(gauge_id, '#', 2) AS family, cast(split_part(gauge_id, '#', 3) AS int) AS draw, tau, frequency, frequency * tau AS de, beta FROM ens_slope_rows JOIN ens_taus USING (archive, gauge_id) WHERE tau > 0")
+step("ens_rows", "SELECT family, draw, gauge_id, frequency, de, beta FROM ens_null UNION ALL SELECT 'observed', 0, gauge_id, frequency, de, beta FROM curve")
+ensemble_sql = reduction_sql(chain("ens_cut", "ens_rows", "family, draw"), "family, draw")
+step("ens_reductions", ensemble_sql.replace("round(", "(").replace(", 6) + 0e0", ")"))
+step("ens_excess", "SELECT n.*, o.reduction AS observed FROM ens_reductions n, (SELECT reduction FROM ens_reductions WHERE family = 'observed') o WHERE family <> 'observed' AND n.reduction IS NOT NULL")
+step("ens_summary", """SELECT family, any_value(observed) AS observed_reduction, count(*) AS n_null_draws, count(*) FILTER (reduction >= observed) AS null_draws_ge_observed, 1e2 * avg(CASE WHEN reduction <= observed THEN 1e0 ELSE 0e0 END) AS observed_percentile,
+quantile_cont(reduction, 5e-2) AS null_p05, median(reduction) AS null_median, quantile_cont(reduction, 95e-2) AS null_p95, any_value(observed) - median(reduction) AS observed_minus_null_median, (count(*) FILTER (reduction >= observed) + 1) / (count(*) + 1e0) AS empirical_p FROM ens_excess GROUP BY family""")
+SUMMARY = ("observed_reduction", "observed_percentile", "null_p05", "null_median", "null_p95", "observed_minus_null_median", "empirical_p")
+
+
+@shared("null_curves", cut=True)
+def null_curves(spark, d):
+    return ensemble.null_curves(anomaly(spark, d), KEYS, "q", FAMILIES, NULL_DRAWS, SEED, MIN_DAYS)
+
+
 def null_draws(spark, d):
-    return ensemble.null_ensemble(anomaly(spark, d), curve(spark, d), KEYS, "q", ["white", "block"], 4, SEED, MIN_UNITS, 12)
+    return ensemble.null_ensemble(null_curves(spark, d), curve(spark, d), MIN_UNITS)
 
 
-@query("null_ensemble")
+@query("null_ensemble", ensemble_sql)
 def _(spark, d):
     return rounded(null_draws(spark, d))
 
 
-@query("null_summary")
+@query("null_status", f"""SELECT b.archive, b.gauge_id, f.family, cast(t.draw AS int) AS draw, b.n_days, CASE WHEN reason = 'included' THEN 'included' ELSE 'failed' END AS status, reason, {rs('tau')}, coalesce(n_curve_points, 0) AS n_curve_points FROM (
+SELECT b.archive, b.gauge_id, f.family, t.draw, b.n_days, c.tau, c.n_curve_points, CASE WHEN n_days < {MIN_DAYS} THEN 'short_record' WHEN n_curve_points IS NULL THEN 'no_curve' ELSE 'included' END AS reason
+FROM (SELECT archive, gauge_id, count(*) AS n_days FROM anomaly GROUP BY ALL) b, (SELECT unnest({FAMILIES}) AS family) f, range(0, {NULL_DRAWS}) t(draw)
+LEFT JOIN (SELECT gauge_id, family, draw, any_value(tau) AS tau, count(*) AS n_curve_points FROM ens_null GROUP BY ALL) c ON c.gauge_id = b.gauge_id AND c.family = f.family AND c.draw = t.draw)""".replace("SELECT b.archive, b.gauge_id, f.family, cast(t.draw AS int) AS draw, b.n_days, CASE WHEN reason", "SELECT archive, gauge_id, family, cast(draw AS int) AS draw, n_days, CASE WHEN reason"))
+def _(spark, d):
+    return rounded(ensemble.null_status(anomaly(spark, d), null_curves(spark, d), KEYS, "q", FAMILIES, NULL_DRAWS, MIN_DAYS))
+
+
+@query("null_summary", f"SELECT family, n_null_draws, null_draws_ge_observed, {rs(*SUMMARY)} FROM ens_summary")
 def _(spark, d):
     return rounded(ensemble.null_summary(null_draws(spark, d)))
 
 
-@query("null_calibrated")
+@query("null_calibrated", f"""SELECT family, n_null_draws, null_draws_ge_observed, {rs(*SUMMARY, 'gauge_median', 'gauge_positive_share')}, {r('observed_reduction / null_median', 'observed_to_null_ratio')}, CASE WHEN observed_minus_null_median > 0 AND gauge_median > 0 AND gauge_positive_share > 5e-1 THEN 'passes excess gate'
+WHEN observed_reduction > 0 THEN 'coordinate effect positive; excess gate fails' ELSE 'coordinate effect not positive' END AS verdict FROM ens_summary, (SELECT median(1e0 - de_msr / raw_msr) AS gauge_median, avg(CASE WHEN 1e0 - de_msr / raw_msr > 0 THEN 1e0 ELSE 0e0 END) AS gauge_positive_share FROM gauge_scores)""")
 def _(spark, d):
     return rounded(ensemble.null_calibrated(ensemble.null_summary(null_draws(spark, d)), scores(spark, d)))
 
@@ -332,9 +386,9 @@ def _(spark, d):
     return rounded(ensemble.null_rejections(gauge_null(spark, d), ["family"]))
 
 
-@query("null_tau_match")
+@query("null_tau_match", f"SELECT family, count(*) AS n_series, {r('median(e)', 'median_error')}, {r('quantile_cont(e, 75e-2) - quantile_cont(e, 25e-2)', 'iqr_error')} FROM (SELECT family, log10(any_value(n.tau)) - log10(any_value(o.tau)) AS e FROM ens_null n JOIN gauge_tau o USING (gauge_id) GROUP BY family, draw, gauge_id) GROUP BY family")
 def _(spark, d):
-    return rounded(ensemble.null_tau_match(anomaly(spark, d), gauge_tau(spark, d), KEYS, "q", ["white", "block"], 2, SEED))
+    return rounded(ensemble.null_tau_match(null_curves(spark, d), gauge_tau(spark, d), KEYS))
 
 
 @query("empirical_p", f"""SELECT family, {r('avg(CASE WHEN f.beta >= c.beta THEN 1e0 ELSE 0e0 END)', 'p_share')}, {r('(count(*) FILTER (f.beta >= c.beta) + 1) / (count(*) + 1e0)', 'p_plus_one')},

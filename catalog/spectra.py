@@ -245,13 +245,6 @@ def _(spark, d):
     return rounded(archive.gauge_summary(tau, spectral.beta_window(curve(spark, d), KEYS), KEYS, 20))
 
 
-@query("estimator_grid")
-def _(spark, d):
-    a = anomaly(spark, d)
-    tau = spectral.tau_integral(spectral.acf(a, KEYS, "i", "q", 730), KEYS)
-    return rounded(archive.estimator_grid(a, tau, KEYS, "q", (128, 256, 512, 1024), (0.7, 0.9, 1.1), 5))
-
-
 @query("event_sensitivity")
 def _(spark, d):
     return rounded(archive.event_sensitivity(adapters.catalogue(spark, d), ["mag_type"], [2.5, 3.0, 3.5], ["H", "D"], TAUS))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tauscope.functions.expressions import finite
-from tauscope.functions.ranks import quantiles, same
+from tauscope.functions.ranks import hash_order, keep, quantiles, same
+from tauscope.functions.rng import index_draw, uniform
 from tauscope.operators.binning import assign_bins
+from tauscope.operators.resampling import boot_statistic
+from tauscope.operators.stats import wilcoxon
+from tauscope.session import materialise
 
 
 def skill(pred: DataFrame, keys: Sequence[str], obs: str = "q_obs", sim: str = "q_pred", min_pairs: int = 10) -> DataFrame:
@@ -97,17 +101,12 @@ def ensemble_mean(pred: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     ).withColumn("model_type", F.lit(name))
 
 
-def curve_distance(obs: DataFrame, sim: DataFrame, keys: Sequence[str], model: str, axis: str, n_bins: int = 18) -> DataFrame:
-    """Median gap of binned median slopes of a model and the observed curve.
+def curve_gap(both: DataFrame, group: Sequence[str], n_bins: int = 18) -> DataFrame:
+    """Median gap of two binned median curves per group; ``_side`` 0 is observed, 1 is modelled, ``x`` the log axis.
 
-    Both curves share bins between the pooled 10 and 90 percent of the log axis. Each
-    (gauge, model) group holds two short curves.
+    Both curves share bins between the pooled 10 and 90 percent of the axis. Each group holds two short curves.
     """
-    group = [*keys, model]
-    names = sim.select(*group).distinct()
-    o = obs.join(names, list(keys)).select(*group, F.lit(0).alias("_side"), F.log10(axis).alias("x"), "beta")
-    s = sim.select(*group, F.lit(1).alias("_side"), F.log10(axis).alias("x"), "beta")
-    both = o.unionByName(s).where(F.col("x").isNotNull())
+    both = both.where(F.col("x").isNotNull())
     limits = both.groupBy(*group).agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.9))).alias("_q"))
     edges = limits.select(
         *group, F.col("_q")[0].alias("lo"), ((F.col("_q")[1] - F.col("_q")[0]) / F.lit(float(n_bins))).alias("width"), F.lit(n_bins).alias("n_bins")
@@ -120,6 +119,50 @@ def curve_distance(obs: DataFrame, sim: DataFrame, keys: Sequence[str], model: s
     return sides.where(gap.isNotNull()).groupBy(*group).agg(F.median(gap).alias("distance"), F.count(F.lit(1)).alias("n_common_bins"))
 
 
+def curve_distance(obs: DataFrame, sim: DataFrame, keys: Sequence[str], model: str, axis: str, n_bins: int = 18) -> DataFrame:
+    """Distance of every model's curve from the observed one on one axis."""
+    group = [*keys, model]
+    names = sim.select(*group).distinct()
+    o = obs.join(names, list(keys)).select(*group, F.lit(0).alias("_side"), F.log10(axis).alias("x"), "beta")
+    s = sim.select(*group, F.lit(1).alias("_side"), F.log10(axis).alias("x"), "beta")
+    return curve_gap(o.unionByName(s), group, n_bins)
+
+
+#: The range of de whose mean slope is the scalar distance.
+SCALAR_DE = (0.5, 2.0)
+
+
+def decision_distances(obs: DataFrame, sim: DataFrame, unit: str, model: str, seed: int, n_bins: int = 18) -> DataFrame:
+    """``unit, model, variant, distance``: five distances of every model's curve (frequency, tau, beta) from the observed one.
+
+    beta_de on each curve's own memory time, beta_raw on frequency, de_const on the median observed memory time for both curves
+    (equal to beta_raw by construction: a check), de_shuff on memory times of random gauges, drawn with replacement for the observed
+    curve of a gauge and for each of its models, scalar the difference of mean slopes for 0.5 <= de <= 2.
+    """
+    taus = keep(obs.groupBy(unit).agg(F.first("tau").alias("_t")))
+    constant = quantiles(taus, [], "_t", {"_const": 0.5})
+    pool = keep(hash_order(taus, [], uniform(seed, "order", F.col(unit)), [unit], "_slot"))
+    size = pool.agg(F.count(F.lit(1)).alias("_size"))
+    names = keep(sim.select(unit, model).distinct().join(taus.select(unit), unit, "left_semi"))
+
+    def drawn(rows: DataFrame, keys: list[str], *parts) -> DataFrame:
+        """A random gauge's memory time for every row."""
+        slots = same(rows, size, []).withColumn("_slot", index_draw(F.col("_size"), seed, *parts))
+        return slots.join(pool.select("_slot", F.col("_t").alias("_shuff")), "_slot").select(*keys, "_shuff")
+
+    observed = obs.join(drawn(taus.select(unit), [unit], "obs", F.col(unit)), unit).join(names, unit).withColumn("_side", F.lit(0))
+    modelled = sim.join(drawn(names, [unit, model], "sim", F.col(unit), F.col(model)), [unit, model]).withColumn("_side", F.lit(1))
+    columns = [unit, model, "_side", "frequency", "tau", "beta", "_shuff"]
+    both = keep(same(observed.select(columns).unionByName(modelled.select(columns)), constant, []))
+    axis = lambda name, factor: F.struct(F.lit(name).alias("variant"), F.log10(F.col("frequency") * factor).alias("x"))
+    axes = F.array(axis("beta_de", F.col("tau")), axis("beta_raw", F.lit(1.0)), axis("de_const", F.col("_const")), axis("de_shuff", F.col("_shuff")))
+    gaps = curve_gap(both.select(unit, model, "_side", "beta", F.inline(axes)), [unit, model, "variant"], n_bins).drop("n_common_bins")
+    inside = both.where((F.col("frequency") * F.col("tau")).between(*SCALAR_DE))
+    level = lambda side: F.avg(F.when(F.col("_side") == side, F.col("beta")))
+    scalar = inside.groupBy(unit, model).agg(F.abs(level(1) - level(0)).alias("distance")).where(F.col("distance").isNotNull())
+    return gaps.unionByName(scalar.select(unit, model, F.lit("scalar").alias("variant"), "distance"))
+
+
 def metric_rows(scores: DataFrame, distances: DataFrame, tau_obs: DataFrame, tau_sim: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     """One row per gauge and model: skill, memory times, log error and distance."""
     group = [*keys, model]
@@ -143,37 +186,61 @@ def pairwise_delta(metrics: DataFrame, keys: Sequence[str], model: str, value: s
     ).select(*keys, "model", "baseline", (F.col("_v") - F.col("_b")).alias("delta")).where(F.col("delta").isNotNull())
 
 
-def decision_variants(metrics: DataFrame, unit: str, model: str, distances: Sequence[str], min_models: int) -> DataFrame:
-    """Best model by skill and by each distance, and the change in memory error."""
-    usable = metrics.where(F.col("nse").isNotNull() & F.col("abs_log10_tau_error").isNotNull())
-    best = usable.groupBy(unit).agg(
-        F.count(F.lit(1)).alias("n_models"),
-        F.min_by(F.struct(F.col(model).alias("m"), F.col("abs_log10_tau_error").alias("e")), F.struct(-F.col("nse"), F.col(model))).alias("_n"),
-    ).where(F.col("n_models") >= min_models)
-    pairs = F.array(*[F.struct(F.lit(c).alias("variant"), F.col(c).alias("_dist")) for c in distances])
-    long = usable.select(unit, model, "abs_log10_tau_error", F.inline(pairs)).where(F.col("_dist").isNotNull())
-    pick = F.min_by(F.struct(F.col(model).alias("m"), F.col("abs_log10_tau_error").alias("e")), F.struct("_dist", model))
-    chosen = long.groupBy(unit, "variant").agg(pick.alias("_d"), F.count(F.lit(1)).alias("_k")).where(F.col("_k") >= min_models)
-    return chosen.join(best, unit).select(
-        unit, "variant", "n_models", F.col("_n.m").alias("best_by_nse"), F.col("_d.m").alias("best_by_distance"),
+def decision_variants(metrics: DataFrame, distances: DataFrame, unit: str, model: str, sets: Mapping[str, tuple[Sequence[str], int]]) -> DataFrame:
+    """Best model by skill and by each distance, per set of models, and what the choice does to the memory error.
+
+    ``sets`` maps a name to its models and the least number of them a unit needs, with skill, memory error and both curve distances known;
+    a variant needs as many distances. Ties go to the first model by name.
+    """
+    member = F.array(*[F.struct(F.lit(n).alias("model_set"), F.array(*[F.lit(m) for m in models]).alias("_of"), F.lit(least).alias("_least")) for n, (models, least) in sets.items()])
+    curves = distances.where(F.col("variant").isin("beta_de")).select(unit, model)
+    usable = metrics.where(F.col("nse").isNotNull() & F.col("abs_log10_tau_error").isNotNull()).join(curves, [unit, model], "left_semi")
+    usable = usable.select(unit, model, "nse", "abs_log10_tau_error", F.inline(member)).where(F.array_contains("_of", F.col(model)))
+    usable = keep(usable)
+    named = F.struct(F.col(model).alias("m"), F.col("abs_log10_tau_error").alias("e"))
+    keys = ["model_set", unit]
+    best = usable.groupBy(*keys, "_least").agg(F.count(F.lit(1)).alias("n_models"), F.min_by(named, F.struct(-F.col("nse"), F.col(model))).alias("_n"))
+    best = best.where(F.col("n_models") >= F.col("_least"))
+    long = usable.select(*keys, model, "abs_log10_tau_error").join(distances, [unit, model])
+    chosen = long.groupBy(*keys, "variant").agg(F.min_by(named, F.struct("distance", model)).alias("_d"), F.min("distance").alias("distance"), F.count(F.lit(1)).alias("_k"))
+    return chosen.join(best, keys).where(F.col("_k") >= F.col("_least")).select(
+        *keys, "variant", "n_models", F.col("_n.m").alias("best_by_nse"), F.col("_d.m").alias("best_by_distance"), "distance",
         (F.col("_n.m") != F.col("_d.m")).alias("disagree"), (F.col("_d.e") - F.col("_n.e")).alias("delta_tau_error"),
     )
 
 
-def decision_summary(decisions: DataFrame) -> DataFrame:
-    """All gauges and disagreement gauges: median, mean and share with lower error."""
-    both = decisions.withColumn("subset", F.explode(F.when(F.col("disagree"), F.array(F.lit("all"), F.lit("disagreement"))).otherwise(F.array(F.lit("all")))))
-    keys = ["variant", "subset"]
-    base = both.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_gauges"), F.avg("delta_tau_error").alias("mean_delta"),
-        F.avg(F.when(F.col("delta_tau_error") < 0, 1.0).otherwise(0.0)).alias("share_lower"),
-    )
-    return base.join(quantiles(both, keys, "delta_tau_error", {"median_delta": 0.5}), keys)
-
+def decision_summary(decisions: DataFrame, unit: str, n_boot: int, seed: int, min_n: int = 5) -> DataFrame:
+    """Change in memory error per set, variant and subset (all units, those where the choices disagree).
 
-def threshold_grid(summary: DataFrame, thresholds: Sequence[float], subset: str = "all") -> DataFrame:
-    rows = summary.where(F.col("subset") == subset).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    return rows.select("variant", "threshold", "share_lower", (F.col("share_lower") >= F.col("threshold")).alias("met"))
+    Median, mean, share below 0, the interval of the median over resampled units and the signed-rank test; below ``min_n`` units only their number.
+    """
+    both = decisions.withColumn("subset", F.explode(F.when(F.col("disagree"), F.array(F.lit("all"), F.lit("disagreement"))).otherwise(F.array(F.lit("all")))))
+    keys = ["model_set", "variant", "subset"]
+    both = materialise(both.select(*keys, unit, "delta_tau_error"))
+    sizes = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gauges"))
+    enough = materialise(both.join(sizes.where(F.col("n_gauges") >= min_n).select(*keys), keys, "left_semi"))
+    share = enough.groupBy(*keys).agg(F.avg(F.when(F.col("delta_tau_error") < 0, 1.0).otherwise(0.0)).alias("share_lower"))
+    boot = boot_statistic(enough, keys, unit, "delta_tau_error", n_boot, seed).select(
+        *keys, F.col("median").alias("median_delta"), F.col("mean").alias("mean_delta"), F.col("median_low").alias("ci_low"), F.col("median_high").alias("ci_high"))
+    tests = wilcoxon(enough, keys, "delta_tau_error").select(*keys, F.col("statistic").alias("wilcoxon_statistic"), F.col("p_value").alias("wilcoxon_p"))
+    return sizes.join(boot, keys, "left").join(share, keys, "left").join(tests, keys, "left")
+
+
+def threshold_grid(decisions: DataFrame, thresholds: Sequence[float], variant: str = "beta_de") -> DataFrame:
+    """Whether the share of units with a lower memory error reaches each threshold, per set of models."""
+    share = decisions.where(F.col("variant") == variant).groupBy("model_set").agg(F.avg(F.when(F.col("delta_tau_error") < 0, 1.0).otherwise(0.0)).alias("share_lower"))
+    rows = share.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    return rows.select("model_set", "threshold", "share_lower", (F.col("share_lower") >= F.col("threshold")).alias("met"))
+
+
+def rank_sanity(decisions: DataFrame, ranks: DataFrame, unit: str, model_set: str) -> DataFrame:
+    """How far the decisions of a set agree with a rank table (``best_by_score, best_by_distance`` per unit), and how far de_const is from beta_raw."""
+    own = decisions.where(F.col("model_set") == model_set)
+    of = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
+    table = own.groupBy(unit).agg(F.first("best_by_nse").alias("_n"), of("beta_de", "best_by_distance").alias("_b"), F.abs(of("beta_raw", "distance") - of("de_const", "distance")).alias("_gap"))
+    same_as = lambda a, b: F.avg(F.when(F.col(a) == F.col(b), 1.0).otherwise(0.0))
+    return table.join(ranks, unit).agg(
+        F.count(F.lit(1)).alias("n"), same_as("_n", "best_by_score").alias("agree_best_nse"), same_as("_b", "best_by_distance").alias("agree_best_beta"), F.max("_gap").alias("max_const_raw_gap"))
 
 
 def standardize_features(rows: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -20,6 +20,7 @@ from tauscope.functions.rng import index_draw, uniform
 from tauscope.functions.tables import long_form, pick
 from tauscope.operators.binning import archive_reduction, bin_variances, dispersion, unit_bin_median, unpivot_axes
 from tauscope.operators.stats import spearman
+from tauscope.session import materialise
 
 
 def each_draw(df: DataFrame, n_draws: int) -> DataFrame:
@@ -208,7 +209,8 @@ def boot_statistic(df: DataFrame, groups: Sequence[str], unit: str, value: str,
     at = lambda place: F.max(F.when((F.col("_r_first") <= place) & (F.col("_r_last") >= place), F.col(value)))
     low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / F.lit(2))
     middle = ranked.join(sizes, by).groupBy(*by, "mean", "positive").agg(at(low).alias("_a"), at(high).alias("_b"))
-    draws = middle.withColumn("median", (F.col("_a") + F.col("_b")) / 2)
+    # written: one row per draw, read several times by the intervals, whose plans would each repeat all of the above
+    draws = materialise(middle.select(*by, "mean", "positive", ((F.col("_a") + F.col("_b")) / 2).alias("median")))
     observed = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.avg(F.when(F.col(value) > 0, 1.0).otherwise(0.0)).alias("positive"))
     centre = quantiles(rows, groups, value, {"median": 0.5})
     return same(same(observed, centre, groups), interval(draws, groups, ["mean", "median", "positive"]), groups)
@@ -231,7 +233,8 @@ def boot_rho(df: DataFrame, groups: Sequence[str], unit: str, x: str, y: str, n_
         F.sum(w).alias("_n"), F.sum(w * F.col("_rx") * F.col("_ry")).alias("_xy"), F.sum(w * F.col("_rx") * F.col("_rx")).alias("_xx"), F.sum(w * F.col("_ry") * F.col("_ry")).alias("_yy"))
     centre = F.col("_n") * F.pow((F.col("_n") + 1) / F.lit(2.0), F.lit(2.0))
     spread = F.sqrt((F.col("_xx") - centre) * (F.col("_yy") - centre))
-    draws = sums.withColumn("rho", (F.col("_xy") - centre) / F.nullif(spread, F.lit(0.0))).where(F.col("rho").isNotNull())
+    draws = sums.select(*by, ((F.col("_xy") - centre) / F.nullif(spread, F.lit(0.0))).alias("rho")).where(F.col("rho").isNotNull())
+    draws = materialise(draws)
     found = quantiles(draws, groups, "rho", {"rho_boot_median": 0.5, "rho_low": 0.025, "rho_high": 0.975})
     return same(spearman(rows, groups, "_x", "_y", min_n), found, groups)
 
@@ -317,6 +320,41 @@ def perm_correlation(df: DataFrame, unit: str, x: str, y: str, n_draws: int, see
     )
 
 
+def variance_partition(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
+    """R squared of y on every subset of a few predictors, and the share that belongs to the subset alone.
+
+    All regressions come from one covariance matrix, aggregated once over the rows that have all columns. ``unique_share`` of a
+    subset is what only its members together explain: the alternating sum over its parts of what is lost without them (for two predictors
+    a and b: R2(ab) - R2(b), R2(ab) - R2(a), and the common part R2(a) + R2(b) - R2(ab)). The shares add up to the R squared of all.
+    """
+    columns = [y, *xs]
+    rows = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    cov = rows.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.covar_pop(a, b) for a in columns for b in columns]).alias("_cov"))
+    k = len(xs)
+    names = ["+".join(x for i, x in enumerate(xs) if m >> i & 1) for m in range(1, 1 << k)]
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+    def explained(flat: pd.Series) -> pd.Series:
+        out = []
+        for values in flat:
+            c = np.asarray(values, dtype=float).reshape(k + 1, k + 1)
+            r2 = [0.0]
+            for m in range(1, 1 << k):
+                use = [i + 1 for i in range(k) if m >> i & 1]
+                r2.append(float(c[0, use] @ np.linalg.pinv(c[np.ix_(use, use)], rcond=1e-12) @ c[use, 0] / c[0, 0]) if c[0, 0] > 0 else float("nan"))
+            full = (1 << k) - 1
+            own = []
+            for m in range(1, 1 << k):  # inclusion and exclusion over the parts of m
+                parts = [p for p in range(m + 1) if p & m == p]
+                own.append(sum((-1) ** (bin(p).count("1") + 1) * r2[full & ~m | p] for p in parts))
+            out.append([r2[1:], own])
+        return pd.Series(out)
+
+    found = cov.select("n", explained("_cov").alias("_e"))
+    zipped = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("subset"), F.col("_e")[0].alias("r2"), F.col("_e")[1].alias("unique_share"))
+    return found.select("n", F.inline(zipped)).select(F.col("subset"), "n", "r2", "unique_share")
+
+
 def crossfit_tau(segment_tau: DataFrame, keys: Sequence[str], segment: str) -> DataFrame:
     """For every segment the median memory time of the gauge's other segments; with two of them this is the opposite half.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tauscope.functions.expressions import SECONDS_PER_DAY, energy_joule
 from tauscope.operators import prep, spectral
 from tauscope.operators.binning import archive_reduction
+from tauscope.session import materialise
 
 
 def gauge_anomaly(daily: DataFrame, keys: Sequence[str], day: str = "day", value: str = "q") -> DataFrame:
@@ -97,20 +98,21 @@ def estimator_grid(
     anomaly: DataFrame, tau: DataFrame, keys: Sequence[str], value: str, npersegs: Sequence[int],
     windows: Sequence[float], min_units: int,
 ) -> DataFrame:
-    """Reduction for every segment length and slope window; memory times computed once."""
-    parts = []
-    for nperseg in npersegs:
-        psd = spectral.welch_psd(anomaly, keys, "i", value, 1.0, nperseg)
-        for window in windows:
-            slopes = spectral.local_slope(psd, keys, window).join(tau, list(keys))
-            points = spectral.de_coordinate(slopes, F.col("tau")).withColumnRenamed("f_center", "frequency")
-            parts.append(
-                points.select(F.lit(nperseg).alias("nperseg"), F.lit(window).alias("window"), "gauge_id", "frequency", "de", "beta")
-            )
-    stacked = parts[0]
-    for part in parts[1:]:
+    """Reduction for every segment length and slope window; memory times and each spectrum are computed once.
+
+    The spectra of all lengths are one small table with the length as a key; the slope windows read that table.
+    """
+    spectra = [spectral.welch_psd(anomaly, keys, "i", value, 1.0, n).withColumn("nperseg", F.lit(n)) for n in npersegs]
+    stacked = spectra[0]
+    for part in spectra[1:]:
         stacked = stacked.unionByName(part)
-    return archive_reduction(stacked, ["nperseg", "window"], "gauge_id", min_units)
+    stacked = materialise(stacked)
+    slopes = None
+    for window in windows:
+        part = spectral.local_slope(stacked, [*keys, "nperseg"], window).withColumn("window", F.lit(window))
+        slopes = part if slopes is None else slopes.unionByName(part)
+    points = spectral.de_coordinate(slopes.join(tau.select(*keys, "tau"), list(keys)), F.col("tau")).withColumnRenamed("f_center", "frequency")
+    return archive_reduction(points, ["nperseg", "window"], "gauge_id", min_units)
 
 
 def event_sensitivity(

@@ -16,11 +16,13 @@ from tauscope.session import materialise
 
 
 def null_curves(
-    anomaly: DataFrame, keys: Sequence[str], value: str, families: Sequence[str], n_draws: int, seed: int
+    anomaly: DataFrame, keys: Sequence[str], value: str, families: Sequence[str], n_draws: int, seed: int, min_days: int = 365 * 20
 ) -> DataFrame:
-    """Curve points of every null series, on its own memory time."""
+    """Curve points of every null series of gauges with at least ``min_days`` values, on its own memory time; a series is a (gauge, family, draw)."""
+    long = anomaly.groupBy(*keys).agg(F.count(value).alias("_days")).where(F.col("_days") >= min_days)
+    usable = keep(anomaly.join(long.select(*keys), list(keys), "left_semi"))
     parts = [
-        nulls.null_series(anomaly, keys, "i", "day", value, f, n_draws, seed).withColumn("family", F.lit(f)) for f in families
+        nulls.null_series(usable, keys, "i", "day", value, f, n_draws, seed).withColumn("family", F.lit(f)) for f in families
     ]
     stacked = parts[0]
     for part in parts[1:]:
@@ -28,12 +30,26 @@ def null_curves(
     return gauge_curves(stacked, [*keys, "family", "draw"], "x")
 
 
-def null_ensemble(
-    anomaly: DataFrame, curve: DataFrame, keys: Sequence[str], value: str, families: Sequence[str], n_draws: int,
-    seed: int, min_units: int, n_bins: int,
+def null_status(
+    anomaly: DataFrame, curves: DataFrame, keys: Sequence[str], value: str, families: Sequence[str], n_draws: int, min_days: int = 365 * 20
 ) -> DataFrame:
-    """Observed and null reductions: one row per family and draw, both variances kept."""
-    null = null_curves(anomaly, keys, value, families, n_draws, seed)
+    """One row per gauge, family and draw that was asked for: included, or failed with its reason.
+
+    What has no curve points is found by the join of what was asked for with what came out, not by an exception in a loop: short_record
+    for a gauge under ``min_days`` values, no_curve for a series without a positive memory time or a spectrum.
+    """
+    asked = anomaly.groupBy(*keys).agg(F.count(value).alias("n_days"))
+    asked = asked.withColumn("family", F.explode(F.array(*[F.lit(f) for f in families]))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
+    every = [*keys, "family", "draw"]
+    came = curves.groupBy(*every).agg(F.first("tau").alias("tau"), F.count(F.lit(1)).alias("n_curve_points"))
+    reason = F.when(F.col("n_days") < min_days, "short_record").when(F.col("n_curve_points").isNull(), "no_curve").otherwise("included")
+    rows = asked.join(came, every, "left").withColumn("reason", reason)
+    status = F.when(F.col("reason") == "included", "included").otherwise("failed")
+    return rows.select(*every, "n_days", status.alias("status"), "reason", "tau", F.coalesce("n_curve_points", F.lit(0)).alias("n_curve_points"))
+
+
+def null_ensemble(null: DataFrame, curve: DataFrame, min_units: int, n_bins: int = 24) -> DataFrame:
+    """Observed and null reductions: one row per family and draw, both variances kept. ``null`` comes from :func:`null_curves`."""
     rows = null.select("family", "draw", "gauge_id", "frequency", "de", "beta").unionByName(
         curve.select(F.lit("observed").alias("family"), F.lit(0).alias("draw"), "gauge_id", "frequency", "de", "beta")
     )
@@ -101,21 +117,14 @@ def empirical_p(pairs: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def null_tau_match(
-    anomaly: DataFrame, observed_tau: DataFrame, keys: Sequence[str], value: str, families: Sequence[str], n_draws: int, seed: int
-) -> DataFrame:
-    """How well null series keep the memory time: median and IQR of the log10 error."""
-    group = [*keys, "family", "draw"]
-    parts = [
-        nulls.null_series(anomaly, keys, "i", "day", value, f, n_draws, seed).withColumn("family", F.lit(f)) for f in families
-    ]
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    tau = spectral.tau_integral(spectral.acf(stacked, group, "i", "x"), group).where(F.col("tau") > 0)
+def null_tau_match(null: DataFrame, observed_tau: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """How well null series keep the memory time: series, median and interquartile range of the log10 error per family."""
+    tau = null.groupBy(*keys, "family", "draw").agg(F.first("tau").alias("tau"))
     both = tau.join(observed_tau.select("gauge_id", F.col("tau").alias("_observed")), "gauge_id")
     error = both.withColumn("_error", F.log10("tau") - F.log10("_observed"))
-    return quantiles(error, ["family"], "_error", {"q25": 0.25, "median_error": 0.5, "q75": 0.75})
+    found = quantiles(error, ["family"], "_error", {"_q25": 0.25, "median_error": 0.5, "_q75": 0.75})
+    sizes = error.groupBy("family").agg(F.count("_error").alias("n_series"))
+    return sizes.join(found, "family").select("family", "n_series", "median_error", (F.col("_q75") - F.col("_q25")).alias("iqr_error"))
 
 
 def valid_segments(segments: DataFrame, keys: Sequence[str], segment: str, count: int, min_years: float, max_missing: float, value: str = "q") -> DataFrame:
