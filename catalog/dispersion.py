@@ -78,13 +78,13 @@ def _(spark, d):
 
 
 CONFIGS = [12, 16, 20, 24, 28, 32, 36]
-GATES = [3, 5, 10]
+GATES = [3, 5, 8, 10, 15]
 step("sens_edges", "SELECT axis, quantile_cont(x, 25e-3) AS lo, quantile_cont(x, 975e-3) AS hi, unnest([12, 16, 20, 24, 28, 32, 36]) AS n_bins FROM points GROUP BY axis")
 step("sens_placed", f"""SELECT * FROM (SELECT axis, gauge_id, beta, n_bins, {bin_sql(width='((hi - lo) / cast(n_bins AS double))')} AS bin_id FROM points JOIN sens_edges USING (axis)) WHERE bin_id IS NOT NULL""")
 step("sens_bins", """SELECT axis, n_bins, bin_id, count(*) AS n_units, var_samp(b) AS v, quantile_cont(b, 75e-2) - quantile_cont(b, 25e-2) AS q
 FROM (SELECT axis, n_bins, gauge_id, bin_id, median(beta) AS b FROM sens_placed GROUP BY ALL) GROUP BY ALL""")
 step("sens_disp", """SELECT axis, n_bins, min_units, sum(v * n_units) / sum(n_units) AS v, sum(q * n_units) / sum(n_units) AS q, count(*) AS n
-FROM sens_bins JOIN (VALUES (3), (5), (10)) t(min_units) ON n_units >= min_units WHERE v IS NOT NULL GROUP BY ALL""")
+FROM sens_bins JOIN (VALUES (3), (5), (8), (10), (15)) t(min_units) ON n_units >= min_units WHERE v IS NOT NULL GROUP BY ALL""")
 
 
 @query("reduction_sensitivity", f"""SELECT d.n_bins AS bin_config, d.min_units, d.n AS de_bins, {r('1e0 - d.v / f.v', 'variance_reduction')}, {r('1e0 - d.q / f.q', 'iqr_reduction')}
@@ -121,7 +121,7 @@ def _(spark, d):
 
 
 step("ref_points", "SELECT gauge_id, k, log10_de AS x, beta, ar1 FROM ar1_curve")
-step("ref_edges", "SELECT quantile_cont(x, 5e-3) AS lo, (quantile_cont(x, 995e-3) - quantile_cont(x, 5e-3)) / 30e0 AS width, 30 AS n_bins FROM ref_points")
+step("ref_edges", "SELECT quantile_cont(x, 5e-3) AS lo, (quantile_cont(x, 995e-3) - quantile_cont(x, 5e-3)) / 90e0 AS width, 90 AS n_bins FROM ref_points")
 step("ref_curve", f"""SELECT bin_id, count(*) AS n_points, median(ar1) AS mid, quantile_cont(ar1, 25e-2) AS q25, quantile_cont(ar1, 75e-2) AS q75, any_value(lo + (bin_id + 5e-1) * width) AS center
 FROM (SELECT *, {bin_sql()} AS bin_id FROM ref_points, ref_edges) WHERE bin_id IS NOT NULL GROUP BY bin_id""")
 step("ref_brackets", "SELECT center AS x0, mid AS y0, lead(center) OVER (ORDER BY center) AS x1, lead(mid) OVER (ORDER BY center) AS y1 FROM ref_curve")
@@ -133,7 +133,7 @@ def with_ar1(spark, d):
 
 
 def reference(spark, d):
-    return binning.pooled_curve(with_ar1(spark, d), [], 30, 0.005, 0.995, "ar1")
+    return binning.pooled_curve(with_ar1(spark, d), [], 90, 0.005, 0.995, "ar1")
 
 
 @query("reference_residual", f"""SELECT gauge_id, k, {r('min_by(y0 + (y1 - y0) * (x - x0) / (x1 - x0), x0)', 'reference')}, {r('any_value(beta) - min_by(y0 + (y1 - y0) * (x - x0) / (x1 - x0), x0)', 'residual')}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import KEYS, anomaly, curve, daily, query, r, rounded, rs, step
+from catalog.base import KEYS, ORACLES, STEPS, anomaly, curve, daily, query, r, rounded, rs, step
 from catalog.ingest import wells
 from tauscope.functions.expressions import norm_gauge
 from tauscope.functions.tables import long_form
@@ -130,6 +130,18 @@ def _(spark, d):
     return rounded(out.select("user_id", "k", F.log10("frequency").alias("log_f"), "psd"))
 
 
+step("full_waves", STEPS["user_waves"].replace("31e0", "511e0").replace("range(0, 32)", "range(0, 512)"))
+step("full_sums", STEPS["user_sums"].replace("user_waves", "full_waves"))
+
+
+@query("lomb_scargle_full", ORACLES["lomb_scargle"][ORACLES["lomb_scargle"].index("SELECT user_id, k, round(log10(frequency)"):].replace("user_sums", "full_sums"))
+def _(spark, d):
+    """The whole grid of 512 frequencies; ``lomb_scargle`` above is the short grid of the benchmark."""
+    e = adapters.table(spark, d, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t"), F.col("value").alias("y"))
+    out = spectral.lomb_scargle(e, ["user_id"], "t", "y", 512)
+    return rounded(out.select("user_id", "k", F.log10("frequency").alias("log_f"), "psd"))
+
+
 step("window_rows", """
 SELECT archive, gauge_id, count(*) AS n_beta_rows, avg(beta) AS mean_beta_all, median(beta) AS median_beta_all,
        count(*) FILTER (de BETWEEN 5e-1 AND 2e0) AS n_beta_de_window, avg(beta) FILTER (de BETWEEN 5e-1 AND 2e0) AS mean_beta_de_window,

@@ -8,6 +8,7 @@ from catalog.base import curve, query, r, rounded, rs, step
 from catalog.dispersion import gauge_tau, tau_with_attributes
 from catalog.ingest import chemistry, tracer
 from catalog.spectra import well_levels
+from tauscope.functions.ranks import quantiles
 from tauscope.operators import spatial, spectral, stats
 from tauscope.sources import adapters
 
@@ -116,17 +117,15 @@ def _(spark, d):
     return rounded(stats.kendall_ranks(rows, "unit", "model", "score", "distance"))
 
 
-step("pair_taus", "SELECT median(tau) FILTER (archive = 'ASIA') AS asia_tau, median(tau) FILTER (archive = 'EUROPE') AS europe_tau, count(*) FILTER (archive = 'ASIA') AS asia_gauges, count(*) FILTER (archive = 'EUROPE') AS europe_gauges FROM (SELECT DISTINCT archive, gauge_id, tau FROM curve)")
+step("archive_taus", "SELECT archive, count(*) AS n_gauges, median(tau) AS median_tau, quantile_cont(tau, 25e-2) AS tau_q25, quantile_cont(tau, 75e-2) AS tau_q75 FROM (SELECT DISTINCT archive, gauge_id, tau FROM curve) GROUP BY archive")
 
 
-@query("archive_compare", f"SELECT {rs('asia_tau', 'europe_tau')}, asia_gauges, europe_gauges FROM pair_taus")
+@query("archive_compare", f"SELECT archive, n_gauges, {rs('median_tau', 'tau_q25', 'tau_q75')} FROM archive_taus")
 def _(spark, d):
+    """Memory times of all archives side by side, one row each."""
     rows = curve(spark, d).groupBy("archive", "gauge_id").agg(F.first("tau").alias("tau"))
-    on = lambda a: F.when(F.col("archive") == a, F.col("tau"))
-    return rounded(rows.agg(
-        F.median(on("ASIA")).alias("asia_tau"), F.median(on("EUROPE")).alias("europe_tau"),
-        F.count(on("ASIA")).alias("asia_gauges"), F.count(on("EUROPE")).alias("europe_gauges"),
-    ))
+    spread = quantiles(rows, ["archive"], "tau", {"median_tau": 0.5, "tau_q25": 0.25, "tau_q75": 0.75})
+    return rounded(rows.groupBy("archive").agg(F.count(F.lit(1)).alias("n_gauges")).join(spread, "archive"))
 
 
 step("cq_rows", "SELECT gauge_id, constituent, sample_date, q_use, concentration, ln(q_use) AS lq, ln(concentration) AS lc FROM chemistry WHERE q_use > 0 AND concentration > 0")
