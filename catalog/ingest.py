@@ -377,21 +377,20 @@ def _(spark, d):
 
 
 def tracer(spark, d):
-    """Input and stream samples of two cadences from events."""
+    """Input and stream samples of two cadences from all events: as they come, and the mean of every day."""
     e = adapters.table(spark, d, "events").select(
-        F.concat(F.lit("S"), F.col("user_id") % 6).alias("site"),
-        F.when(F.col("event_type") == "click", "Input").otherwise("Stream").alias("type"),
-        F.date_format("ts", "yyyy.MM.dd HH:mm").alias("stamp"), F.col("value").cast("string").alias("cl"),
-        F.get_json_object("props", "$.k").alias("flow"), "event_id",
+        F.concat(F.lit("S"), F.col("user_id") % 6).alias("site"), F.when(F.col("event_type") == "click", "Input").otherwise("Stream").alias("type"),
+        "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("k"),
     )
-    weekly = series.parse_tracer(e.where(F.col("event_id") % 5 == 0), "stamp", "weekly", ["cl", "flow"])
-    return series.parse_tracer(e, "stamp", "7-hourly", ["cl", "flow"]).unionByName(weekly)
+    days = e.groupBy("site", "type", F.date_trunc("day", "ts").alias("ts")).agg(F.avg("value").alias("value"), F.avg("k").alias("k"))
+    text = lambda rows: rows.select("site", "type", F.date_format("ts", "yyyy.MM.dd HH:mm").alias("stamp"), F.col("value").cast("string").alias("cl"), F.col("k").cast("string").alias("flow"))
+    return series.parse_tracer(text(e), "stamp", "7-hourly", ["cl", "flow"]).unionByName(series.parse_tracer(text(days), "stamp", "daily", ["cl", "flow"]))
 
 
+step("tracer_rows", "SELECT 'S' || (user_id % 6) AS site, CASE event_type WHEN 'click' THEN 'Input' ELSE 'Stream' END AS type, ts, value, cast(json_extract_string(props, '$.k') AS double) AS k FROM events")
 step("tracer", """
-SELECT 'S' || (user_id % 6) AS site, CASE event_type WHEN 'click' THEN 'Input' ELSE 'Stream' END AS type, cadence,
-       date_trunc('minute', ts) AS datetime, value AS cl, cast(json_extract_string(props, '$.k') AS double) AS flow
-FROM events JOIN (VALUES ('7-hourly', 1), ('weekly', 5)) t(cadence, m) ON event_id % m = 0""")
+SELECT site, type, '7-hourly' AS cadence, date_trunc('minute', ts) AS datetime, value AS cl, k AS flow FROM tracer_rows
+UNION ALL SELECT site, type, 'daily', date_trunc('day', ts)::TIMESTAMP, avg(value), avg(k) FROM tracer_rows GROUP BY ALL""")
 
 
 @query("src_tracer_tsv", f"SELECT site, type, cadence, datetime, {rs('cl', 'flow')} FROM tracer")
