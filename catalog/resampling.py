@@ -196,14 +196,14 @@ def _(spark, d):
 
 
 step("part_rows", f"""SELECT b AS y, log10(greatest(tau, 1e-1)) AS t, -log10(greatest(tau, 1e-1)) + 1e-1 * {normal_sql(str(SEED), 'gauge_id')} AS f FROM gauge_tau
-JOIN (SELECT gauge_id, avg(beta) AS b FROM curve WHERE de BETWEEN 5e-1 AND 2e0 GROUP BY 1) USING (gauge_id)""")
+JOIN (SELECT gauge_id, avg(beta) AS b FROM curve GROUP BY 1) USING (gauge_id)""")
 step("part_r2", "SELECT count(*) AS n, rt * rt AS t, rf * rf AS f, (rt * rt + rf * rf - 2 * rt * rf * c) / (1 - c * c) AS tf FROM (SELECT y, corr(y, t) OVER () AS rt, corr(y, f) OVER () AS rf, corr(t, f) OVER () AS c FROM part_rows) GROUP BY rt, rf, c")
 
 
 @query("variance_partition", f"SELECT subset, n, {rs('r2', 'unique_share')} FROM (SELECT n, unnest(['t', 'f', 't+f']) AS subset, unnest([t, f, tf]) AS r2, unnest([tf - f, tf - t, t + f - tf]) AS unique_share FROM part_r2)")
 def _(spark, d):
-    """Slope near the memory scale by memory time, by a noisy inverse of it, and by both."""
-    near = curve(spark, d).where(F.col("de").between(0.5, 2.0)).groupBy("gauge_id").agg(F.first("tau").alias("tau"), F.avg("beta").alias("y"))
+    """Mean slope of a gauge by memory time, by a noisy inverse of it, and by both."""
+    near = curve(spark, d).groupBy("gauge_id").agg(F.first("tau").alias("tau"), F.avg("beta").alias("y"))
     t = F.log10(F.greatest("tau", F.lit(0.1)))
     rows = near.withColumn("t", t).withColumn("f", -F.col("t") + 0.1 * normal(SEED, F.col("gauge_id")))
     return rounded(resampling.variance_partition(rows, "y", ["t", "f"]))
