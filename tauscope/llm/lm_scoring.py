@@ -116,9 +116,10 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, hot: int = HOT)
     spark = docs.sparkSession
     marked = _marked(docs, labels)
     model = stash(differences(stash(gram_counts(marked))))
-    frame = model.orderBy(F.col("n").desc(), "gram").limit(hot).orderBy("gram").toPandas()  # at most ``hot`` rows
-    table = np.array(frame["diff"].tolist(), np.float64).reshape(-1, FOLDS + 1)
-    shared = spark.sparkContext.broadcast((frame["gram"].to_numpy(np.int64), np.ascontiguousarray(table.T)))
+    columns = [F.get("diff", F.lit(c)).alias(f"d{c}") for c in range(FOLDS + 1)]  # plain numbers: arrays would become objects in the driver
+    frame = model.orderBy(F.col("n").desc(), "gram").limit(hot).select("gram", *columns).toPandas().sort_values("gram")  # at most ``hot`` rows
+    table = np.stack([frame[f"d{c}"].to_numpy(np.float64) for c in range(FOLDS + 1)])
+    shared = spark.sparkContext.broadcast((frame["gram"].to_numpy(np.int64), table))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
