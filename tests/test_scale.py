@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tauscope.functions import ranks
 from tauscope.operators import evaluation as ev
-from tauscope.operators import nulls, prep, spectral, stats
+from tauscope.operators import nulls, prep, spatial, spectral, stats
 from tauscope.plans import archive
 
 
@@ -123,3 +124,20 @@ def test_no_helper_runs_twice_on_a_series(spark):
     packed = archive.packed_curves(archive.flow_anomaly(prep.daily_series(flow(spark, 400, 1), ["gauge_id"], "day", "q")), ["gauge_id"])
     tree = packed._jdf.queryExecution().optimizedPlan().toString()
     assert [sum(name in line for line in tree.splitlines() if "ArrowEvalPython" in line) for name in ("filled(", "plain_anomaly(", "shares(", "density(")] == [1, 1, 1, 1]
+
+
+def test_bucket_edges_do_not_depend_on_the_order_of_rows(spark):
+    """Two branches of a plan read the edges; a sketch merged in another order cuts elsewhere, and offsets no longer fit."""
+    rng = np.random.default_rng(8)
+    rows = [(g, float(v)) for g, n in (("a", 30000), ("b", 40), ("c", 1)) for v in rng.normal(0, 1, n)]
+    counts = spark.createDataFrame(rows, "g string, v double").withColumn("_n", F.lit(1))
+    edges = lambda df: {r.g: (r._total, r._edges) for r in ranks.bucket_edges(df, ["g"], "v", 8).collect()}
+    first = edges(counts.repartition(7))
+    assert first == edges(counts.orderBy(F.desc("v")).coalesce(2)) == edges(counts.orderBy("v").repartition(5))
+    assert first["b"] == (40, []) and first["c"] == (1, []) and len(first["a"][1]) == 7
+    cut = np.bincount(np.searchsorted(first["a"][1], [v for g, v in rows if g == "a"]), minlength=8)
+    assert cut.min() > 30000 / 8 / 2 and cut.max() < 30000 / 8 * 2
+    assert "percentile_approx" not in plan(ranks.cumulative_counts(counts, ["g"], "v"))
+    v = np.array([v for g, v in rows if g == "a"])
+    got = {r.g: r.q for r in ranks.quantiles(counts, ["g"], "v", {"q": 0.37}).collect()}
+    assert got["a"] == pytest.approx(np.quantile(v, 0.37), abs=1e-12) and got["c"] == rows[-1][1]
