@@ -71,8 +71,8 @@ def differences(counts: DataFrame, strength: float = 5.0) -> DataFrame:
     """
     folds = [f"t{f}" for f in range(1, FOLDS + 1)]
     total = F.sum(sum((F.col(f) for f in folds), F.lit(0)))
-    ratios = counts.agg(F.array(*[
-        F.when(F.sum("background") > 0, kept / F.sum("background")).otherwise(0.0) for kept in (total, *[total - F.sum(f) for f in folds])]).alias("_ratio"))
+    ratios = stash(counts.agg(F.array(*[
+        F.when(F.sum("background") > 0, kept / F.sum("background")).otherwise(0.0) for kept in (total, *[total - F.sum(f) for f in folds])]).alias("_ratio")))
     cases = range(FOLDS + 1)
 
     def target(case: int) -> Column:
@@ -83,13 +83,9 @@ def differences(counts: DataFrame, strength: float = 5.0) -> DataFrame:
     def add(array: str) -> Column:
         return F.array(*[F.sum(F.col(array)[c]) for c in cases])
 
-    def level(table: DataFrame, n: int) -> DataFrame:
-        """``gram, background, t, pt, pb`` for the n last bytes."""
-        if n == 0:
-            flat = F.array(*[F.lit(1 / 256) for _ in cases])
-            return table.sparkSession.range(1).select(F.lit(0).cast("long").alias("gram"), flat.alias("pt"), flat.alias("pb"))
+    def level(table: DataFrame, n: int, lower: DataFrame) -> DataFrame:
+        """``gram, background, t, pt, pb`` for the n last bytes, from the same of one byte less."""
         shorter = 1 << (8 * (n - 1))
-        lower = level(table.groupBy((F.col("gram") % shorter).alias("gram")).agg(F.sum("background").alias("background"), add("t").alias("t")), n - 1)
         lower = lower.select(F.col("gram").alias("_low"), F.col("pt").alias("_pt"), F.col("pb").alias("_pb"))
         context = table.groupBy(F.shiftright("gram", 8).alias("_ctx")).agg(F.sum("background").alias("_b"), add("t").alias("_t"))
         out = table.withColumn("_low", F.col("gram") % shorter).withColumn("_ctx", F.shiftright("gram", 8)).join(context, "_ctx").join(lower, "_low").crossJoin(ratios)  # a single row
@@ -97,10 +93,35 @@ def differences(counts: DataFrame, strength: float = 5.0) -> DataFrame:
         pb = F.array(*[(F.col("background") * F.col("_ratio")[c] + strength * F.col("_pb")[c]) / (F.col("_b") * F.col("_ratio")[c] + strength) for c in cases])
         return out.select("gram", "background", "t", pt.alias("pt"), pb.alias("pb"))
 
-    whole = level(start, ORDER)
+    # every level is written: it is read as itself, as contexts and by the level below, and one plan of all would repeat it each time
+    tables = {ORDER: start}
+    for n in range(ORDER - 1, 0, -1):
+        tables[n] = stash(tables[n + 1].groupBy((F.col("gram") % (1 << (8 * n))).alias("gram")).agg(F.sum("background").alias("background"), add("t").alias("t")))
+    flat = F.array(*[F.lit(1 / 256) for _ in cases])
+    lower = counts.sparkSession.range(1).select(F.lit(0).cast("long").alias("gram"), flat.alias("pt"), flat.alias("pb"))
+    for n in range(1, ORDER):
+        lower = stash(level(tables[n], n, lower))
+    whole = level(start, ORDER, lower)
     return whole.select("gram", F.col("background").alias("n"), F.array(*[F.log(F.col("pb")[c]) - F.log(F.col("pt")[c]) for c in cases]).alias("diff"))
 
 
+def most_frequent(model: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``hot`` most frequent n-grams in order, and their differences by case. Workers pack them: the driver sees bytes, not rows."""
+    columns = [F.get("diff", F.lit(c)).alias(f"d{c}") for c in range(FOLDS + 1)]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [np.asarray(batch.column(i).to_numpy(zero_copy_only=False), t).tobytes() for i, t in enumerate([np.int64] + [np.float64] * (FOLDS + 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in cells], ["gram", *[f"d{c}" for c in range(FOLDS + 1)]])
+
+    schema = ", ".join(["gram binary", *[f"d{c} binary" for c in range(FOLDS + 1)]])
+    rows = model.orderBy(F.col("n").desc(), "gram").limit(hot).select("gram", *columns).mapInArrow(pack, schema).collect()  # some ten thousand n-grams each
+    grams = np.frombuffer(b"".join(bytes(r["gram"]) for r in rows), np.int64)
+    table = np.stack([np.frombuffer(b"".join(bytes(r[f"d{c}"]) for r in rows), np.float64) for c in range(FOLDS + 1)])
+    order = np.argsort(grams)
+    return grams[order], table[:, order]
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, hot: int = HOT) -> DataFrame:
     """``doc_id, n_tokens, ce_diff`` of every document: mean loss per byte under the target model less that under the corpus model.
 
@@ -116,10 +137,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, hot: int = HOT)
     spark = docs.sparkSession
     marked = _marked(docs, labels)
     model = stash(differences(stash(gram_counts(marked))))
-    columns = [F.get("diff", F.lit(c)).alias(f"d{c}") for c in range(FOLDS + 1)]  # plain numbers: arrays would become objects in the driver
-    frame = model.orderBy(F.col("n").desc(), "gram").limit(hot).select("gram", *columns).toPandas().sort_values("gram")  # at most ``hot`` rows
-    table = np.stack([frame[f"d{c}"].to_numpy(np.float64) for c in range(FOLDS + 1)])
-    shared = spark.sparkContext.broadcast((frame["gram"].to_numpy(np.int64), table))
+    shared = spark.sparkContext.broadcast(most_frequent(model, hot))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from tauscope.llm import divergence, pieces, queries, vector_codes
+from tauscope.llm import divergence, lm_scoring, pieces, queries, vector_codes
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -175,3 +175,14 @@ def test_divergence_edges(spark, docs):
     assert divergence.prices(big, 8 * 10**14, 10**9).tolist() == [1 + 10**9 * (int(c) + 2) // (8 * 10**14 + 2 * 10**9) for c in big]
     row = spark.range(1).select(divergence.price(F.lit(7 * 10**14), F.lit(8 * 10**14), F.lit(10**9)).alias("p")).first()
     assert row.p == 1 + 10**9 * (7 * 10**14 + 2) // (8 * 10**14 + 2 * 10**9)
+
+
+@pytest.mark.parametrize("hot", [50, 5000])
+def test_the_most_frequent_grams_reach_the_driver_packed(spark, hot):
+    rows = [((i * 7919) % 100003, i * i % 41, [float(i), -i / 3, 0.5]) for i in range(3000)]
+    model = spark.createDataFrame(rows, "gram long, n long, diff array<double>").repartition(5)
+    grams, table = lm_scoring.most_frequent(model, hot)
+    want = sorted(sorted(rows, key=lambda r: (-r[1], r[0]))[:hot])
+    assert grams.tolist() == [r[0] for r in want] and table.T.tolist() == [r[2] for r in want]
+    none, empty = lm_scoring.most_frequent(model.limit(0), hot)
+    assert len(none) == 0 and empty.shape == (lm_scoring.FOLDS + 1, 0)
