@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tauscope.functions import ranks
-from tauscope.operators import binning, prep, spectral
+from tauscope.operators import binning, prep, resampling, spectral
 from tauscope.plans import archive
 
 
@@ -79,3 +79,15 @@ def test_estimator_grid_moves_no_points(spark, monkeypatch):
             parts = part if parts is None else parts.unionByName(part)
     want = binning.archive_reduction(parts, ["nperseg", "window"], "gauge_id", 2)
     near(got, want, ["nperseg", "window", "raw_bins", "de_bins"], ["raw_variance", "de_variance", "reduction"])
+
+
+def test_bins_of_packed_slopes_move_no_points(spark):
+    df = spectra(spark).withColumn("betas", spectral.packed_slopes()("_p", F.lit(0.9))).select(F.lit("x").alias("s"), "g", "tau", F.lit(128).alias("size"), "betas").cache()
+    points = archive.slope_points(df, ["s", "g"])
+    got = binning.packed_bins(df, ["s"], {"frequency": F.lit(1.0), "de": F.col("tau")}, n_bins=7, carry=["g"])
+    want = binning.unit_bin_median(binning.unpivot_axes(points, ["s", "g", "beta"], {"frequency": "frequency", "de": "de"}), ["s", "axis"], "g", n_bins=7)
+    near(got, want, ["axis", "g", "bin_id"], ["beta_median"])
+    assert "hashpartitioning(g" not in plan(got) and "percentile" not in plan(got)
+    draws = resampling.boot_cluster(df.drop("s"), df.select("g", F.lit(1).alias("c")), "g", "c", 2, 5, 2, 7)
+    near(draws, binning.archive_reduction(points.crossJoin(spark.range(2).select(F.col("id").cast("int").alias("draw"))), ["draw"], "g", 2, n_bins=7), ["draw", "de_bins"], ["raw_variance", "de_variance"])
+    assert "percentile(beta" not in plan(draws) and "median(beta" not in plan(draws)
