@@ -1,8 +1,12 @@
 """Results that are put together from small written tables."""
 
+import io
+from contextlib import redirect_stdout
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from tauscope.operators import spatial
+from tauscope.operators import spatial, stats
 
 
 def test_points_at_one_place_meet_its_polygons_once(spark, monkeypatch):
@@ -14,3 +18,12 @@ def test_points_at_one_place_meet_its_polygons_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "point_in_polygon", lambda places, *a, f=spatial.point_in_polygon: seen.append(places.count()) or f(places, *a))
     assert sorted(map(tuple, spatial.point_in_polygon_by_place(points, "p", edges, "g", 1.0).collect())) == want and len(want) > 200
     assert seen == [21]
+
+
+def test_adjusted_associations_do_not_carry_the_ranks(spark):
+    rng = np.random.default_rng(1)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(40, 3))], "t double, a double, b double")
+    found, out = stats.attribute_spearman(rows, ["a", "b"], "t"), io.StringIO()
+    with redirect_stdout(out):
+        found.explain("formatted")
+    assert "Generate" not in out.getvalue() and found.count() == 2
