@@ -27,3 +27,12 @@ def test_adjusted_associations_do_not_carry_the_ranks(spark):
     with redirect_stdout(out):
         found.explain("formatted")
     assert "Generate" not in out.getvalue() and found.count() == 2
+
+
+def test_mean_slopes_come_from_a_row(spark):
+    from catalog import base
+
+    folder = "/root/testdata/sf0.001"
+    want = {r.gauge_id: r.b for r in base.curve(spark, folder).groupBy("gauge_id").agg(F.avg("beta").alias("b")).collect()}
+    got = {r.gauge_id: r.b for r in base.gauge_means(spark, folder).collect()}
+    assert got.keys() == want.keys() and got and all(np.isclose(got[k], want[k]) for k in want)
